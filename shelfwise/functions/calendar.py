@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from shelfwise.schema import data_type
 
 # Text formats of dates in uploaded files, day first.
 DAY_FIRST_FORMATS = (
@@ -18,9 +21,11 @@ DAY_FIRST_FORMATS = (
 )
 
 
-def parse_time(c: Column) -> Column:
+def parse_time(df: DataFrame, name: str) -> Column:
     """Operation time as a zone-free timestamp; NULL when it cannot be read."""
-    text = c.cast("string")
+    if not isinstance(data_type(df, name), T.StringType):
+        return F.col(name).cast("timestamp_ntz")
+    text = F.col(name)
     parsed = F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz")
     return F.coalesce(text.try_cast("timestamp_ntz"), parsed)
 

@@ -33,6 +33,7 @@ from shelfwise.functions.scores import (
 from shelfwise.operators.copies import copies_per_title, copies_seen_in_events
 from shelfwise.operators.discovery import MAX_OPIDS, distinct_opids
 from shelfwise.operators.events import clean_events, normalise_events
+from shelfwise.operators.joins import join_code_list
 from shelfwise.operators.ranking import BROADCAST_ROWS, rank_within
 from shelfwise.operators.windowing import (
     ALL_OR_NOTHING,
@@ -255,7 +256,7 @@ def title_metrics_from_star(
     ops = operations.select(
         safe_long(operations, "STAT_VYP_PTR_SVAZKY").alias("copy_key"),
         safe_long(operations, "STAT_VYP_OPID").alias("vyp_opid"),
-        F.to_date(parse_time(F.col("STAT_VYP_TIME"))).cast("timestamp_ntz").alias("dt"),
+        F.to_date(parse_time(operations, "STAT_VYP_TIME")).cast("timestamp_ntz").alias("dt"),
     ).withColumn("yr", F.year("dt"))
     opids = _wanted_opids(ops.withColumnRenamed("vyp_opid", "VYP_OPID"), opids, max_opids)
     by_copy = _usage_cube(with_window_flags(ops, policy), ["copy_key", "vyp_opid"])
@@ -286,7 +287,7 @@ def title_metrics_from_star(
         labels = doc_types.select(
             F.col("CISELNIKY_ZKRATKA").alias("doc_type"), F.col("CISELNIKY_TEXT").alias("doc_label")
         )
-        described = described.join(labels, "doc_type", "left").withColumn(
+        described = join_code_list(described, labels, "doc_type").withColumn(
             "doc_type", decode(F.col("doc_label"), F.col("doc_type"))
         )
     prefix = _wanted_prefix(sign_prefix)
@@ -306,7 +307,7 @@ def title_metrics_from_star(
         safe_long(op_types, "OPIDY_OPID").alias("vyp_opid"), F.col("OPIDY_POPIS").cast("string").alias("popis")
     )
     flags = operation_flags(F.col("vyp_opid"))
-    cube = cube.join(types, "vyp_opid", "left").withColumns(
+    cube = join_code_list(cube, types, "vyp_opid").withColumns(
         {
             "action_type": F.lower(F.trim(action_type(F.col("popis"), F.col("vyp_opid")))),
             "action_group": flags["ACTION_GROUP"],

@@ -80,7 +80,8 @@ class Roles:
         return lines.select(*columns)
 
     def op_types(self) -> DataFrame:
-        return self.spark.createDataFrame(list(DESCRIPTIONS), "OPIDY_OPID bigint, OPIDY_POPIS string")
+        rows = ", ".join(f"({code}L, '{text}')" for code, text in DESCRIPTIONS)
+        return self.spark.sql(f"SELECT * FROM VALUES {rows} AS t(OPIDY_OPID, OPIDY_POPIS)")
 
     def branches(self) -> DataFrame:
         supplier, nation = self.table("supplier"), self.table("nation")
