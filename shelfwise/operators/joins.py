@@ -8,16 +8,27 @@ from pyspark.sql import functions as F
 # Operation types, document types, branches and the like: thousands of rows at most.
 CODE_LIST_ROWS = 200_000
 SALTS = 32
+PLANNED_BYTES = 1 << 20  # a list that the optimizer puts below this needs no counting
+
+
+def planned_bytes(df: DataFrame) -> int:
+    """Size of a frame as the optimizer estimates it from file sizes; runs no job."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def is_short(df: DataFrame, max_rows: int) -> bool:
+    """Whether a frame has at most ``max_rows`` rows; counting stops at the limit."""
+    return planned_bytes(df) <= min(PLANNED_BYTES, max_rows) or df.limit(max_rows + 1).count() <= max_rows
 
 
 def join_code_list(big: DataFrame, codes: DataFrame, key: str, *, max_rows: int | None = None) -> DataFrame:
     """Left-join a list of codes to rows in which few codes cover most of the rows.
 
-    The list is counted (it stops at the limit) and broadcast when it is as short as such lists are. A longer one is
+    The list is measured first and broadcast when it is as short as such lists are. A longer one is
     repeated per salt, so that the rows of a hot code are shared by many tasks.
     """
     limit = CODE_LIST_ROWS if max_rows is None else max_rows
-    if codes.limit(limit + 1).count() <= limit:
+    if is_short(codes, limit):
         return big.join(F.broadcast(codes), key, "left")
     salted = codes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     spread = F.pmod(F.xxhash64(*[c for c in big.columns if c != key]), F.lit(SALTS)).cast("int")

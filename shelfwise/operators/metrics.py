@@ -134,7 +134,8 @@ def _finish(
         "pocet_svazku", F.coalesce(F.col("pocet_svazku"), F.lit(0).cast("bigint"))
     )
     staged = stage(joined, "titles")
-    if not frame and staged.filter("_shared").limit(1).count():
+    facts = staged.agg(F.count("*").alias("rows"), F.count_if("_shared").alias("shared")).first()
+    if facts["shared"]:
         staged = _share_counts(staged, _count_names(opids))
     if sign_prefix:
         staged = staged.filter(F.col("SIGN_PREFIX") == sign_prefix)
@@ -144,6 +145,7 @@ def _finish(
         measure="vypujcky_5_let",
         spread_by=["title_key", "TITUL_KEY"],
         max_broadcast_rows=max_broadcast_rows,
+        rows_bound=facts["rows"],
     )
     rank, size = F.col("rank_v_signature"), F.col("pocet_v_signature")
     loans, held = F.col("vypujcky_5_let"), F.col("pocet_svazku")

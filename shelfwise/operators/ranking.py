@@ -18,18 +18,19 @@ def attach_summary(
     on: list[str],
     spread_by: list[str],
     max_broadcast_rows: int | None = None,
+    rows_bound: int | None = None,
     salts: int = SALTS,
 ) -> DataFrame:
     """Left-join a per-group summary to its rows.
 
-    The row count of the summary is checked first. Within the limit it is broadcast and ``big`` is not shuffled. Beyond
+    The row count of the summary is checked first (a known bound on the rows of ``big`` can spare the count). Within the limit it is broadcast and ``big`` is not shuffled. Beyond
     it, ``big`` is spread over ``salts`` sub-groups and the summary repeated for each, so that a hot group is shared by
     many tasks.
     """
     limit = BROADCAST_ROWS if max_broadcast_rows is None else max_broadcast_rows
     keys = null_safe + on
     added = [c for c in summary.columns if c not in keys]
-    small = summary.limit(limit + 1).count() <= limit
+    small = (rows_bound is not None and rows_bound <= limit) or summary.limit(limit + 1).count() <= limit
     right = summary.withColumnsRenamed({k: f"_r_{k}" for k in keys})
     if not small:
         big = big.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
@@ -46,7 +47,13 @@ def attach_summary(
 
 
 def rank_within(
-    rows: DataFrame, *, group: str, measure: str, spread_by: list[str], max_broadcast_rows: int | None = None
+    rows: DataFrame,
+    *,
+    group: str,
+    measure: str,
+    spread_by: list[str],
+    max_broadcast_rows: int | None = None,
+    rows_bound: int | None = None,
 ) -> DataFrame:
     """Add ``rank_v_signature`` (ties share the best rank, highest measure first) and ``pocet_v_signature``.
 
@@ -70,4 +77,5 @@ def rank_within(
         on=[measure],
         spread_by=spread_by,
         max_broadcast_rows=max_broadcast_rows,
+        rows_bound=rows_bound,
     )

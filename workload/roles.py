@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,10 +24,13 @@ class Roles:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
-        self.table = partial(self._table, sf_dir)
+        self.sf_dir = sf_dir
+        self._tables: dict[str, DataFrame] = {}
 
-    def _table(self, sf_dir: str, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    def table(self, name: str) -> DataFrame:
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._tables[name]
 
     def titles(self) -> DataFrame:
         return self.table("part").select(
