@@ -25,8 +25,11 @@ WHITE_SPACE = "".join(
 
 
 def strip(c: Column) -> Column:
-    """Remove all leading and trailing white space (``trim`` removes blanks only)."""
-    return F.btrim(c, F.lit(WHITE_SPACE))
+    """Remove all leading and trailing white space.
+
+    Blanks go first: the general form compares every character it passes with the whole set.
+    """
+    return F.btrim(F.trim(c), F.lit(WHITE_SPACE))
 
 
 def blank_to_null(c: Column) -> Column:
