@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -551,8 +552,8 @@ def rebuild_report(spark, sf_dir):
         "desk.txt": r.desk(),
         "txdesk.txt": r.txdesk(),
     }
-    for name, df in dumps.items():
-        write_dump(df, f"{raw}/{name}")
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda item: write_dump(item[1], f"{raw}/{item[0]}"), dumps.items()))
     report = rebuild_all(spark, raw, derived, policy=POLICY)
     titles_built = spark.read.parquet(table_path(derived, "titles_metrics")).agg(
         F.count("*").alias("metrics_titles"), F.sum("vypujcky_5_let").alias("metrics_loans")
