@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfwise.operators.joins import join_code_list
 from shelfwise.schema import pick_column, safe_long
 
 JOINER = " | "  # fixed value: between the texts of one title
@@ -64,7 +65,7 @@ def och_texts(och: DataFrame | None, txoch: DataFrame | None) -> DataFrame | Non
     key, text = pick_column(txoch.columns, TXOCH_KEY), pick_column(txoch.columns, TXOCH_TEXT)
     if not all((title, pointer, key, text)):
         return None
-    pairs = _links(och, title, pointer).join(_texts(txoch, key, text), "_ptr", "left")
+    pairs = join_code_list(_links(och, title, pointer), _texts(txoch, key, text), "_ptr")
     return joined_texts(pairs.select("TITUL_KEY", "subject_text"), "och_subjects")
 
 
@@ -80,13 +81,13 @@ def desk_pairs(desk: DataFrame, deskt: DataFrame | None, txdesk: DataFrame | Non
     if links is not None and text:
         direct = pick_column(tx_columns, TXDESK_KEY)
         if direct:
-            out.append(links.join(_texts(txdesk, direct, text), "_ptr", "left"))
+            out.append(join_code_list(links, _texts(txdesk, direct, text), "_ptr"))
         via = pick_column(deskt.columns, DESKT_KEY) if deskt is not None else None
         link = pick_column(tx_columns, TXDESK_LINK)
         if via and link:
             known = deskt.select(safe_long(deskt, via).alias("_ptr"), F.lit(True).alias("_known")).distinct()
-            reached = links.join(known, "_ptr", "left").withColumn("_ptr", F.when(F.col("_known"), F.col("_ptr")))
-            out.append(reached.join(_texts(txdesk, link, text), "_ptr", "left"))
+            reached = join_code_list(links, known, "_ptr").withColumn("_ptr", F.when(F.col("_known"), F.col("_ptr")))
+            out.append(join_code_list(reached, _texts(txdesk, link, text), "_ptr"))
     inline = pick_column(desk.columns, DESK_TEXT)
     if inline:
         rows = desk.select(safe_long(desk, title).alias("TITUL_KEY"), _text(inline).alias("subject_text"))

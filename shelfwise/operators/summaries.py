@@ -93,8 +93,10 @@ def suggestions(terms: DataFrame, typed: str, k: int = MAX_SUGGESTIONS) -> DataF
 def loan_histogram(titles: DataFrame, column: str = "vypujcky_5_let", bins: int = HISTOGRAM_BINS) -> DataFrame:
     """Equal-width bins from the least to the greatest number of loans."""
     counted = titles.groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
-    low, high = titles.agg(F.min(column)).scalar(), titles.agg(F.max(column)).scalar()
-    ranged = counted.withColumns({"low": low, "width": (high - low) / F.lit(float(bins))})
+    ends = titles.agg(F.struct(F.min(column).alias("low"), F.max(column).alias("high"))).scalar()
+    ranged = counted.withColumn("ends", ends).select(
+        "v", "n", "ends.low", ((F.col("ends.high") - F.col("ends.low")) / F.lit(float(bins))).alias("width")
+    )
     number_of = F.when(F.col("width") == 0, 0).otherwise(
         F.least(F.floor((F.col("v") - F.col("low")) / F.nullif(F.col("width"), F.lit(0.0))), F.lit(bins - 1))
     )

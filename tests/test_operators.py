@@ -258,3 +258,35 @@ def test_validation_counts_repeated_copies_like_a_join(spark):
     assert (row["dim_tituly_rows"], row["dim_tituly_unique"]) == (3, 1)
     empty = validate_build(fact.filter("FALSE"), copies, titles).first()
     assert empty["fact_rows"] == 0 and empty["pct_rows_with_titul_via_svazky"] is None
+
+
+def test_hot_copy_is_split_over_tasks(spark):
+    """A third of the operations on one copy: adaptive execution splits the partition of that copy."""
+    _, _, titles, types, places, _ = star(spark)
+    n = 30000
+    ops = spark.range(n).repartition(8).select(
+        F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id")).alias("STAT_VYP_PTR_SVAZKY"),
+        F.lit("2024-01-01 00:00:00").alias("STAT_VYP_TIME"),
+        F.lit(4).alias("STAT_VYP_OPID"),
+        F.lit(1).alias("STAT_VYP_PTR_KNODDEL"),
+    )
+    copies = spark.range(n).select(F.col("id").alias("SVAZKY_KEY"), F.lit(10).alias("SVAZKY_PTR_TITUL"))
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        wide = enrich_operations(ops, copies, titles, types, places)
+        rows = wide.collect()
+        plan = wide._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert len(rows) == n and {r["TITUL_KEY"] for r in rows} == {10}
+    assert "skew=true" in plan
