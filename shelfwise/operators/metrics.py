@@ -39,8 +39,9 @@ from shelfwise.operators.windowing import (
     ALL_OR_NOTHING,
     FLAG_FIRST,
     UsagePolicy,
+    flag_window,
     loan_predicate,
-    with_window_flags,
+    window_bounds,
 )
 from shelfwise.schema import safe_long
 from shelfwise.staging import stage
@@ -56,7 +57,6 @@ def _usage_cube(flagged: DataFrame, keys: Sequence[str]) -> DataFrame:
     return flagged.groupBy(*keys).agg(
         F.count_if(inside).alias("n"),
         F.max(F.when(inside, F.col("dt"))).alias("last_dt"),
-        F.max("end_dt").alias("reference_end"),
     )
 
 
@@ -71,7 +71,6 @@ def _measures(policy: UsagePolicy, present: set[str], opids: Sequence[int]) -> l
     out = [
         total(loan, "vypujcky_5_let"),
         F.max(F.when(loan, F.col("last_dt"))).alias("datum_posledni_vypujcky"),
-        F.max("reference_end").alias("reference_end"),
         F.sum("n").alias("pocet_operaci_v_obdobi"),
         total(F.coalesce(F.col("is_loan_flag"), F.lit(False)), "pocet_vypujcek_is_loan"),
         total(F.coalesce(F.col("is_return_flag"), F.lit(False)), "pocet_vraceni_is_return"),
@@ -122,6 +121,7 @@ def _share_counts(titles: DataFrame, counts: Sequence[str]) -> DataFrame:
 def _finish(
     titles: DataFrame,
     copies: DataFrame,
+    bounds: DataFrame,
     policy: UsagePolicy,
     opids: Sequence[int],
     *,
@@ -130,8 +130,11 @@ def _finish(
     max_broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Copies, rank within the prefix and everything derived from them."""
-    joined = titles.join(copies, "TITUL_KEY", "left").withColumn(
-        "pocet_svazku", F.coalesce(F.col("pocet_svazku"), F.lit(0).cast("bigint"))
+    joined = titles.join(copies, "TITUL_KEY", "left").withColumns(
+        {
+            "pocet_svazku": F.coalesce(F.col("pocet_svazku"), F.lit(0).cast("bigint")),
+            "reference_end": bounds.scalar()["end_dt"],
+        }
     )
     staged = stage(joined, "titles")
     facts = staged.agg(F.count("*").alias("rows"), F.count_if("_shared").alias("shared")).first()
@@ -227,11 +230,12 @@ def title_metrics(
         signature, name = F.col("signature"), F.col("title_name")
         same = signature_prefix(signature, prefix_length) == prefix
         wanted = narrow.filter(same | is_ambiguous_key(signature, name))
-    flagged = with_window_flags(wanted, policy, dates_from=narrow)
+    bounds = window_bounds(narrow, policy)
+    flagged = flag_window(wanted, bounds, policy)
     cube = _usage_cube(flagged, ["TITUL_KEY", "signature", "title_name", *META, *KIND])
     titles = _titles_by_pair(cube, policy, present, opids, prefix_length)
     held = copies_per_title(copies) if copies is not None else copies_seen_in_events(narrow)
-    return _finish(titles, held, policy, opids, sign_prefix=prefix)
+    return _finish(titles, held, bounds, policy, opids, sign_prefix=prefix)
 
 
 def title_metrics_from_star(
@@ -261,7 +265,8 @@ def title_metrics_from_star(
         F.to_date(parse_time(operations, "STAT_VYP_TIME")).cast("timestamp_ntz").alias("dt"),
     ).withColumn("yr", F.year("dt"))
     opids = _wanted_opids(ops.withColumnRenamed("vyp_opid", "VYP_OPID"), opids, max_opids)
-    by_copy = _usage_cube(with_window_flags(ops, policy), ["copy_key", "vyp_opid"])
+    bounds = window_bounds(ops, policy)
+    by_copy = _usage_cube(flag_window(ops, bounds, policy), ["copy_key", "vyp_opid"])
 
     owner = copies.select(
         safe_long(copies, "SVAZKY_KEY").alias("copy_key"), safe_long(copies, "SVAZKY_PTR_TITUL").alias("TITUL_KEY")
@@ -272,7 +277,6 @@ def title_metrics_from_star(
         .agg(
             F.sum("n").alias("n"),
             F.max("last_dt").alias("last_dt"),
-            F.max("reference_end").alias("reference_end"),
         )
     )
 
@@ -318,7 +322,7 @@ def title_metrics_from_star(
         }
     )
     rows = _titles_by_pair(cube, policy, {"IS_LOAN", "ACTION_GROUP", "ACTION_TYPE"}, opids, prefix_length)
-    return _finish(rows, copies_per_title(copies), policy, opids, sign_prefix=prefix)
+    return _finish(rows, copies_per_title(copies), bounds, policy, opids, sign_prefix=prefix)
 
 
 def title_metrics_frame(
@@ -338,7 +342,8 @@ def title_metrics_frame(
             "title_name": F.coalesce("title_name", F.lit("")),
         }
     )
-    flagged = with_window_flags(narrow, policy)
+    bounds = window_bounds(narrow, policy)
+    flagged = flag_window(narrow, bounds, policy)
     cube = _usage_cube(flagged, ["TITUL_KEY", "signature", "title_name", *META, *KIND])
     record = ["signature", "title_name", *META, "TITUL_KEY"]
     titles = (
@@ -353,4 +358,4 @@ def title_metrics_frame(
         held = copies_seen_in_events(narrow)
     else:
         held = titles.sparkSession.createDataFrame([], "TITUL_KEY bigint, pocet_svazku bigint")
-    return _finish(titles, held, policy, opids, frame=True)
+    return _finish(titles, held, bounds, policy, opids, frame=True)

@@ -41,34 +41,33 @@ def _now(policy: UsagePolicy, unit: str | None = None) -> Column:
     return F.date_trunc(unit, current).cast("timestamp_ntz") if unit else current
 
 
-def reference_end(events: DataFrame, policy: UsagePolicy, *, date: str = "dt") -> DataFrame:
-    """One row: the latest date, or now when there is none."""
-    unit = "day" if policy.date_policy == ALL_OR_NOTHING else None
-    return events.agg(F.coalesce(F.max(date), _now(policy, unit)).alias("end_dt"))
+def window_bounds(source: DataFrame, policy: UsagePolicy, *, date: str = "dt", year: str = "yr") -> DataFrame:
+    """One row with one value: both ends of the window, their years, and whether dates and years occur at all.
 
+    Used as a scalar subquery, so that no join is planned and the ends are computed once and not per row. Its scan
+    reads the date (and for all-or-nothing dates the year) and nothing else.
+    """
+    all_or_nothing = policy.date_policy == ALL_OR_NOTHING
+    end = F.coalesce(F.max(date), _now(policy, "day" if all_or_nothing else None))
+    start = minus_years(end, policy.years)
+    values = {"end_dt": end, "start_dt": start, "end_year": F.year(end), "start_year": F.year(start)}
+    if all_or_nothing:
+        values |= {"dated": F.max(date).isNotNull(), "with_year": F.max(year).isNotNull()}
+    return source.agg(F.struct(*[c.alias(n) for n, c in values.items()]).alias("bounds"))
 
-def with_window_flags(
-    events: DataFrame, policy: UsagePolicy, *, date: str = "dt", year: str = "yr", dates_from: DataFrame | None = None
-) -> DataFrame:
-    """Add ``end_dt`` and ``in_window``.
 
-    The latest date is a scalar subquery over one column of ``dates_from`` (default: the same operations), so no join
-    is planned and the scan for it reads that column alone.
-    """
-    source = events if dates_from is None else dates_from
-    end = source.agg(F.max(date)).scalar()
-    unit = "day" if policy.date_policy == ALL_OR_NOTHING else None
-    out = events.withColumn("end_dt", F.coalesce(end, _now(policy, unit)))
-    end_dt = F.col("end_dt")
-    start_dt = minus_years(end_dt, policy.years)
-    by_date = F.col(date).between(start_dt, end_dt)
-    by_year = F.col(year).between(F.year(start_dt), F.year(end_dt))
+def flag_window(
+    events: DataFrame, bounds: DataFrame, policy: UsagePolicy, *, date: str = "dt", year: str = "yr"
+) -> DataFrame:
+    """Add ``in_window``."""
+    b = bounds.scalar()
+    by_date = F.col(date).between(b["start_dt"], b["end_dt"])
+    by_year = F.col(year).between(b["start_year"], b["end_year"])
     if policy.date_policy == ROW_YEAR:
         inside = F.when(F.col(date).isNotNull(), by_date).otherwise(by_year)
     else:
-        any_year = source.agg(F.max(year)).scalar().isNotNull()
-        inside = F.when(end.isNotNull(), by_date).otherwise(F.when(any_year, by_year).otherwise(F.lit(True)))
-    return out.withColumn("in_window", F.coalesce(inside, F.lit(False)))
+        inside = F.when(b["dated"], by_date).otherwise(F.when(b["with_year"], by_year).otherwise(F.lit(True)))
+    return events.withColumn("in_window", F.coalesce(inside, F.lit(False)))
 
 
 def loan_predicate(policy: UsagePolicy, present: set[str]) -> Column:
@@ -91,8 +90,8 @@ def filter_window(events: DataFrame, policy: UsagePolicy, *, loans_only: bool =
     """Rows inside the window; the frame of raw columns is kept as it is."""
     from shelfwise.operators.events import normalise_events
 
-    flagged = with_window_flags(normalise_events(events, keep_source=True), policy)
-    rows = flagged.filter("in_window")
+    narrow = normalise_events(events, keep_source=True)
+    rows = flag_window(narrow, window_bounds(narrow, policy), policy).filter("in_window")
     if loans_only:
         rows = rows.filter(loan_predicate(policy, set(events.columns)))
     return rows.select(*[F.col(f"source.{c}").alias(c) for c in events.columns])

@@ -429,6 +429,10 @@ SELECT * REPLACE (CAST(TITUL_ROK_VYDANI AS VARCHAR) AS TITUL_ROK_VYDANI) FROM ti
 SELECT CAST(l_shipdate AS VARCHAR) AS STAT_VYP_TIME, opid AS STAT_VYP_OPID, count(*) AS n,
        CAST(sum(copy_key) AS VARCHAR) AS keys FROM ops GROUP BY 1, 2""",
     "charset_normalise": f"SELECT doc_id, md5(regexp_replace(text, '{CP1250_CLASS}', '?', 'g')) AS digest FROM documents",
+    "charset_conversion": f"""WITH lines AS (
+  SELECT unnest(regexp_split_to_array(text, '[\\r\\n]+')) AS line FROM documents)
+SELECT md5(regexp_replace(line, '{CP1250_CLASS}', '?', 'g')) AS digest, count(*) AS n
+FROM lines WHERE line <> '' GROUP BY 1""",
     "export_roundtrip": from_classes("SELECT title_key, klasifikace, vypujcky_okno, pocet_svazku FROM c"),
     "export_csv": from_classes("SELECT title_key, TITUL_NAZEV, klasifikace, duvod_oznaceni FROM c"),
     "rebuild_report": f"""WITH {REPORT}, {OPS}

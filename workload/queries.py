@@ -25,7 +25,7 @@ from shelfwise.plans.ingest import table_path
 from shelfwise.plans.rebuild import rebuild_all
 from shelfwise.sinks.tables import export_by_class, write_csv
 from shelfwise.sources.charset import decode_bytes
-from shelfwise.sources.dumps import read_dump
+from shelfwise.sources.dumps import convert_to_utf8, raw_lines, read_dump
 from shelfwise.staging import new_stage_path
 from workload.dump_writer import encode_windows_1250, write_dump
 from workload.roles import Roles
@@ -509,6 +509,25 @@ def charset_normalise(spark, sf_dir):
     return content.select("doc_id", F.md5(F.encode(decode_bytes(F.col("content")), "UTF-8")).alias("digest"))
 
 
+@query
+def charset_conversion(spark, sf_dir):
+    """Files of windows-1250 lines converted to UTF-8; lines of files that need no conversion are read as they are."""
+    docs = Roles(spark, sf_dir).table("documents")
+    lines = docs.select(F.explode(F.split("text", "[\r\n]+")).alias("line"))
+    # Each byte is written as the latin-1 character of the same number.
+    content = lines.select(F.decode(encode_windows_1250(F.col("line")), "ISO-8859-1").alias("value"))
+    source, target = new_stage_path(spark, "cp1250"), new_stage_path(spark, "utf8")
+    options = {"encoding": "ISO-8859-1", "quote": "", "sep": "\x01", "emptyValue": ""}
+    options |= {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    content.repartition(8).write.options(**options).csv(source)
+    report = convert_to_utf8(spark, source, target, pattern="*.csv")
+    unchanged = raw_lines(spark, source, pathGlobFilter="*.csv").join(report.filter("NOT changed"), "path")
+    kept = unchanged.select(F.col("content").cast("string").alias("value"))
+    converted = spark.read.option("recursiveFileLookup", "true").text(target).select("value")
+    both = converted.unionByName(kept).filter("value <> ''")
+    return both.groupBy(F.md5(F.encode("value", "UTF-8")).alias("digest")).agg(F.count("*").alias("n"))
+
+
 @query
 def export_roundtrip(spark, sf_dir):
     """Export per class, read back."""
