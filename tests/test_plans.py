@@ -2,6 +2,7 @@ import pytest
 
 from shelfwise.operators.windowing import UsagePolicy
 from shelfwise.plans import catalog, ingest, rebuild
+from shelfwise.plans.review import load_titles, review
 from shelfwise.staging import stage, stage_root
 
 
@@ -59,6 +60,24 @@ def test_rebuild_all(spark, built):
     assert titles[20]["vypujcky_5_let"] == 0 and titles[20]["pocet_operaci_v_obdobi"] == 1
 
 
+def test_review_of_both_kinds_of_dataset(spark, built):
+    derived = built[0]
+    policy = UsagePolicy(years=1, loan_actions=("půjčeno",))
+    from_titles = load_titles(spark, ingest.table_path(derived, "titles_metrics"), policy=policy)
+    from_rows = load_titles(spark, ingest.table_path(derived, rebuild.ENRICHED), policy=policy)
+    as_frame = load_titles(spark, ingest.table_path(derived, rebuild.ENRICHED), policy=policy, as_frame=True)
+    for titles in (from_titles, from_rows, as_frame):
+        loans = {r["TITUL_KEY"]: (r["vypujcky_okno"], r["okno_let"]) for r in titles.collect()}
+        assert loans[10] == (1, 1) and loans[20] == (0, 1)
+    parts = review(from_titles, rules={"och_subjects": ["A TEXT"]}, focus="JD")
+    assert [r["klasifikace"] for r in parts.results.collect()] == ["CHRANENO_VYJIMKOU"]
+    assert parts.kpi.first()["titulu_celkem"] == parts.summary.first()["CELKEM_TITULU"] == 1
+    assert parts.write_off.count() == parts.buy.count() == 1 and parts.unclear.count() == 2
+    assert parts.class_counts.first()["pocet"] == 1 and parts.top_auto.first()["AUTO_KANDIDAT"] == 0
+    one = load_titles(spark, ingest.table_path(derived, "titles_metrics"), sign_prefix="AB")
+    assert [r["TITUL_KEY"] for r in one.collect()] == [20]
+
+
 def test_year_partitions_are_pruned(spark, built):
     fact = spark.read.parquet(ingest.table_path(built[0], rebuild.ENRICHED))
     plan = fact.filter("YEAR = 2024").select("TITUL_KEY")._jdf.queryExecution().executedPlan().toString()

@@ -389,6 +389,10 @@ WHERE SIGN_PREFIX IN ('EC', 'PR', 'ST') AND CAST(substr(TITUL_JAZYK, 7) AS INTEG
   AND pocet_opid_4 <= 2 AND pocet_svazku BETWEEN 5 AND 60 AND vykon_na_svazek <= 0.3""",
         opids=OPIDS,
     ),
+    "review_of_written_titles": from_classes(
+        """SELECT TITUL_KEY, CAST(7 AS INTEGER) AS okno_let, vypujcky_okno, klasifikace, duvod_oznaceni FROM c
+WHERE SIGN_PREFIX = 'PR' AND pocet_svazku >= 5"""
+    ),
     "labelled_results": from_classes(LABELLED, subjects=True, opids=OPIDS),
     "title_subject_texts": f"WITH {SUBJECTS} SELECT * FROM subjects",
     "subject_variants": f"""WITH {DESK}, texts AS (

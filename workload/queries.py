@@ -23,7 +23,8 @@ from shelfwise.operators.windowing import UsagePolicy, filter_window
 from shelfwise.plans.catalog import loans_by_title_view
 from shelfwise.plans.ingest import table_path
 from shelfwise.plans.rebuild import rebuild_all
-from shelfwise.sinks.tables import export_by_class, write_csv
+from shelfwise.plans.review import load_titles, review
+from shelfwise.sinks.tables import export_by_class, write_csv, write_parquet
 from shelfwise.sources.charset import decode_bytes
 from shelfwise.sources.dumps import convert_to_utf8, raw_lines, read_dump
 from shelfwise.staging import new_stage_path
@@ -357,6 +358,16 @@ def filtered_titles(spark, sf_dir):
     return cand.apply_filters(df, filters).select("title_key", "klasifikace", "pocet_opid_4", "pocet_svazku")
 
 
+@query
+def review_of_written_titles(spark, sf_dir):
+    """Title metrics written as a dataset, opened for one prefix with another window length, and reviewed."""
+    path = new_stage_path(spark, "written-titles")
+    write_parquet(star_metrics(Roles(spark, sf_dir), opids=[]), path)
+    titles = load_titles(spark, path, policy=UsagePolicy(years=7), sign_prefix="PR")
+    parts = review(titles, rules=RULES, limits=LIMITS, filters=cand.Filters(copies_range=(5, None)))
+    return parts.results.select("TITUL_KEY", "okno_let", "vypujcky_okno", "klasifikace", "duvod_oznaceni")
+
+
 @query
 def labelled_results(spark, sf_dir):
     return labelled(portable(cand.result_table(classified(Roles(spark, sf_dir), subjects=True))))
