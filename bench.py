@@ -19,26 +19,19 @@ from workload.queries import QUERIES  # noqa: E402
 
 HEADLINE = (
     "title_metrics",
-    "title_metrics_opid_pivot",
     "title_metrics_wide",
     "title_metrics_frame",
     "metrics_one_prefix",
     "prefix_summary",
-    "opid_legend",
     "loans_by_title",
     "classify_titles",
     "summary_by_prefix",
     "kpi_summary",
     "top_writeoff",
-    "top_buy",
     "unclear_cases",
-    "recommended_writeoff",
     "title_subject_texts",
-    "subject_search",
     "subject_vocabulary",
-    "text_search",
     "enriched_operations",
-    "enriched_by_reader_group",
     "build_report",
     "ingest_operations",
 )
