@@ -29,10 +29,10 @@ HEADLINE = (
     "kpi_summary",
     "top_writeoff",
     "unclear_cases",
-    "title_subject_texts",
+    "title_subjects",
     "subject_vocabulary",
     "enriched_operations",
-    "build_report",
+    "validate_build",
     "ingest_operations",
 )
 

@@ -12,7 +12,9 @@ PLANNED_BYTES = 1 << 20  # a list that the optimizer puts below this needs no co
 
 
 def planned_bytes(df: DataFrame) -> int:
-    """Size of a frame as the optimizer estimates it from file sizes; runs no job."""
+    """Size of a frame as the optimizer estimates it from file sizes; runs no job. Unknown counts as large."""
+    if not hasattr(df, "_jdf"):
+        return PLANNED_BYTES + 1
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 

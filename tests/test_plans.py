@@ -3,7 +3,7 @@ import pytest
 from shelfwise.operators.windowing import UsagePolicy
 from shelfwise.plans import catalog, ingest, rebuild
 from shelfwise.plans.review import load_titles, review
-from shelfwise.staging import stage, stage_root
+from shelfwise.staging import drop_stages, new_stage_path, stage, stage_root
 
 
 def test_dump_files_of_a_table():
@@ -108,3 +108,11 @@ def test_stages_live_in_the_named_folder(spark):
     assert df.count() == 5
     assert stage_root(spark) == spark.conf.get("spark.checkpoint.dir")
     assert all(stage_root(spark) in f for f in df.inputFiles())
+
+
+def test_stages_can_be_dropped(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("shelfwise.staging.stage_root", lambda _: str(tmp_path))
+    spark.range(3).write.parquet(new_stage_path(spark, "x"))
+    assert list(tmp_path.glob("shelfwise-stages/x-*"))
+    drop_stages(spark)
+    assert not list(tmp_path.glob("shelfwise-stages/*"))

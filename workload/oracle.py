@@ -281,7 +281,7 @@ WHERE TITUL_KEY IN (SELECT l_partkey FROM lineitem) GROUP BY 1 ORDER BY 2 DESC,
     "prefix_summary_of_titles": f"""WITH {TITLES}
 SELECT {PREFIX} AS "Prefix signatury", count(*) AS "Počet titulů" FROM tituly
 WHERE TITUL_KEY IN (SELECT l_partkey FROM lineitem) GROUP BY 1""",
-    "copies_per_title_view": (
+    "copies_per_title": (
         "SELECT l_partkey AS TITUL_KEY, count(DISTINCT l_suppkey) AS pocet_svazku FROM lineitem GROUP BY 1"
     ),
     "loans_by_title": f"""WITH {OPS}
@@ -394,7 +394,7 @@ WHERE SIGN_PREFIX IN ('EC', 'PR', 'ST') AND CAST(substr(TITUL_JAZYK, 7) AS INTEG
 WHERE SIGN_PREFIX = 'PR' AND pocet_svazku >= 5"""
     ),
     "labelled_results": from_classes(LABELLED, subjects=True, opids=OPIDS),
-    "title_subject_texts": f"WITH {SUBJECTS} SELECT * FROM subjects",
+    "title_subjects": f"WITH {SUBJECTS} SELECT * FROM subjects",
     "subject_variants": f"""WITH {DESK}, texts AS (
   SELECT t, 'inline ' || ptr AS x FROM desk
   UNION SELECT t, 'via ' || n_name FROM desk JOIN nation ON n_nationkey = ptr)
@@ -418,7 +418,7 @@ SELECT TITUL_KEY, TITUL_SIGN_FULL, CASE WHEN TITUL_KEY % 7 <> 0 THEN TITUL_NAZEV
        TITUL_ROK_VYDANI, TITUL_JAZYK, TITUL_DRUH_DOKUMENTU FROM tituly""",
     "doc_type_labels": """SELECT p_partkey AS TITUL_KEY,
        CASE WHEN p_type = 'STANDARD' THEN p_type ELSE 'type ' || lower(p_type) END AS TITUL_DRUH_DOKUMENTU FROM part""",
-    "reader_groups": f"WITH {READERS} SELECT * FROM reader_groups",
+    "reader_demographics": f"WITH {READERS} SELECT * FROM reader_groups",
     "reader_groups_private": f"WITH {READERS} SELECT * EXCLUDE (VEK) FROM reader_groups",
     "enriched_operations": f"WITH {ENRICHED} SELECT * FROM enriched",
     "enriched_by_reader_group": f"""WITH {ENRICHED}
@@ -426,7 +426,7 @@ SELECT VEK_BUCKET, POHLAVI, ACTION_GROUP, YEAR_MONTH, count(*) AS n FROM enriche
     "calendar_attributes": """SELECT event_id, strftime(ts, '%Y-%m-%d') AS DATE, CAST(year(ts) AS INTEGER) AS YEAR,
        CAST(month(ts) AS INTEGER) AS MONTH, CAST(year(ts) * 100 + month(ts) AS INTEGER) AS YEAR_MONTH,
        CAST(week(ts) AS INTEGER) AS WEEK, CAST(dayofweek(ts) AS INTEGER) AS WEEKDAY FROM events""",
-    "build_report": f"WITH {REPORT} SELECT * FROM report",
+    "validate_build": f"WITH {REPORT} SELECT * FROM report",
     "ingest_fixed_width": f"""WITH {TITLES}
 SELECT * REPLACE (CAST(TITUL_ROK_VYDANI AS VARCHAR) AS TITUL_ROK_VYDANI) FROM tituly""",
     "ingest_operations": f"""WITH {OPS}

@@ -41,7 +41,8 @@ QUERIES: dict[str, Query] = {}
 
 
 def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
+    """Register under the name of the function, without the underscore that keeps it apart from an operator."""
+    QUERIES[fn.__name__.rstrip("_")] = fn
     return fn
 
 
@@ -185,7 +186,7 @@ def prefix_summary_of_titles(spark, sf_dir):
 
 
 @query
-def copies_per_title_view(spark, sf_dir):
+def copies_per_title_(spark, sf_dir):
     return copies_per_title(Roles(spark, sf_dir).copies())
 
 
@@ -377,7 +378,7 @@ def labelled_results(spark, sf_dir):
 
 
 @query
-def title_subject_texts(spark, sf_dir):
+def title_subjects_(spark, sf_dir):
     return title_subjects(**Roles(spark, sf_dir).subject_tables())
 
 
@@ -443,7 +444,7 @@ def doc_type_labels(spark, sf_dir):
 
 
 @query
-def reader_groups(spark, sf_dir):
+def reader_demographics_(spark, sf_dir):
     return reader_demographics(Roles(spark, sf_dir).readers())
 
 
@@ -485,7 +486,7 @@ def calendar_attributes(spark, sf_dir):
 
 
 @query
-def build_report(spark, sf_dir):
+def validate_build_(spark, sf_dir):
     r = Roles(spark, sf_dir)
     return portable(validate_build(r.enriched(), r.copies(), r.titles()))
 
