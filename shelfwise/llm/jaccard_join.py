@@ -30,6 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from shelfwise.llm.components import connected_components
 from shelfwise.llm.shingles import RollingHash, shingle_set
@@ -325,11 +326,14 @@ def near_copies(
         reps = nodes_of.join(short, "set_id", "left_semi").select(F.col("rep").alias(key))
         whole = _sets(_texts_of(docs, reps, key), key, text, head=False)
         found = found.where("kind < 2").union(stage(_postings(whole, heavy, boundary), "jaccard-postings"))
-    lengths = stage(
-        found.groupBy("kind", "list").agg(F.count(F.lit(1)).alias("length"), F.sum("n").alias("volume")).where("length > 1"),
-        "jaccard-lengths",
+    # lists of light keys are short, so a window counts them; those of heavy tokens are counted before they are dealt out
+    of_list = Window.partitionBy("list")
+    short_lists = found.where("kind = 0").withColumns(
+        {"length": F.count(F.lit(1)).over(of_list), "volume": F.sum("n").over(of_list)}
     )
-    lists = stage(found.join(lengths, ["kind", "list"]), "jaccard-lists")
+    lengths = found.where("kind = 1").groupBy("list").agg(F.count(F.lit(1)).alias("length"), F.sum("n").alias("volume"))
+    heavy_lists = found.where("kind = 1").join(stage(lengths, "jaccard-lengths"), "list").select(short_lists.columns)
+    lists = stage(short_lists.union(heavy_lists).where("length > 1"), "jaccard-lists")
     light = lists.where(F.col("length") <= policy.list_limit)
     long_lists = lists.where(F.col("length") > policy.list_limit)
     heavy_counts = long_lists.groupBy("id").agg(F.count(F.lit(1)).alias("heavy"))
