@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from shelfwise.llm.shingles import RollingHash
 
 BLANK = "▁"
-BATCH_BYTES = 1 << 20  # text handled together, unless one text is longer
+BATCH_BYTES = 1 << 21  # text handled together, unless one text is longer
 SLOTS = 1 << 22
 
 
@@ -106,8 +106,11 @@ class Lattices:
             inside = char_end < ends
             more = inside & ~lead[np.minimum(char_end, n - 1)]
             char_end = char_end + more
+        # the longest piece of a position comes first: it is the likeliest as a rule
+        fits = [np.flatnonzero(lead)]
         for size in pieces.lengths:
-            at = np.flatnonzero(lead & (left >= size))
+            fits.append(fits[-1][left[fits[-1]] >= size])
+        for size, at in reversed(list(zip(pieces.lengths, fits[1:], strict=True))):
             if not len(at):
                 continue
             found = pieces.find(pieces.hashing.spans(sums, at, at + size))
@@ -146,16 +149,17 @@ class Lattices:
         self.p = np.exp(self.log_p)
         # the edges of a position are neighbours: first edge, and running sums that start anew at each
         self.first = np.searchsorted(self.begin, np.arange(n + 1))
-        running = np.concatenate([[0.0], np.cumsum(self.p)])
-        self.running = running
-        self.reached = np.isfinite(back[:n])
 
     def choose(self, position: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge of each position by its probability."""
-        low, high = self.first[position], self.first[position + 1]
-        base, top = self.running[low], self.running[high]
-        edge = np.searchsorted(self.running, base + u * (top - base), side="right") - 1
-        return np.clip(edge, low, high - 1)
+        edge = self.first[position]
+        last = self.first[position + 1] - 1
+        todo = np.flatnonzero((u >= self.p[edge]) & (edge < last))
+        while len(todo):
+            u[todo] -= self.p[edge[todo]]
+            edge[todo] += 1
+            todo = todo[(u[todo] >= self.p[edge[todo]]) & (edge[todo] < last[todo])]
+        return edge
 
     def paths(self, words: np.ndarray, at: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
         """A free path from position ``at`` (-1: the start) through each word of ``words``: edges in order, and which word each belongs to."""
@@ -170,10 +174,14 @@ class Lattices:
             active = active[position[active] < limit[active]]
         if not rounds:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        owner = np.concatenate([r[0] for r in rounds])
-        edges = np.concatenate([r[1] for r in rounds])
-        order = np.argsort(owner, kind="stable")
-        return edges[order], owner[order]
+        steps = np.zeros(len(words), np.int64)
+        for turn, (active, _) in enumerate(rounds):
+            steps[active] = turn + 1
+        start = np.cumsum(steps) - steps
+        edges = np.empty(int(steps.sum()), np.int64)
+        for turn, (active, edge) in enumerate(rounds):
+            edges[start[active] + turn] = edge
+        return edges, np.repeat(np.arange(len(words)), steps)
 
 
 @dataclass
@@ -230,7 +238,7 @@ def sample_paths(lattices: Lattices, words: np.ndarray, k: int, rng: np.random.G
         taken = source.barred.get(step, [int(source.edges[step])])
         position = lattices.begin[source.edges[step]]
         options = np.arange(lattices.first[position], lattices.first[position + 1])
-        options = options[~np.isin(options, taken)]
+        options = np.array([e for e in options.tolist() if e not in taken])
         chance = np.cumsum(lattices.p[options])
         edge = int(options[min(np.searchsorted(chance, rng.random() * chance[-1], side="right"), len(options) - 1)])
         word = int(source.owner[step])
