@@ -25,9 +25,8 @@ def parse_time(df: DataFrame, name: str) -> Column:
     """Operation time as a zone-free timestamp; NULL when it cannot be read."""
     if not isinstance(data_type(df, name), T.StringType):
         return F.col(name).cast("timestamp_ntz")
-    text = F.col(name)
-    parsed = F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz")
-    return F.coalesce(text.try_cast("timestamp_ntz"), parsed)
+    text = F.trim(F.col(name))
+    return F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), text).try_cast("timestamp_ntz")
 
 
 def parse_day_first(c: Column) -> Column:

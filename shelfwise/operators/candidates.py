@@ -19,7 +19,6 @@ TOP_CANDIDATES = 50
 TOP_UNCLEAR = 25
 TOP_PREFIXES = 10
 MAX_SUGGESTIONS = 80
-COUNT_FILTER_CAP = 500_000
 
 # Labels of the two kinds of unclear titles.
 UNCLEAR_HIGH = "hodně svazků + vysoký výkon"
@@ -136,11 +135,11 @@ def apply_filters(titles: DataFrame, filters: Filters) -> DataFrame:
     return out
 
 
-def count_filter_bounds(titles: DataFrame, column: str) -> tuple[int, int]:
-    """Greatest count and the upper end offered for filtering."""
+def count_filter_bounds(titles: DataFrame, column: str, *, cap: int | None = None) -> tuple[int, int]:
+    """Greatest count and the upper end offered for filtering: the same, unless a caller caps what it displays."""
     top = titles.agg(F.max(number(column)).alias("m")).first()["m"]
     greatest = max(int(top or 0), 1)
-    return greatest, min(greatest, COUNT_FILTER_CAP)
+    return greatest, greatest if cap is None else min(greatest, cap)
 
 
 @dataclass(frozen=True)

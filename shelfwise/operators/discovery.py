@@ -9,7 +9,8 @@ from shelfwise.functions.keys import PREFIX_LENGTH, signature_prefix, title_key
 from shelfwise.functions.labels import opid_label
 from shelfwise.schema import pick_column, safe_long
 
-MAX_OPIDS = 64  # fixed value: number of operation codes that get a column of their own
+# Action types that stand for a loan where a table has neither flags nor groups.
+LOAN_WORDS = ("loan", "vypujcka", "checkout", "borrow")
 
 
 def _text(name: str) -> Column:
@@ -46,8 +47,15 @@ def default_loan_actions(events: DataFrame) -> tuple[str, ...]:
     return tuple(r["a"] for r in found)
 
 
-def distinct_opids(events: DataFrame, *, max_opids: int | None = MAX_OPIDS) -> DataFrame:
-    """Distinct operation codes, ascending, the first ``max_opids`` of them."""
+def preselected_actions(events: DataFrame) -> DataFrame:
+    """Action types offered as loans for an uploaded table: those that are a word for loan, else all."""
+    types = action_types(events)
+    words = types.filter(F.lower("a").isin(*LOAN_WORDS))
+    return words if words.take(1) else types
+
+
+def distinct_opids(events: DataFrame, *, max_opids: int | None = None) -> DataFrame:
+    """Distinct operation codes, ascending; with ``max_opids`` the first of them."""
     if "VYP_OPID" not in events.columns:
         return _nothing(events, "opid bigint")
     codes = events.select(safe_long(events, "VYP_OPID").alias("opid")).filter("opid IS NOT NULL").distinct()
@@ -71,8 +79,13 @@ def opid_legend(events: DataFrame) -> DataFrame:
 
 def opid_labels(legend: DataFrame) -> DataFrame:
     """Readable label of each code in a legend or table of operation types."""
-    code = pick_column(legend.columns, ("OPIDY_OPID", "opid", "id"))
-    text = pick_column(legend.columns, ("OPIDY_POPIS", "popis", "text", "name"))
+    lower = {c: c.lower() for c in legend.columns}
+    code = pick_column(legend.columns, ("OPIDY_OPID", "opid", "id")) or next((c for c, x in lower.items() if "opid" in x), None)
+    text = pick_column(legend.columns, ("OPIDY_POPIS", "popis", "text", "name")) or next(
+        (c for c, x in lower.items() if any(w in x for w in ("popis", "text", "name"))), None
+    )
+    if code is None:
+        return _nothing(legend, "opid bigint, popisek string")
     description = F.col(text).cast("string") if text else F.lit(None).cast("string")
     opid = safe_long(legend, code)
     return legend.select(opid.alias("opid"), opid_label(opid, description).alias("popisek")).orderBy("opid")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 # Operation types, document types, branches and the like: thousands of rows at most.
 CODE_LIST_ROWS = 200_000
 SALTS = 32
+BROADCAST_BYTES = 64 << 20
 PLANNED_BYTES = 1 << 20  # a list that the optimizer puts below this needs no counting
 
 
@@ -19,8 +20,12 @@ def planned_bytes(df: DataFrame) -> int:
 
 
 def is_short(df: DataFrame, max_rows: int) -> bool:
-    """Whether a frame has at most ``max_rows`` rows; counting stops at the limit."""
-    return planned_bytes(df) <= min(PLANNED_BYTES, max_rows) or df.limit(max_rows + 1).count() <= max_rows
+    """Whether a frame has at most ``max_rows`` rows and ``BROADCAST_BYTES`` bytes; counting stops at the row limit."""
+    if planned_bytes(df) <= min(PLANNED_BYTES, max_rows):
+        return True
+    size = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    rows, total = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.sum(size)).first()
+    return rows <= max_rows and (total or 0) <= BROADCAST_BYTES
 
 
 def join_code_list(big: DataFrame, codes: DataFrame, key: str, *, max_rows: int | None = None) -> DataFrame:

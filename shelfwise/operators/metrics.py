@@ -31,7 +31,7 @@ from shelfwise.functions.scores import (
     risk_score,
 )
 from shelfwise.operators.copies import copies_per_title, copies_seen_in_events
-from shelfwise.operators.discovery import MAX_OPIDS, distinct_opids
+from shelfwise.operators.discovery import distinct_opids
 from shelfwise.operators.events import clean_events, normalise_events
 from shelfwise.operators.joins import join_code_list
 from shelfwise.operators.ranking import BROADCAST_ROWS, rank_within
@@ -202,7 +202,7 @@ def _wanted_prefix(prefix: str | None) -> str | None:
 
 
 def _wanted_opids(events: DataFrame, opids: Sequence[int] | None, max_opids: int | None) -> list[int]:
-    """The caller's list, or the codes found in the data: at most a few dozen numbers."""
+    """The caller's list, or the codes found in the data (all of them unless the caller sets ``max_opids``)."""
     if opids is not None:
         return list(opids)
     return [r["opid"] for r in distinct_opids(events, max_opids=max_opids).collect()]
@@ -215,7 +215,7 @@ def title_metrics(
     policy: UsagePolicy | None = None,
     sign_prefix: str | None = None,
     opids: Sequence[int] | None = None,
-    max_opids: int | None = MAX_OPIDS,
+    max_opids: int | None = None,
     signature_col: str = "TITUL_SIGN_FULL",
     prefix_length: int = PREFIX_LENGTH,
 ) -> DataFrame:
@@ -249,7 +249,7 @@ def title_metrics_from_star(
     policy: UsagePolicy | None = None,
     sign_prefix: str | None = None,
     opids: Sequence[int] | None = None,
-    max_opids: int | None = MAX_OPIDS,
+    max_opids: int | None = None,
     prefix_length: int = PREFIX_LENGTH,
 ) -> DataFrame:
     """The same metrics without building the wide operations first.

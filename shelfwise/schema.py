@@ -77,7 +77,7 @@ def data_type(df: DataFrame, name: str) -> T.DataType:
 
 
 def safe_long(df: DataFrame, name: str) -> Column:
-    """Column as BIGINT, NULL when it is not a number, fractions rounded (text and floating point alike)."""
+    """Column as BIGINT, NULL when it is not a number; halves are rounded up in text and to even in numbers."""
     dtype = data_type(df, name)
     c = F.col(name)
     if isinstance(dtype, T.IntegralType):
@@ -85,5 +85,5 @@ def safe_long(df: DataFrame, name: str) -> Column:
     if isinstance(dtype, T.StringType):
         return F.coalesce(c.try_cast("bigint"), F.round(c.try_cast("double"), 0).try_cast("bigint"))
     if isinstance(dtype, (T.FractionalType,)):
-        return F.round(c, 0).try_cast("bigint")
+        return F.bround(c, 0).try_cast("bigint")
     return c.try_cast("bigint")

@@ -24,7 +24,8 @@ def stage_root(spark: SparkSession) -> str:
     root = spark.conf.get(ROOT_SETTING, None) or spark.sparkContext.getConf().get(ROOT_SETTING)
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError(f"set {ROOT_SETTING} to a shared folder: staged tables must be visible to every executor")
     global _local_root
     if _local_root is None:
@@ -34,7 +35,12 @@ def stage_root(spark: SparkSession) -> str:
 
 
 def new_stage_path(spark: SparkSession, label: str) -> str:
-    return f"{stage_root(spark)}/shelfwise-stages/{label}-{uuid.uuid4().hex}"
+    return f"{_own_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def _own_folder(spark: SparkSession) -> str:
+    """The root is shared by all applications of a cluster; each has a folder of its own."""
+    return f"{stage_root(spark)}/shelfwise-stages/{spark.sparkContext.applicationId}"
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
@@ -46,8 +52,8 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 
 
 def drop_stages(spark: SparkSession) -> None:
-    """Delete every staged table below the root; call it when no result that reads them is needed any more."""
+    """Delete the staged tables of this application; call it when no result that reads them is needed any more."""
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{stage_root(spark)}/shelfwise-stages")
+    path = jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.delete(path, True)

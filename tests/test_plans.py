@@ -113,6 +113,8 @@ def test_stages_live_in_the_named_folder(spark):
 def test_stages_can_be_dropped(spark, tmp_path, monkeypatch):
     monkeypatch.setattr("shelfwise.staging.stage_root", lambda _: str(tmp_path))
     spark.range(3).write.parquet(new_stage_path(spark, "x"))
-    assert list(tmp_path.glob("shelfwise-stages/x-*"))
+    others = tmp_path / "shelfwise-stages" / "another-application"
+    others.mkdir()
+    assert list(tmp_path.glob("shelfwise-stages/*/x-*"))
     drop_stages(spark)
-    assert not list(tmp_path.glob("shelfwise-stages/*"))
+    assert list(tmp_path.glob("shelfwise-stages/*")) == [others]

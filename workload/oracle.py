@@ -270,7 +270,7 @@ SELECT p_name AS TITUL_NAZEV, coalesce(popis, CAST(opid AS VARCHAR)) AS ACTION_T
 FROM ops JOIN part ON p_partkey = l_partkey GROUP BY 1, 2, 3""",
     "action_types": f"WITH {OPS} SELECT DISTINCT coalesce(popis, CAST(opid AS VARCHAR)) AS a FROM ops ORDER BY a",
     "suggested_loan_actions": f"WITH {OPS} SELECT DISTINCT popis AS a FROM ops WHERE is_loan ORDER BY a",
-    "distinct_opids": f"WITH {OPS} SELECT DISTINCT opid FROM ops ORDER BY opid LIMIT 64",
+    "distinct_opids": f"WITH {OPS} SELECT DISTINCT opid FROM ops ORDER BY opid",
     "opid_legend": f"WITH {OPS} SELECT opid, max(popis) AS popis FROM ops GROUP BY opid ORDER BY opid",
     "opid_labels": f"""WITH {OPS}
 SELECT opid, coalesce(max(popis) || ' (OPID ' || opid || ')', 'OPID ' || opid) AS popisek
@@ -347,7 +347,7 @@ FROM m, (SELECT min(vypujcky_5_let) AS lo, max(vypujcky_5_let) AS hi FROM m) GRO
     ),
     "count_filter_bounds": from_metrics(
         """SELECT CAST(greatest(max(pocet_operaci_v_obdobi), 1) AS INTEGER) AS greatest,
-       CAST(least(greatest(max(pocet_operaci_v_obdobi), 1), 500000) AS INTEGER) AS cap FROM m"""
+       CAST(greatest(max(pocet_operaci_v_obdobi), 1) AS INTEGER) AS cap FROM m"""
     ),
     "top_writeoff": from_classes(
         f"SELECT {CANDIDATE_COLUMNS}, {WRITE_OFF} AS skore_odpis FROM c "
