@@ -34,8 +34,8 @@ def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """``edges`` has long columns ``a`` and ``b``; gives (``node``, ``component``) for every node that has an edge to another,
-    with the least node as the component."""
+    """``edges`` has long columns ``a`` and ``b``; gives (``node``, ``component``) with the least node as the component, for
+    every node that has an edge to another except the least of each component."""
     current = stage(edges.select("a", "b").where("a <> b").mapInArrow(forest, "a long, b long").distinct(), "cc-edges")
     while True:
         # large-star: every neighbour that is larger than a node joins the least of the node and its neighbours
