@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from shelfwise.llm.shingles import RollingHash
 
 BLANK = "▁"
-BATCH_BYTES = 1 << 21  # text handled together, unless one text is longer
+BATCH_BYTES = 1 << 19  # text handled together, unless one text is longer
 SLOTS = 1 << 22
 
 
