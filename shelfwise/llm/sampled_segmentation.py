@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -299,43 +300,45 @@ def segment_batch(texts: list[str | None], seeds: list[int], pieces: Pieces, k:
 def segmentations(
     docs: DataFrame, model_file: str, k: int = 2, seed: int = 23, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """One row for each sample of each text: the columns of ``docs``, ``sample`` from 1, ``piece_ids``, ``log_prob``, ``perturbed``,
+    """One row for each sample of each text: the columns of ``docs`` without the text (decoding gives it back), ``sample`` from 1, ``piece_ids``, ``log_prob``, ``perturbed``,
     ``log_inclusion`` and ``decoded_ok`` (decoding gave the text back)."""
     added = ("sample", "piece_ids", "log_prob", "perturbed", "log_inclusion", "decoded_ok")
     own = docs.drop(*[c for c in added if c not in (key, text)], "_text", "_seed")
     marked = own.withColumn("_text", F.col(text).cast("string")).withColumn("_seed", F.xxhash64(F.lit(seed), F.col(key), F.col(text)))
+    marked = marked.drop(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(model_file)
         for batch in batches:
-            texts, seeds = batch.column("_text").to_pylist(), batch.column("_seed").to_pylist()
             names = [c for c in batch.schema.names if c not in ("_text", "_seed")]
+            sizes = np.nan_to_num(pc.binary_length(batch.column("_text")).to_numpy(zero_copy_only=False).astype(float))
             start = 0
-            while start < len(texts):
-                stop, held = start + 1, len(texts[start] or "")
-                while stop < len(texts) and held + len(texts[stop] or "") <= BATCH_BYTES:
-                    held += len(texts[stop] or "")
-                    stop += 1
-                found = segment_batch(texts[start:stop], seeds[start:stop], pieces, k)
-                flat = [s for samples in found for s in samples]
-                take = pa.array(np.repeat(np.arange(start, stop), [len(s) for s in found]))
-                ids = np.concatenate([s[0] for s in flat]).astype(np.int32)
-                offsets = np.concatenate([[0], np.cumsum([len(s[0]) for s in flat])]).astype(np.int32)
-                ok = [
-                    pieces.decode(s[0]) == (t or "") for t, samples in zip(texts[start:stop], found, strict=True) for s in samples
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(c).take(take) for c in names]
-                    + [
-                        pa.array(np.concatenate([np.arange(1, len(s) + 1) for s in found]).astype(np.int32)),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids)),
-                        *(pa.array([s[i] for s in flat], pa.float64()) for i in (1, 2, 3)),
-                        pa.array(ok, pa.bool_()),
-                    ],
-                    names=[*names, *added],
-                )
+            while start < batch.num_rows:
+                # as many texts as fit, one at least
+                stop = start + max(1, int(np.searchsorted(np.cumsum(sizes[start:]), BATCH_BYTES, side="right")))
+                part = batch.slice(start, stop - start)
+                yield segmented(part, names, pieces)
                 start = stop
 
+    def segmented(part: pa.RecordBatch, names: list[str], pieces: Pieces) -> pa.RecordBatch:
+        texts = part.column("_text").to_pylist()
+        found = segment_batch(texts, part.column("_seed").to_pylist(), pieces, k)
+        flat = [s for samples in found for s in samples]
+        take = pa.array(np.repeat(np.arange(len(texts)), [len(s) for s in found]))
+        ids = np.concatenate([s[0] for s in flat]).astype(np.int32)
+        offsets = np.concatenate([[0], np.cumsum([len(s[0]) for s in flat])]).astype(np.int32)
+        ok = [pieces.decode(s[0].tolist()) == (t or "") for t, samples in zip(texts, found, strict=True) for s in samples]
+        return pa.RecordBatch.from_arrays(
+            [part.column(c).take(take) for c in names]
+            + [
+                pa.array(np.concatenate([np.arange(1, len(s) + 1) for s in found]).astype(np.int32)),
+                pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids)),
+                *(pa.array([s[i] for s in flat], pa.float64()) for i in (1, 2, 3)),
+                pa.array(ok, pa.bool_()),
+            ],
+            names=[*names, *added],
+        )
+
     fields = [f for f in marked.schema.fields if f.name not in ("_text", "_seed")]
     schema = T.StructType(
         [
