@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.llm import (
     exact_topk,
+    importance,
     jaccard_join,
     language_id,
     mixing,
@@ -107,3 +108,9 @@ def op2_sampled_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return sampled_segmentation.segmentations(docs, public_tokenizers.path(PIECES))
+
+
+@query
+def op9_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return importance.resample(docs, read_table(spark, sf_dir, "labels"))

@@ -13,6 +13,7 @@ from tests.llm import brute
 
 from shelfwise.llm import (
     exact_topk,
+    importance,
     jaccard_join,
     language_id,
     mixing,
@@ -314,3 +315,20 @@ def test_segmentation_distribution():
     both = sum(best in {tuple(s[0].tolist()) for s in samples} for samples in drawn) / n
     expected = p + sum(math.exp(v - total) * p / (1 - math.exp(v - total)) for k, v in found.items() if k != best)
     assert both == pytest.approx(expected, abs=0.03)
+
+
+def test_importance_resampling(spark):
+    rng = random.Random(8)
+    good = [(i, " ".join(rng.choices(["fine", "prose", "reads", "well"], k=30))) for i in range(200)]
+    bad = [(1000 + i, " ".join(rng.choices(["buy", "now", "cheap", "click"], k=30))) for i in range(200)]
+    docs = frame(spark, [*good, *bad, (5000, None), (5001, "")]).withColumn("kept", F.lit("clash"))
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 200, 2)], "doc_id long, quality int, toxic int")
+    rows = importance.resample(docs, labels, share=0.5).collect()
+    assert sum(r.kept for r in rows) == 201
+    assert {r.doc_id for r in rows if r.kept} >= set(range(200))
+    assert {r.log_weight for r in rows if r.doc_id >= 5000} == {0.0}
+    keys = sorted((r.sample_key for r in rows), reverse=True)
+    frame_ = spark.createDataFrame([(k,) for k in keys], "sample_key double")
+    assert [importance.cutoff(frame_, k) for k in (1, 7, 401)] == [keys[0], keys[6], keys[400]]
+    assert {r.log_weight for r in importance.resample(docs, labels.limit(0)).collect()} == {0.0}
+    assert importance.resample(docs.limit(0), labels).count() == 0
