@@ -104,7 +104,7 @@ def cutoff(keys: DataFrame, k: int) -> float:
 
 
 def resample(
-    docs: DataFrame, labels: DataFrame, share: float = 0.5, key: str = "doc_id", text: str = "text"
+    docs: DataFrame, labels: DataFrame, share: float = 0.9, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """Each document with ``log_weight``, ``sample_key`` and ``kept``: the sample holds ``share`` of all rows."""
     good = labels.groupBy(key).agg(
