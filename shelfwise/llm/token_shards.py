@@ -6,7 +6,7 @@ counts of ones before every 512th bit. From that one file ``access``, ``rank``,
 and ``decode`` restores all ids. Files are written as Parquet rows, one shard in a file, so that Spark's committer handles lost
 executors and any store that Spark can write will do.
 
-The text of a document is cut at blanks and line feeds (and before closing stops and commas), each distinct piece of a batch is encoded once by the tokenizer and ids are put together from
+The text of a document is cut at blanks and line feeds (and before closing signs), each distinct piece of a batch is encoded once by the tokenizer and ids are put together from
 pieces. The tokenizer's rules never look across white space, so the ids are those of the whole text (tested).
 
 Edge cases: null and empty texts have the end id only; repeated keys keep the order of their texts' hashes; a text longer than a
@@ -16,7 +16,6 @@ shard makes a shard of its own length; an empty table writes no shard.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator, Sequence
@@ -24,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -33,7 +33,12 @@ MAGIC = b"WMX1"
 STEP = 512  # bits between two stored counts
 DELIMITER = "\x01"
 JOINED = 100  # distinct pieces in one string for the tokenizer
-CLOSING = re.compile(r"(?<=[a-zA-Z])([.,])(?=[ \n])")
+#: A Latin letter (but for the dotted capital I, which is lower-cased to two characters), signs that end no special token, white space.
+CLOSING = r"([a-zA-Z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}])([.,!?;:$%*#)&]+)([ \n])"
+
+
+def narrowest(bits: int) -> type:
+    return np.uint16 if bits <= 16 else np.uint32
 
 
 class WaveletMatrix:
@@ -48,15 +53,14 @@ class WaveletMatrix:
 
     @classmethod
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
-        ids = np.ascontiguousarray(ids, np.uint32)
+        ids = np.ascontiguousarray(ids, narrowest(int(ids.max(initial=0)).bit_length()))
         planes, zeros = [], []
         for bit in reversed(range(int(ids.max(initial=0)).bit_length())):
-            one = (ids >> np.uint32(bit)).astype(np.uint8) & 1
+            one = (ids & ids.dtype.type(1 << bit)) != 0
             planes.append(np.packbits(one))
-            one = one.view(bool)
-            low = ids[~one]
+            low = np.compress(~one, ids)
             zeros.append(len(low))
-            ids = np.concatenate([low, ids[one]])
+            ids = np.concatenate([low, np.compress(one, ids)])
         return cls(int(ids.size), planes, zeros)
 
     def _bit(self, level: int, i: int) -> int:
@@ -122,14 +126,14 @@ class WaveletMatrix:
 
     def decode(self) -> np.ndarray:
         """All ids, from the lowest plane up: each plane undoes its stable partition."""
-        ids = np.zeros(self.size, np.uint32)
+        ids = np.zeros(self.size, narrowest(len(self.zeros)))
         for level in reversed(range(len(self.zeros))):
             one = np.unpackbits(self.planes[level], count=self.size).view(bool)
             out = np.empty_like(ids)
-            out[~one] = ids[: self.zeros[level]]
-            out[one] = ids[self.zeros[level] :] | np.uint32(1 << (len(self.zeros) - 1 - level))
+            out[np.flatnonzero(~one)] = ids[: self.zeros[level]]
+            out[np.flatnonzero(one)] = ids[self.zeros[level] :] | ids.dtype.type(1 << (len(self.zeros) - 1 - level))
             ids = out
-        return ids
+        return ids.astype(np.uint32)
 
 
 @dataclass
@@ -168,56 +172,81 @@ class Shard:
         return cls(keys, known, lengths, WaveletMatrix(size, [take("u1", -(-size // 8)) for _ in range(levels)], zeros))
 
 
-class _Numbering(dict):
-    def __missing__(self, piece: str) -> int:
-        number = self[piece] = len(self)
-        return number
-
-
-def _pieces(text: str | None) -> list[str]:
-    """A text cut where the tokenizer never looks across: at blanks and line feeds and, to meet fewer different pieces, between a letter
-    and a full stop or comma that white space follows. ASCII texts are lower-cased, as the tokenizer would."""
-    if not text:
-        return [""]
-    if text.isascii():
-        text = text.lower()
-    return CLOSING.sub(r" \1", text).replace("\n", " ").split(" ")
+def _pieces(texts: pa.Array) -> pa.ListArray:
+    """Texts cut where the tokenizer never looks across: at blanks and line feeds and, to meet fewer different pieces, between a letter
+    and closing signs that white space follows. ASCII texts are lower-cased, as the tokenizer would."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    texts = pc.if_else(pc.string_is_ascii(texts), pc.ascii_lower(texts), texts)
+    texts = pc.replace_substring_regex(texts, CLOSING, r"\1 \2\3")
+    return pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+
+
+class Encoder:
+    """A tokenizer, the ids of the delimiter, and which ids end a word (none, if its model does not mark them)."""
+
+    def __init__(self, tokenizer) -> None:
+        self.tokenizer = tokenizer
+        self.mark = self._ids([DELIMITER])[0]
+        suffix = getattr(tokenizer.model, "end_of_word_suffix", None)
+        vocab = tokenizer.get_vocab(with_added_tokens=True)
+        self.word_end = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        if suffix:
+            self.word_end[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _joined(self, pieces: list[str]) -> list[tuple[list[str], np.ndarray, np.ndarray]]:
+        """Calls of many pieces: the pieces, their ids one after another, and how many each has."""
+        words, rest, out = [], [], []
+        for p in pieces:
+            (words if p.isalpha() else rest).append(p)
+        # letters alone make one word, whose last id ends it; where the count of such ids differs, a delimiter decides
+        if self.word_end.any():
+            calls = [words[s : s + JOINED] for s in range(0, len(words), JOINED)]
+            for call, ids in zip(calls, self._ids([" ".join(c) for c in calls]), strict=True):
+                ends = np.flatnonzero(self.word_end[ids])
+                if len(ends) == len(call) and ends[-1] == len(ids) - 1:
+                    out.append((call, ids, np.diff(ends, prepend=-1)))
+                else:
+                    rest += call
+        else:
+            rest += words
+        plain = [p for p in rest if len(self.mark) == 1 and DELIMITER not in p]
+        calls = [plain[s : s + JOINED] for s in range(0, len(plain), JOINED)]
+        # a delimiter ends each piece, so the ids between two delimiters are one piece's
+        for call, ids in zip(calls, self._ids(["".join(f"{p} {DELIMITER} " for p in c) for c in calls]), strict=True):
+            at = np.flatnonzero(ids == self.mark[0])
+            out.append((call, np.delete(ids, at), np.diff(at, prepend=-1) - 1))
+        alone = [p for p in rest if len(self.mark) != 1 or DELIMITER in p]
+        return out + [([p], ids, np.array([len(ids)])) for p, ids in zip(alone, self._ids(alone), strict=True)]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after another, and how many each text has."""
+        pieces = _pieces(texts)
+        coded = pieces.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        number = dict(zip(distinct, range(len(distinct)), strict=True))
+        sizes, starts = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+        flat, held = [np.zeros(0, np.uint32)], 0
+        for call, ids, counts in self._joined([p for p in distinct if p]):
+            places = [number[p] for p in call]
+            sizes[places] = counts
+            starts[places] = held + np.cumsum(counts) - counts
+            flat.append(ids)
+            held += len(ids)
+        order = coded.indices.to_numpy()
+        count = sizes[order]
+        ends = np.cumsum(count)
+        places = np.repeat(starts[order] - (ends - count), count) + np.arange(count.sum())
+        text_ends = pieces.offsets.to_numpy()[1:] - pieces.offsets[0].as_py()
+        totals = np.concatenate([[0], ends])[text_ends]
+        return np.concatenate(flat)[places], np.diff(totals, prepend=0)
 
 
 def encode_texts(tokenizer, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """All ids one after another, and how many each text has."""
-    numbers = _Numbering()
-    numbers[""]
-    split = [np.fromiter(map(numbers.__getitem__, _pieces(t)), np.int64) for t in texts]
-    pieces = list(numbers)
-    mark = tokenizer.encode(DELIMITER, add_special_tokens=False).ids
-    odd = [i for i, p in enumerate(pieces) if p and (DELIMITER in p or len(mark) != 1)]
-    alone = set(odd)
-    plain = [i for i, p in enumerate(pieces) if p and i not in alone]
-    calls = [plain[s : s + JOINED] for s in range(0, len(plain), JOINED)]
-    # a delimiter ends each piece, so the ids between two delimiters are one piece's
-    joined = tokenizer.encode_batch_fast(
-        ["".join(f"{pieces[i]} {DELIMITER} " for i in c) for c in calls], add_special_tokens=False
-    )
-    ids = np.concatenate([np.zeros(0, np.uint32), *(np.array(e.ids, np.uint32) for e in joined)])
-    single = [np.array(tokenizer.encode(pieces[i], add_special_tokens=False).ids, np.uint32) for i in odd]
-    sizes, starts = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
-    if plain:
-        at = np.flatnonzero(ids == mark[0])
-        ids = np.delete(ids, at)
-        sizes[plain] = np.diff(at, prepend=-1) - 1
-        starts[plain] = np.cumsum(sizes[plain]) - sizes[plain]
-    flat = np.concatenate([ids, *single])
-    for i, own in zip(odd, single, strict=True):
-        sizes[i] = len(own)
-    starts[odd] = len(ids) + np.cumsum(sizes[odd]) - sizes[odd]
-    order = np.concatenate([np.zeros(0, np.int64), *split])
-    count = sizes[order]
-    ends = np.cumsum(count)
-    places = np.repeat(starts[order] - (ends - count), count) + np.arange(count.sum())
-    text_ends = np.cumsum([len(s) for s in split], dtype=np.int64)
-    totals = np.concatenate([[0], ends])[text_ends]
-    return flat[places], np.diff(totals, prepend=0)
+    return Encoder(tokenizer).encode(pa.array(texts, pa.large_string()))
 
 
 def write_shards(
@@ -236,7 +265,7 @@ def write_shards(
         from pyspark import TaskContext
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(tokenizer_file)
+        encoder = Encoder(Tokenizer.from_file(tokenizer_file))
         part, seq = TaskContext.get().partitionId(), 0
         keys: list = []
         lengths: list[int] = []
@@ -257,7 +286,7 @@ def write_shards(
             )
 
         for batch in batches:
-            ids, sizes = encode_texts(tokenizer, batch.column("t").to_pylist())
+            ids, sizes = encoder.encode(batch.column("t"))
             at = 0
             for k, n in zip(batch.column("k").to_pylist(), sizes.tolist(), strict=True):
                 keys.append(k)
