@@ -30,11 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfwise.llm.shingles import RollingHash
+from shelfwise.llm.shingles import RollingHash, _mix
 
 BLANK = "▁"
 BATCH_BYTES = 1 << 19  # text handled together, unless one text is longer
+CHUNK_BYTES = 1 << 17  # distinct words whose lattices are worked out at once, unless one word is longer
 SLOTS = 1 << 22
+STEP = 0x9E3779B97F4A7C15
 
 
 class Pieces:
@@ -92,10 +94,25 @@ class Lattices:
     """The lattices of distinct words laid end to end: edges sorted by position, with conditional probabilities."""
 
     def __init__(self, words: list[bytes], pieces: Pieces) -> None:
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        parts, at = [], 0
+        while at < len(words):
+            before = int(ends[at - 1]) if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, before + CHUNK_BYTES, side="right")))
+            parts.append(self._chunk(words[at:stop], pieces, before, sum(len(p[3]) for p in parts)))
+            at = stop
+        columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+        self.starts, self.word_end, self.first, self.begin, self.end, self.ids, self.log_p, self.p = columns
+        self.first = np.append(self.first, len(self.begin))
+
+    @staticmethod
+    def _chunk(words: list[bytes], pieces: Pieces, shift: int, edges: int) -> tuple[np.ndarray, ...]:
+        """Some words' starts, each position's word end and first edge, and the edges: begin, end, piece, log-probability, probability.
+        ``shift`` bytes and ``edges`` edges come before."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         data = np.frombuffer(b"".join(words), np.uint8)
-        self.starts = np.cumsum(sizes) - sizes
-        ends = np.repeat(self.starts + sizes, sizes)
+        starts = np.cumsum(sizes) - sizes
+        ends = np.repeat(starts + sizes, sizes)
         n = len(data)
         left = ends - np.arange(n)
         lead = (data & 0xC0) != 0x80
@@ -126,16 +143,15 @@ class Lattices:
         froms.append(lone)
         tos.append(lone + 1)
         ids.append(pieces.byte_ids[data[lone]])
-        self.begin, self.end, self.ids = (np.concatenate(x) for x in (froms, tos, ids))
-        order = np.argsort(self.begin, kind="stable")
-        self.begin, self.end, self.ids = self.begin[order], self.end[order], self.ids[order]
-        self.word_end = ends
-        score = pieces.log_prob[self.ids]
+        begin, end, ids = (np.concatenate(x) for x in (froms, tos, ids))
+        order = np.argsort(begin, kind="stable")
+        begin, end, ids = begin[order], end[order], ids[order]
+        score = pieces.log_prob[ids]
         # backward sums, by distance from the word's end; index n stands for any word's end
         back = np.full(n + 1, -np.inf)
-        target = np.where(self.end == ends[self.begin] if n else np.zeros(0, bool), n, self.end)
+        target = np.where(end == ends[begin] if n else np.zeros(0, bool), n, end)
         back[n] = 0.0
-        distance = left[self.begin] if n else np.zeros(0, np.int64)
+        distance = left[begin] if n else np.zeros(0, np.int64)
         turn = np.argsort(distance, kind="stable")
         bounds = np.searchsorted(distance[turn], np.arange(1, (distance.max() if n else 0) + 2))
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
@@ -143,13 +159,14 @@ class Lattices:
                 continue
             e = turn[a:b]
             value = score[e] + back[target[e]]
-            first = np.flatnonzero(np.concatenate([[True], self.begin[e][1:] != self.begin[e][:-1]]))
-            back[self.begin[e[first]]] = np.logaddexp.reduceat(value, first)
+            first = np.flatnonzero(np.concatenate([[True], begin[e][1:] != begin[e][:-1]]))
+            back[begin[e[first]]] = np.logaddexp.reduceat(value, first)
         total = back[target] + score
-        self.log_p = total - back[self.begin] if n else total
-        self.p = np.exp(self.log_p)
-        # the edges of a position are neighbours: first edge, and running sums that start anew at each
-        self.first = np.searchsorted(self.begin, np.arange(n + 1))
+        log_p = total - back[begin]
+        # the edges of a position are neighbours
+        first = np.searchsorted(begin, np.arange(n))
+        narrow = (begin + shift).astype(np.int32), (end + shift).astype(np.int32), ids.astype(np.int32)
+        return starts + shift, ends + shift, first + edges, *narrow, log_p, np.exp(log_p)
 
     def choose(self, position: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge of each position by its probability."""
@@ -162,14 +179,15 @@ class Lattices:
             todo = todo[(u[todo] >= self.p[edge[todo]]) & (edge[todo] < last[todo])]
         return edge
 
-    def paths(self, words: np.ndarray, at: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-        """A free path from position ``at`` (-1: the start) through each word of ``words``: edges in order, and which word each belongs to."""
+    def paths(self, words: np.ndarray, at: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A free path from position ``at`` (-1: the start) through each word of ``words``: edges in order, and which word each belongs to.
+        Random numbers follow from the words' ``keys``."""
         position = np.where(at < 0, self.starts[words], at)
         limit = self.word_end[self.starts[words]]
         active = np.flatnonzero(position < limit)
         rounds = []
         while len(active):
-            edge = self.choose(position[active], rng.random(len(active)))
+            edge = self.choose(position[active], _uniform(keys[active] + _times(len(rounds))))
             rounds.append((active, edge))
             position[active] = self.end[edge]
             active = active[position[active] < limit[active]]
@@ -198,6 +216,15 @@ class Path:
     barred: dict[int, list[int]]
 
 
+def _times(n: int) -> np.uint64:
+    return np.uint64(n * STEP & (1 << 64) - 1)
+
+
+def _uniform(keys: np.ndarray) -> np.ndarray:
+    """Random numbers in [0, 1), each a function of its key."""
+    return (_mix(keys) >> np.uint64(11)) * 2.0**-53
+
+
 def _truncated(mass: np.ndarray, value: float, rng: np.random.Generator) -> np.ndarray:
     """Greatest Gumbel value of sets with these log-masses, given that it is below ``value``."""
     with np.errstate(divide="ignore"):
@@ -209,47 +236,75 @@ def _log_rest(p: np.ndarray) -> np.ndarray:
         return np.where(p >= 1 - 1e-12, -np.inf, np.log1p(-np.minimum(p, 1.0)))
 
 
-def sample_paths(lattices: Lattices, words: np.ndarray, k: int, rng: np.random.Generator) -> tuple[list[Path], float]:
-    """The k paths with the greatest perturbed log-probabilities, and the (k+1)th value (-inf: there is no further path)."""
-
-    def path(edges, owner, value, fixed: int, barred_at: list[int]) -> Path:
-        """``fixed`` steps belong to earlier paths; at step ``fixed`` (if barred) some edges are taken already."""
-        log_p = lattices.log_p[edges]
-        before = np.concatenate([[0.0], np.cumsum(log_p)])[:-1]
-        own = before[fixed:] + _log_rest(lattices.p[edges[fixed:]])
-        if barred_at:
-            taken = float(lattices.p[barred_at].sum() + lattices.p[edges[fixed]])
+class Search:
+    """The search of one text for the ``k`` paths with the greatest perturbed log-probabilities. ``wanted`` opens the next set and tells the words
+    through which it needs a free path, ``take`` receives that path; ``threshold`` is the (k+1)th value (-inf: there is no further path)."""
+
+    def __init__(self, lattices: Lattices, words: np.ndarray, k: int, seed: int) -> None:
+        self.lattices, self.words, self.k, self.seed = lattices, words, k, seed & (1 << 64) - 1
+        self.rng = np.random.Generator(np.random.PCG64(self.seed))
+        self.paths: list[Path] = []
+        self.threshold = -np.inf
+
+    def wanted(self) -> tuple[np.ndarray, int, np.ndarray] | None:
+        """Words, the position to start from in the first (-1: its start), and a key for each; None at the end."""
+        none = np.zeros(0, np.int64)
+        if not self.paths:
+            self.value, self.word, self.fixed, self.barred = float(self.rng.gumbel()), 0, 0, []
+            self.edges, self.owner, at = none, none, -1
+        else:
+            tops = [(float(p.open.max()) if len(p.open) else -np.inf) for p in self.paths]
+            best = int(np.argmax(tops))
+            if np.isneginf(tops[best]) or len(self.paths) == self.k:
+                self.threshold = tops[best]
+                return None
+            source, self.value = self.paths[best], tops[best]
+            step = self.fixed = int(source.open.argmax())
+            source.open[step] = -np.inf
+            self.barred = source.barred.get(step, [int(source.edges[step])])
+            edge = self._other_edge(self.lattices.begin[source.edges[step]])
+            self.word, at = int(source.owner[step]), int(self.lattices.end[edge])
+            self.edges = np.concatenate([source.edges[:step], [edge]])
+            self.owner = np.concatenate([source.owner[:step], [self.word]])
+        rest = self.words[self.word :]
+        key = _mix(np.array([self.seed], np.uint64) + _times(len(self.paths) + 1))
+        return rest, at, _mix(key + np.arange(1, len(rest) + 1, dtype=np.uint64))
+
+    def _other_edge(self, position: int) -> int:
+        """An edge of a position besides those that are barred, by its probability."""
+        options = [e for e in range(self.lattices.first[position], self.lattices.first[position + 1]) if e not in self.barred]
+        chance = np.cumsum(self.lattices.p[options])
+        return options[min(int(np.searchsorted(chance, self.rng.random() * chance[-1], side="right")), len(options) - 1)]
+
+    def take(self, tail: np.ndarray, tail_owner: np.ndarray) -> None:
+        edges, owner = np.concatenate([self.edges, tail]), np.concatenate([self.owner, tail_owner + self.word])
+        log_p, p, fixed = self.lattices.log_p[edges], self.lattices.p, self.fixed
+        before = np.cumsum(log_p) - log_p
+        own = before[fixed:] + _log_rest(p[edges[fixed:]])
+        if self.barred:
+            taken = float(p[self.barred].sum() + p[edges[fixed]])
             own[0] = before[fixed] + _log_rest(np.array([taken]))[0]
         open_ = np.full(len(edges), -np.inf)
-        open_[fixed:] = _truncated(own, value, rng)
-        barred = {fixed: [*barred_at, int(edges[fixed])]} if barred_at else {}
-        return Path(edges, owner, float(log_p.sum()), value, open_, barred)
-
-    edges, owner = lattices.paths(words, np.full(len(words), -1), rng)
-    paths = [path(edges, owner, float(rng.gumbel()), 0, [])]
-    while True:
-        tops = [(float(p.open.max()) if len(p.open) else -np.inf) for p in paths]
-        best = int(np.argmax(tops))
-        if np.isneginf(tops[best]) or len(paths) == k:
-            return paths, tops[best]
-        source = paths[best]
-        step = int(source.open.argmax())
-        value = tops[best]
-        source.open[step] = -np.inf
-        taken = source.barred.get(step, [int(source.edges[step])])
-        position = lattices.begin[source.edges[step]]
-        options = np.arange(lattices.first[position], lattices.first[position + 1])
-        options = np.array([e for e in options.tolist() if e not in taken])
-        chance = np.cumsum(lattices.p[options])
-        edge = int(options[min(np.searchsorted(chance, rng.random() * chance[-1], side="right"), len(options) - 1)])
-        word = int(source.owner[step])
-        rest = words[word:]
-        at = np.full(len(rest), -1)
-        at[0] = lattices.end[edge]
-        tail, tail_owner = lattices.paths(rest, at, rng)
-        edges = np.concatenate([source.edges[:step], [edge], tail])
-        owner = np.concatenate([source.owner[:step], [word], tail_owner + word])
-        paths.append(path(edges, owner, value, step, taken))
+        open_[fixed:] = _truncated(own, self.value, self.rng)
+        barred = {fixed: [*self.barred, int(edges[fixed])]} if self.barred else {}
+        self.paths.append(Path(edges, owner, float(log_p.sum()), self.value, open_, barred))
+
+
+def sample_paths(lattices: Lattices, searches: list[Search]) -> None:
+    """Run the searches of several texts side by side: the free paths that they want next are drawn together."""
+    while searches:
+        asked = [(s, w) for s in searches if (w := s.wanted())]
+        searches = [s for s, _ in asked]
+        if not asked:
+            return
+        sizes = np.array([len(w[0]) for _, w in asked])
+        starts = np.cumsum(sizes) - sizes
+        at = np.full(int(sizes.sum()), -1)
+        at[starts] = [w[1] for _, w in asked]
+        edges, owner = lattices.paths(np.concatenate([w[0] for _, w in asked]), at, np.concatenate([w[2] for _, w in asked]))
+        bounds = np.searchsorted(owner, np.append(starts, len(at)))
+        for search, start, a, b in zip(searches, starts, bounds[:-1], bounds[1:], strict=True):
+            search.take(edges[a:b], owner[a:b] - start)
 
 
 def log_inclusion(log_prob: float, threshold: float) -> float:
@@ -286,15 +341,13 @@ def segment_batch(texts: list[str | None], seeds: list[int], pieces: Pieces, k:
     numbers = _Numbering()
     split = [np.fromiter(map(numbers.__getitem__, split_words(t)), np.int64) if t else np.zeros(0, np.int64) for t in texts]
     lattices = Lattices(list(numbers), pieces) if numbers else None
-    out = []
-    for words, seed in zip(split, seeds, strict=True):
-        if not len(words):
-            out.append([(np.zeros(0, np.int64), 0.0, 0.0, 0.0)])
-            continue
-        rng = np.random.Generator(np.random.PCG64(seed & (1 << 64) - 1))
-        paths, threshold = sample_paths(lattices, words, k, rng)
-        out.append([(lattices.ids[p.edges], p.log_prob, p.value, log_inclusion(p.log_prob, threshold)) for p in paths])
-    return out
+    searches = [Search(lattices, words, k, seed) if len(words) else None for words, seed in zip(split, seeds, strict=True)]
+    sample_paths(lattices, [s for s in searches if s])
+    empty = [(np.zeros(0, np.int64), 0.0, 0.0, 0.0)]
+    return [
+        [(lattices.ids[p.edges], p.log_prob, p.value, log_inclusion(p.log_prob, s.threshold)) for p in s.paths] if s else empty
+        for s in searches
+    ]
 
 
 def segmentations(
