@@ -15,13 +15,14 @@ Decoding joins the pieces' bytes and drops the leading blank; it gives back ever
 
 Edge cases: null and empty texts have one segmentation without ids (log-probability 0); a text with fewer segmentations than ``k`` gives them
 all, with inclusion score 0; repeated rows give the same samples; the literal sign for a blank is spelled in bytes; memory follows the longest
-text of a batch. Output columns replace input columns of the same name.
+text, and the lattices of words are kept from text to text up to a fixed size, which changes no result. Output columns replace input columns of the same name.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,7 @@ from shelfwise.llm.shingles import RollingHash, _mix
 BLANK = "▁"
 BATCH_BYTES = 1 << 19  # text handled together, unless one text is longer
 CHUNK_BYTES = 1 << 17  # distinct words whose lattices are worked out at once, unless one word is longer
+KEPT_BYTES = 1 << 20  # distinct words whose lattices go on to the next texts, about 100 bytes for each of theirs
 SLOTS = 1 << 22
 STEP = 0x9E3779B97F4A7C15
 
@@ -73,34 +75,57 @@ class Pieces:
         self.lengths = np.unique(sizes)
         order = np.argsort(hashes)
         self.sorted_hashes, self.sorted_ids = hashes[order], np.array(ids)[order]
-        # a bit for each leading part of a hash: most spans are ruled out by one look
-        self.seen = np.zeros(SLOTS, bool)
-        self.seen[(hashes >> np.uint64(42)).astype(np.int64)] = True
+        # where the hashes with a leading part start: most spans are ruled out, the others found, by one look
+        lead = (self.sorted_hashes >> np.uint64(42)).astype(np.int64)
+        counts = np.bincount(lead, minlength=SLOTS)
+        self.slots = np.where(counts > 0, np.cumsum(counts) - counts, -1).astype(np.int32)
+        self.depth = int(counts.max())
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Ids of the spans, -1 where a span is no piece."""
         out = np.full(len(hashes), -1, np.int64)
-        maybe = np.flatnonzero(self.seen[(hashes >> np.uint64(42)).astype(np.int64)])
-        at = np.minimum(np.searchsorted(self.sorted_hashes, hashes[maybe]), len(self.sorted_hashes) - 1)
-        hit = self.sorted_hashes[at] == hashes[maybe]
-        out[maybe[hit]] = self.sorted_ids[at[hit]]
+        slot = self.slots[(hashes >> np.uint64(42)).astype(np.int64)]
+        maybe = np.flatnonzero(slot >= 0)
+        at, wanted = slot[maybe], hashes[maybe]
+        # hashes with the same leading part are neighbours, a few at most
+        for _ in range(self.depth):
+            hit = self.sorted_hashes[at] == wanted
+            out[maybe[hit]] = self.sorted_ids[at[hit]]
+            going = ~hit & (at + 1 < len(self.sorted_hashes))
+            maybe, at, wanted = maybe[going], at[going] + 1, wanted[going]
         return out
 
     def decode(self, ids) -> str:
         return b"".join(map(self.bytes.__getitem__, ids))[1:].decode("utf-8", "surrogatepass")
 
 
-class Lattices:
-    """The lattices of distinct words laid end to end: edges sorted by position, with conditional probabilities."""
+class _Numbering(dict):
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        return number
+
 
-    def __init__(self, words: list[bytes], pieces: Pieces) -> None:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
-        parts, at = [], 0
+class Lattices:
+    """The lattices of distinct words laid end to end: edges sorted by position, with conditional probabilities. ``numbers`` tells the
+    place of a word; ``extend`` adds the lattices of words that were numbered since."""
+
+    def __init__(self, pieces: Pieces) -> None:
+        self.pieces, self.numbers = pieces, _Numbering()
+        whole, narrow, real = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0)
+        self.starts, self.word_end, self.first = whole, whole, np.zeros(1, np.int64)
+        self.begin, self.end, self.ids, self.log_p, self.p = narrow, narrow, narrow, real, real
+
+    def extend(self) -> None:
+        words = list(islice(self.numbers, len(self.starts), None))
+        if not words:
+            return
+        ends = len(self.word_end) + np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        parts = [(self.starts, self.word_end, self.first[:-1], self.begin, self.end, self.ids, self.log_p, self.p)]
+        at, before, edges = 0, len(self.word_end), len(self.begin)
         while at < len(words):
-            before = int(ends[at - 1]) if at else 0
             stop = max(at + 1, int(np.searchsorted(ends, before + CHUNK_BYTES, side="right")))
-            parts.append(self._chunk(words[at:stop], pieces, before, sum(len(p[3]) for p in parts)))
-            at = stop
+            parts.append(self._chunk(words[at:stop], self.pieces, before, edges))
+            at, before, edges = stop, int(ends[stop - 1]), edges + len(parts[-1][3])
         columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
         self.starts, self.word_end, self.first, self.begin, self.end, self.ids, self.log_p, self.p = columns
         self.first = np.append(self.first, len(self.begin))
@@ -152,7 +177,8 @@ class Lattices:
         target = np.where(end == ends[begin] if n else np.zeros(0, bool), n, end)
         back[n] = 0.0
         distance = left[begin] if n else np.zeros(0, np.int64)
-        turn = np.argsort(distance, kind="stable")
+        # numpy sorts short numbers by radix
+        turn = np.argsort(distance.astype(np.uint16) if n and distance.max() < 1 << 16 else distance, kind="stable")
         bounds = np.searchsorted(distance[turn], np.arange(1, (distance.max() if n else 0) + 2))
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
             if a == b:
@@ -164,7 +190,8 @@ class Lattices:
         total = back[target] + score
         log_p = total - back[begin]
         # the edges of a position are neighbours
-        first = np.searchsorted(begin, np.arange(n))
+        held = np.bincount(begin, minlength=n)
+        first = np.cumsum(held) - held
         narrow = (begin + shift).astype(np.int32), (end + shift).astype(np.int32), ids.astype(np.int32)
         return starts + shift, ends + shift, first + edges, *narrow, log_p, np.exp(log_p)
 
@@ -315,12 +342,6 @@ def log_inclusion(log_prob: float, threshold: float) -> float:
     return x if x < -30 else float(np.log(-np.expm1(-np.exp(min(x, 30.0)))))
 
 
-class _Numbering(dict):
-    def __missing__(self, word: bytes) -> int:
-        number = self[word] = len(self)
-        return number
-
-
 def split_words(text: str) -> list[bytes]:
     """Words of a text after its leading blank, each with the blanks before it."""
     data = b" " + text.encode("utf-8", "surrogatepass")
@@ -336,11 +357,13 @@ def split_words(text: str) -> list[bytes]:
     return out + [blanks] if blanks else out
 
 
-def segment_batch(texts: list[str | None], seeds: list[int], pieces: Pieces, k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
-    """For each text its samples: ids, log-probability, perturbed value, log of the inclusion score."""
-    numbers = _Numbering()
-    split = [np.fromiter(map(numbers.__getitem__, split_words(t)), np.int64) if t else np.zeros(0, np.int64) for t in texts]
-    lattices = Lattices(list(numbers), pieces) if numbers else None
+def segment_batch(
+    texts: list[str | None], seeds: list[int], lattices: Lattices, k: int
+) -> list[list[tuple[np.ndarray, float, float, float]]]:
+    """For each text its samples: ids, log-probability, perturbed value, log of the inclusion score. Words of earlier batches are known."""
+    number = lattices.numbers.__getitem__
+    split = [np.fromiter(map(number, split_words(t)), np.int64) if t else np.zeros(0, np.int64) for t in texts]
+    lattices.extend()
     searches = [Search(lattices, words, k, seed) if len(words) else None for words, seed in zip(split, seeds, strict=True)]
     sample_paths(lattices, [s for s in searches if s])
     empty = [(np.zeros(0, np.int64), 0.0, 0.0, 0.0)]
@@ -362,6 +385,7 @@ def segmentations(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(model_file)
+        lattices = Lattices(pieces)
         for batch in batches:
             names = [c for c in batch.schema.names if c not in ("_text", "_seed")]
             sizes = np.nan_to_num(pc.binary_length(batch.column("_text")).to_numpy(zero_copy_only=False).astype(float))
@@ -369,18 +393,20 @@ def segmentations(
             while start < batch.num_rows:
                 # as many texts as fit, one at least
                 stop = start + max(1, int(np.searchsorted(np.cumsum(sizes[start:]), BATCH_BYTES, side="right")))
+                if len(lattices.word_end) > KEPT_BYTES:
+                    lattices = Lattices(pieces)
                 part = batch.slice(start, stop - start)
-                yield segmented(part, names, pieces)
+                yield segmented(part, names, lattices)
                 start = stop
 
-    def segmented(part: pa.RecordBatch, names: list[str], pieces: Pieces) -> pa.RecordBatch:
+    def segmented(part: pa.RecordBatch, names: list[str], lattices: Lattices) -> pa.RecordBatch:
         texts = part.column("_text").to_pylist()
-        found = segment_batch(texts, part.column("_seed").to_pylist(), pieces, k)
+        found = segment_batch(texts, part.column("_seed").to_pylist(), lattices, k)
         flat = [s for samples in found for s in samples]
         take = pa.array(np.repeat(np.arange(len(texts)), [len(s) for s in found]))
         ids = np.concatenate([s[0] for s in flat]).astype(np.int32)
         offsets = np.concatenate([[0], np.cumsum([len(s[0]) for s in flat])]).astype(np.int32)
-        ok = [pieces.decode(s[0].tolist()) == (t or "") for t, samples in zip(texts, found, strict=True) for s in samples]
+        ok = [lattices.pieces.decode(s[0].tolist()) == (t or "") for t, samples in zip(texts, found, strict=True) for s in samples]
         return pa.RecordBatch.from_arrays(
             [part.column(c).take(take) for c in names]
             + [

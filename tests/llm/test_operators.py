@@ -300,7 +300,7 @@ def test_segmentation_distribution():
     found = {k: v for k, v in found.items() if sentencepiece.SentencePieceProcessor(model_file=file).decode(list(k)) == "the cat"}
     total = np.logaddexp.reduce(list(found.values()))
     n = 4000
-    drawn = sampled_segmentation.segment_batch(["the cat"] * n, list(range(n)), pieces, 2)
+    drawn = sampled_segmentation.segment_batch(["the cat"] * n, list(range(n)), sampled_segmentation.Lattices(pieces), 2)
     first = {}
     for samples in drawn:
         assert tuple(samples[0][0].tolist()) in found
