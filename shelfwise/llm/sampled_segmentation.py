@@ -34,9 +34,9 @@ from pyspark.sql import types as T
 from shelfwise.llm.shingles import RollingHash, _mix
 
 BLANK = "▁"
-BATCH_BYTES = 1 << 19  # text handled together, unless one text is longer
+BATCH_BYTES = 1 << 20  # text handled together, unless one text is longer
 CHUNK_BYTES = 1 << 17  # distinct words whose lattices are worked out at once, unless one word is longer
-KEPT_BYTES = 1 << 20  # distinct words whose lattices go on to the next texts, about 100 bytes for each of theirs
+KEPT_BYTES = 3 << 19  # distinct words whose lattices go on to the next texts, about 100 bytes for each of theirs
 SLOTS = 1 << 22
 STEP = 0x9E3779B97F4A7C15
 
@@ -81,19 +81,20 @@ class Pieces:
         self.slots = np.where(counts > 0, np.cumsum(counts) - counts, -1).astype(np.int32)
         self.depth = int(counts.max())
 
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Ids of the spans, -1 where a span is no piece."""
-        out = np.full(len(hashes), -1, np.int64)
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which spans are pieces, and their ids."""
+        where, ids = [], []
         slot = self.slots[(hashes >> np.uint64(42)).astype(np.int64)]
         maybe = np.flatnonzero(slot >= 0)
         at, wanted = slot[maybe], hashes[maybe]
         # hashes with the same leading part are neighbours, a few at most
         for _ in range(self.depth):
             hit = self.sorted_hashes[at] == wanted
-            out[maybe[hit]] = self.sorted_ids[at[hit]]
+            where.append(maybe[hit])
+            ids.append(self.sorted_ids[at[hit]])
             going = ~hit & (at + 1 < len(self.sorted_hashes))
             maybe, at, wanted = maybe[going], at[going] + 1, wanted[going]
-        return out
+        return np.concatenate(where), np.concatenate(ids)
 
     def decode(self, ids) -> str:
         return b"".join(map(self.bytes.__getitem__, ids))[1:].decode("utf-8", "surrogatepass")
@@ -116,7 +117,7 @@ class Lattices:
         self.begin, self.end, self.ids, self.log_p, self.p = narrow, narrow, narrow, real, real
 
     def extend(self) -> None:
-        words = list(islice(self.numbers, len(self.starts), None))
+        words = [b" " + w for w in islice(self.numbers, len(self.starts), None)]
         if not words:
             return
         ends = len(self.word_end) + np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
@@ -156,12 +157,13 @@ class Lattices:
         for size, at in reversed(list(zip(pieces.lengths, fits[1:], strict=True))):
             if not len(at):
                 continue
-            found = pieces.find(pieces.hashing.spans(sums, at, at + size))
-            hit = found >= 0
-            froms.append(at[hit])
-            tos.append(at[hit] + size)
-            ids.append(found[hit])
-            one_piece[at[hit][char_end[at[hit]] == at[hit] + size]] = True
+            where, found = pieces.find(pieces.hashing.spans(sums, at, at + size))
+            at = at[where]
+            froms.append(at)
+            tos.append(at + size)
+            ids.append(found)
+            if size <= 4:  # no character has more bytes
+                one_piece[at[char_end[at] == at + size]] = True
         # characters that are no piece are spelled in bytes
         spelled = np.maximum.accumulate(np.where(lead, np.arange(n), 0))
         lone = np.flatnonzero(~one_piece[spelled]) if n else np.zeros(0, np.int64)
@@ -343,18 +345,18 @@ def log_inclusion(log_prob: float, threshold: float) -> float:
 
 
 def split_words(text: str) -> list[bytes]:
-    """Words of a text after its leading blank, each with the blanks before it."""
-    data = b" " + text.encode("utf-8", "surrogatepass")
-    parts = data.split(b" ")[1:]
+    """Words of a text after its leading blank, each with the blanks before it but the first."""
+    parts = text.encode("utf-8", "surrogatepass").split(b" ")
     if b"" not in parts:
-        return [b" " + p for p in parts]
+        return parts
     out, blanks = [], b""
     for p in parts:
-        blanks += b" "
         if p:
             out.append(blanks + p)
             blanks = b""
-    return out + [blanks] if blanks else out
+        else:
+            blanks += b" "
+    return out + [blanks[1:]] if blanks else out
 
 
 def segment_batch(
