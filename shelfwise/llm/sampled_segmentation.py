@@ -34,9 +34,10 @@ from pyspark.sql import types as T
 from shelfwise.llm.shingles import RollingHash, _mix
 
 BLANK = "▁"
-BATCH_BYTES = 1 << 20  # text handled together, unless one text is longer
+BATCH_BYTES = 1 << 19  # text handled together, unless one text is longer
 CHUNK_BYTES = 1 << 17  # distinct words whose lattices are worked out at once, unless one word is longer
-KEPT_BYTES = 3 << 19  # distinct words whose lattices go on to the next texts, about 100 bytes for each of theirs
+KEPT_BYTES = 1 << 20  # distinct words whose lattices go on to the next texts, about 100 bytes for each of theirs
+ROOM = 1 << 23
 SLOTS = 1 << 22
 STEP = 0x9E3779B97F4A7C15
 
@@ -106,30 +107,49 @@ class _Numbering(dict):
         return number
 
 
+class Growing:
+    """An array that grows in place: room is reserved, and memory is used as it fills."""
+
+    def __init__(self, kind: type) -> None:
+        self.room, self.size = np.empty(ROOM, kind), 0
+
+    def add(self, values: np.ndarray) -> None:
+        size = self.size + len(values)
+        if size > len(self.room):
+            room = np.empty(2 * size, self.room.dtype)
+            room[: self.size] = self.filled()
+            self.room = room
+        self.room[self.size : size] = values
+        self.size = size
+
+    def filled(self) -> np.ndarray:
+        return self.room[: self.size]
+
+
 class Lattices:
     """The lattices of distinct words laid end to end: edges sorted by position, with conditional probabilities. ``numbers`` tells the
     place of a word; ``extend`` adds the lattices of words that were numbered since."""
 
     def __init__(self, pieces: Pieces) -> None:
         self.pieces, self.numbers = pieces, _Numbering()
-        whole, narrow, real = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0)
-        self.starts, self.word_end, self.first = whole, whole, np.zeros(1, np.int64)
-        self.begin, self.end, self.ids, self.log_p, self.p = narrow, narrow, narrow, real, real
+        kinds = (np.int64, np.int64, np.int64, np.int32, np.int32, np.int32, np.float64, np.float64)
+        self._columns = [Growing(k) for k in kinds]
+        self._show()
+
+    def _show(self) -> None:
+        self.starts, self.word_end, self.first, self.begin, self.end, self.ids, self.log_p, self.p = (c.filled() for c in self._columns)
 
     def extend(self) -> None:
         words = [b" " + w for w in islice(self.numbers, len(self.starts), None)]
-        if not words:
-            return
         ends = len(self.word_end) + np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
-        parts = [(self.starts, self.word_end, self.first[:-1], self.begin, self.end, self.ids, self.log_p, self.p)]
-        at, before, edges = 0, len(self.word_end), len(self.begin)
+        at, before = 0, len(self.word_end)
         while at < len(words):
             stop = max(at + 1, int(np.searchsorted(ends, before + CHUNK_BYTES, side="right")))
-            parts.append(self._chunk(words[at:stop], self.pieces, before, edges))
-            at, before, edges = stop, int(ends[stop - 1]), edges + len(parts[-1][3])
-        columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
-        self.starts, self.word_end, self.first, self.begin, self.end, self.ids, self.log_p, self.p = columns
-        self.first = np.append(self.first, len(self.begin))
+            chunk = self._chunk(words[at:stop], self.pieces, before, self._columns[3].size)
+            for column, values in zip(self._columns, chunk, strict=True):
+                column.add(values)
+            at, before = stop, int(ends[stop - 1])
+        self._show()
 
     @staticmethod
     def _chunk(words: list[bytes], pieces: Pieces, shift: int, edges: int) -> tuple[np.ndarray, ...]:
@@ -197,10 +217,15 @@ class Lattices:
         narrow = (begin + shift).astype(np.int32), (end + shift).astype(np.int32), ids.astype(np.int32)
         return starts + shift, ends + shift, first + edges, *narrow, log_p, np.exp(log_p)
 
+    def last(self, position: np.ndarray) -> np.ndarray:
+        """The last edge of each position."""
+        following = np.minimum(position + 1, len(self.first) - 1)
+        return np.where(position + 1 < len(self.first), self.first[following], len(self.begin)) - 1
+
     def choose(self, position: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge of each position by its probability."""
         edge = self.first[position]
-        last = self.first[position + 1] - 1
+        last = self.last(position)
         todo = np.flatnonzero((u >= self.p[edge]) & (edge < last))
         while len(todo):
             u[todo] -= self.p[edge[todo]]
@@ -301,7 +326,7 @@ class Search:
 
     def _other_edge(self, position: int) -> int:
         """An edge of a position besides those that are barred, by its probability."""
-        options = [e for e in range(self.lattices.first[position], self.lattices.first[position + 1]) if e not in self.barred]
+        options = [e for e in range(self.lattices.first[position], int(self.lattices.last(position)) + 1) if e not in self.barred]
         chance = np.cumsum(self.lattices.p[options])
         return options[min(int(np.searchsorted(chance, self.rng.random() * chance[-1], side="right")), len(options) - 1)]
 
