@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.functions.labels import OPID_COUNT_PREFIX
+from shelfwise.functions.labels import COUNT_LABELS, OPID_COUNT_PREFIX, column_label
 from shelfwise.functions.rules import CLASSES
 from shelfwise.functions.scores import buy_score, write_off_score
 from shelfwise.functions.text import any_of, contains
@@ -142,6 +142,23 @@ def count_filter_bounds(titles: DataFrame, column: str, *, cap: int | None = Non
     return greatest, greatest if cap is None else min(greatest, cap)
 
 
+def count_filter_labels(titles: DataFrame) -> DataFrame:
+    """The counts that titles can be filtered by, each with its label and greatest value, from one pass."""
+    counts = [c for c in titles.columns if c in COUNT_LABELS or c.startswith(OPID_COUNT_PREFIX)]
+    if not counts:
+        return titles.sparkSession.createDataFrame([], "sloupec string, popisek string, nejvyssi bigint")
+    tops = titles.agg(*[F.max(number(c)).cast("bigint").alias(c) for c in counts])
+    rows = [
+        F.struct(
+            F.lit(c).alias("sloupec"),
+            F.lit(COUNT_LABELS.get(c, column_label(c))).alias("popisek"),
+            F.greatest(F.col(c), F.lit(1)).cast("bigint").alias("nejvyssi"),
+        )
+        for c in counts
+    ]
+    return tops.select(F.inline(F.array(*rows)))
+
+
 @dataclass(frozen=True)
 class RecommendedRanges:
     """Limits taken from the distribution of copies and of loans per copy."""

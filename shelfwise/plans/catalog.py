@@ -28,6 +28,8 @@ def save_star(
     """
     prefix = f"{database}." if database else ""
     for name, df in zip(TABLES, (fact, titles, copies, branches, op_types), strict=True):
+        if name == TABLES[0] and partition_fact_by:
+            df = df.hint("rebalance", partition_fact_by)
         writer = df.write.mode("overwrite").option("compression", "zstd")
         if path:
             writer = writer.option("path", f"{path}/{name}")

@@ -288,6 +288,17 @@ WHERE TITUL_KEY IN (SELECT l_partkey FROM lineitem) GROUP BY 1""",
 SELECT l_partkey AS TITUL_KEY, count(*) FILTER (WHERE is_loan) AS loan_cnt,
        strftime(min(l_shipdate), '%Y-%m-%d') AS first_date, strftime(max(l_shipdate), '%Y-%m-%d') AS last_date
 FROM ops GROUP BY 1""",
+    "star_schema_views": f"""WITH {OPS}
+SELECT l_partkey AS TITUL_KEY, count(DISTINCT l_suppkey) AS pocet_svazku, count(*) FILTER (WHERE popis = 'loan') AS loan_type_cnt,
+       strftime(min(l_shipdate), '%Y-%m-%d') AS first_date, strftime(max(l_shipdate), '%Y-%m-%d') AS last_date,
+       count(*) FILTER (WHERE is_loan) AS loan_cnt
+FROM ops GROUP BY 1""",
+    "count_labels": from_metrics(
+        """SELECT 'pocet_operaci_v_obdobi' AS sloupec, 'Počet operací v období (celkem)' AS popisek,
+       CAST(greatest(max(pocet_operaci_v_obdobi), 1) AS BIGINT) AS nejvyssi FROM m
+UNION ALL SELECT 'pocet_vypujcek_is_loan', 'Počet výpůjček (IS_LOAN)', CAST(greatest(max(pocet_vypujcek_is_loan), 1) AS BIGINT) FROM m
+UNION ALL SELECT 'pocet_vraceni_is_return', 'Počet vrácení (IS_RETURN)', CAST(greatest(max(pocet_vraceni_is_return), 1) AS BIGINT) FROM m"""
+    ),
     "classify_titles": from_classes("SELECT title_key, vyjimka_flag, klasifikace, duvod_oznaceni FROM c"),
     "classify_titles_zero_limit": (
         f"WITH {metrics()}, {classes(stale=3.0, auto_max=0)} "

@@ -20,7 +20,7 @@ from shelfwise.operators.events import clean_events
 from shelfwise.operators.quality import validate_build
 from shelfwise.operators.subjects import title_subjects
 from shelfwise.operators.windowing import UsagePolicy, filter_window
-from shelfwise.plans.catalog import loans_by_title_view
+from shelfwise.plans.catalog import loans_by_title_view, register_views, save_star
 from shelfwise.plans.ingest import table_path
 from shelfwise.plans.rebuild import rebuild_all
 from shelfwise.plans.review import load_titles, review
@@ -195,6 +195,26 @@ def loans_by_title(spark, sf_dir):
     return portable(loans_by_title_view(Roles(spark, sf_dir).enriched(), loan_column="ACTION_GROUP"))
 
 
+@query
+def star_schema_views(spark, sf_dir):
+    """The five tables written, and both views by title; the loans view in its form by action type and in that by group."""
+    r = Roles(spark, sf_dir)
+    path = new_stage_path(spark, "star")
+    save_star(spark, r.enriched(), r.titles(), r.copies(), r.branches(), r.op_types(), path=path)
+    register_views(spark)
+    by_type = spark.table("v_loans_by_titul").withColumnRenamed("loan_cnt", "loan_type_cnt")
+    register_views(spark, loan_column="ACTION_GROUP")
+    by_group = spark.table("v_loans_by_titul").select("TITUL_KEY", "loan_cnt")
+    views = spark.table("v_titul_svazky").join(by_type, "TITUL_KEY", "full").join(by_group, "TITUL_KEY", "full")
+    return portable(views)
+
+
+@query
+def count_labels(spark, sf_dir):
+    """The operation counts offered as filters, with their labels and greatest values."""
+    return cand.count_filter_labels(star_metrics(Roles(spark, sf_dir), opids=[]))
+
+
 # --- classification ----------------------------------------------------------------------------------------------
 
 
