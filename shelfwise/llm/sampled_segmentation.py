@@ -36,9 +36,9 @@ from shelfwise.llm.shingles import RollingHash, _mix
 BLANK = "▁"
 BATCH_BYTES = 1 << 19  # text handled together, unless one text is longer
 CHUNK_BYTES = 1 << 17  # distinct words whose lattices are worked out at once, unless one word is longer
-KEPT_BYTES = 1 << 20  # distinct words whose lattices go on to the next texts, about 100 bytes for each of theirs
-ROOM = 1 << 23
-SLOTS = 1 << 22
+KEPT_BYTES = 3 << 18  # distinct words whose lattices go on to the next texts, about 100 bytes for each of theirs
+ROOM = 1 << 22
+SLOTS = 1 << 20
 STEP = 0x9E3779B97F4A7C15
 
 
@@ -77,15 +77,16 @@ class Pieces:
         order = np.argsort(hashes)
         self.sorted_hashes, self.sorted_ids = hashes[order], np.array(ids)[order]
         # where the hashes with a leading part start: most spans are ruled out, the others found, by one look
-        lead = (self.sorted_hashes >> np.uint64(42)).astype(np.int64)
-        counts = np.bincount(lead, minlength=SLOTS)
-        self.slots = np.where(counts > 0, np.cumsum(counts) - counts, -1).astype(np.int32)
-        self.depth = int(counts.max())
+        lead = (self.sorted_hashes >> np.uint64(44)).astype(np.int64)
+        fresh = np.flatnonzero(np.concatenate([[True], lead[1:] != lead[:-1]]))
+        self.slots = np.full(SLOTS, -1, np.int32)
+        self.slots[lead[fresh]] = fresh
+        self.depth = int(np.diff(np.append(fresh, len(lead))).max())
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which spans are pieces, and their ids."""
         where, ids = [], []
-        slot = self.slots[(hashes >> np.uint64(42)).astype(np.int64)]
+        slot = self.slots[(hashes >> np.uint64(44)).astype(np.int64)]
         maybe = np.flatnonzero(slot >= 0)
         at, wanted = slot[maybe], hashes[maybe]
         # hashes with the same leading part are neighbours, a few at most
