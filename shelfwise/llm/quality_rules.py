@@ -2,10 +2,12 @@
 
 Every text gets counts and ratios. For each stratum (language) and each ratio a cutoff is chosen from a fixed grid: the lowest cutoff whose
 rejections among the labelled good texts of the stratum are so few that an exact binomial bound limits the false rejection. A
-cutoff passes when ``P(Bin(n, alpha) <= k) <= delta / tests``, where ``n`` good labelled texts hold ``k`` rejected ones; ``tests`` is the
-number of (stratum, ratio, cutoff) triples, so all chosen cutoffs hold together with probability ``1 - delta`` (Bonferroni), and a good
-text of a stratum is rejected with probability ``alpha`` for each ratio at most. The grid does not depend on labels, so every labelled row is
-a holdout row. A ratio without a passing cutoff rejects nothing.
+cutoff passes when ``P(Bin(n, alpha) <= k) <= delta / tests``, where ``n`` good labelled texts hold ``k`` rejected ones. The cutoffs of one
+ratio are tested from the loosest down until one fails (as a lower cutoff rejects no fewer texts, that is the lowest that passes), so they
+share one error; ``tests`` is the number of ratios times that of the strata with enough good labelled texts for any cutoff to pass
+(``tested_strata``; chosen by ``n`` alone). All chosen cutoffs hold together with probability ``1 - delta``, and a good text of a stratum is
+rejected with probability ``alpha`` for each ratio at most. The grid does not depend on labels, so every labelled row is a holdout row. A
+ratio without a passing cutoff rejects nothing; with the default policy one stratum needs 144 good labelled texts, four need 190 each.
 
 Edge cases: a null or empty text has no words and fails the base rule; a null language is a stratum of its own; without labels, or with
 too few, nothing but the base rule rejects; conflicting labels of one document count as the worse one; repeated rows are judged each;
@@ -35,7 +37,7 @@ MAX_REPEAT_PERCENT = 50
 class RiskPolicy:
     """``alpha``: false rejection allowed for each ratio and stratum; ``delta``: chance that any bound fails."""
 
-    alpha: float = 0.0025
+    alpha: float = 0.03
     delta: float = 0.05
     grid: dict[str, tuple[float, ...]] = field(
         default_factory=lambda: {
@@ -149,6 +151,14 @@ def largest_count(n: Column, alpha: float, log_limit: Column) -> Column:
     return F.aggregate(steps, start, add)["k"]
 
 
+def tested_strata(sizes: list[int], ratios: int, alpha: float, delta: float) -> int:
+    """Least ``m`` for which at most ``m`` strata of these sizes can pass a test at ``delta / (ratios * m)``, even with no text rejected."""
+    m = 1
+    while sum(n * math.log1p(-alpha) <= math.log(delta / (ratios * m)) for n in sizes) > m:
+        m += 1
+    return m
+
+
 def thresholds(feats: DataFrame, labels: DataFrame, policy: RiskPolicy, key: str = "doc_id") -> DataFrame:
     """One row per stratum with a cutoff for each ratio (null: none). ``labels`` has quality and toxic for each key."""
     good = (
@@ -161,12 +171,18 @@ def thresholds(feats: DataFrame, labels: DataFrame, policy: RiskPolicy, key: str
     )
     held = feats.where(~F.col("base_failed")).join(good.select(key), key, "left_semi")
     tests = [(name, cut) for name, cuts in policy.grid.items() for cut in cuts]
-    counts = held.groupBy("stratum").agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.sum((F.col(name) > cut).cast("long")).alias(f"k{i}") for i, (name, cut) in enumerate(tests)],
+    counts = stage(
+        held.groupBy("stratum").agg(
+            F.count(F.lit(1)).alias("n"),
+            *[F.sum((F.col(name) > cut).cast("long")).alias(f"k{i}") for i, (name, cut) in enumerate(tests)],
+        ),
+        "quality-counts",
     )
-    strata_count = feats.select("stratum").distinct().count()
-    log_limit = math.log(policy.delta / max(1, len(tests) * strata_count))
+    # strata that can pass at all, each with many labelled texts, so these are few
+    ratios = max(1, len(policy.grid))
+    enough = F.col("n") * math.log1p(-policy.alpha) <= math.log(policy.delta / ratios)
+    sizes = [r["n"] for r in counts.where(enough).select("n").collect()]
+    log_limit = math.log(policy.delta / (ratios * tested_strata(sizes, ratios, policy.alpha, policy.delta)))
     bounded = counts.withColumn("k_max", largest_count(F.col("n"), policy.alpha, F.lit(log_limit)))
     cutoffs = {
         name: [F.when(F.col(f"k{i}") <= F.col("k_max"), F.lit(cut)) for i, (x, cut) in enumerate(tests) if x == name]
