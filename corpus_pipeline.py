@@ -25,12 +25,24 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies: the one with the least id. Of repeated rows of it one stays."""
-    classes = jaccard_join.near_copies(docs)
-    kept = stage(classes.where("component_id = doc_id or doc_id is null").select("doc_id"), "pipeline-kept")
-    chosen = docs.join(kept.where("doc_id is not null").distinct(), "doc_id", "left_semi")
-    if kept.groupBy("doc_id").count().where("count > 1").take(1):
-        chosen = chosen.dropDuplicates(["doc_id"])
+    """One document of each class of near copies: the one with the least id.
+
+    Rows are told apart by all their columns, not by id. A class without any id keeps one row, too; of several rows with the least id of
+    a class the one with the least hash stays, of equal rows one. Rows of one id in different classes all stay. A text without words
+    is a class of its own."""
+    # nulls are skipped by the hash, so they are marked
+    mark = F.xxhash64(*[part for c in docs.columns for part in (F.col(c), F.col(c).isNull())])
+    own = docs.withColumn("_mark", mark)
+    classes = jaccard_join.near_copies(own, mark="_mark")
+    first = classes.where("n_shingles = 0 or component_id = doc_id or component_id is null")
+    kept = stage(
+        first.groupBy(F.expr("n_shingles = 0").alias("empty"), F.coalesce("class_id", "_mark").alias("class"))
+        .agg(F.min("_mark").alias("_mark"), F.count(F.lit(1)).alias("rows")),
+        "pipeline-kept",
+    )
+    chosen = own.join(kept.select("_mark"), "_mark", "left_semi")
+    if kept.where("rows > 1").take(1):
+        chosen = chosen.dropDuplicates(["_mark"])
     return chosen.select(*docs.columns)
 
 

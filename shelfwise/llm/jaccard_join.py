@@ -62,8 +62,8 @@ def links(overlap: Column, a: Column, b: Column) -> Column:
     return 100 * overlap >= PERCENT * (a + b - overlap)
 
 
-def _sets(docs: DataFrame, key: str, text: str, head: bool) -> DataFrame:
-    """``doc_id``, ``n``, ``set_id`` and the tokens by hash: the first of them (``head``) or all."""
+def _sets(docs: DataFrame, key: str, text: str, head: bool, mark: str | None = None) -> DataFrame:
+    """``doc_id``, ``n``, ``set_id`` and the tokens by hash: the first of them (``head``) or all; also the column ``mark``, if named."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashing = RollingHash()
@@ -75,12 +75,14 @@ def _sets(docs: DataFrame, key: str, text: str, head: bool) -> DataFrame:
             flat = np.concatenate(kept).view(np.int64) if kept else np.zeros(0, np.int64)
             ids = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("k"), pa.array(sizes), pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-                names=["doc_id", "n", "set_id", "tokens"],
+                [batch.column("k"), pa.array(sizes), pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
+                + [batch.column(c) for c in marks],
+                names=["doc_id", "n", "set_id", "tokens", *marks],
             )
 
-    source = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"))
-    return source.mapInArrow(run, "doc_id long, n long, set_id long, tokens array<long>")
+    marks = [mark] if mark else []
+    source = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"), *marks)
+    return source.mapInArrow(run, ", ".join(["doc_id long, n long, set_id long, tokens array<long>"] + [f"{c} long" for c in marks]))
 
 
 def _texts_of(docs: DataFrame, keys: DataFrame, key: str) -> DataFrame:
@@ -300,11 +302,14 @@ def _heavy_links(long_lists: DataFrame, sets: DataFrame, policy: JoinPolicy) ->
 
 
 def near_copies(
-    docs: DataFrame, policy: JoinPolicy | None = None, key: str = "doc_id", text: str = "text"
+    docs: DataFrame, policy: JoinPolicy | None = None, key: str = "doc_id", text: str = "text", mark: str | None = None
 ) -> DataFrame:
-    """``doc_id``, ``n_shingles`` and ``component_id`` for every row of ``docs``."""
+    """``doc_id``, ``n_shingles`` and ``component_id`` for every row of ``docs``.
+
+    With ``mark``, a column of 64-bit row marks, also the mark and ``class_id``, which tells classes apart where keys are null or
+    repeated (null for texts without shingles, each a class of its own)."""
     policy = policy or JoinPolicy()
-    rows = stage(_sets(docs, key, text, head=True), "jaccard-heads")
+    rows = stage(_sets(docs, key, text, head=True, mark=mark), "jaccard-heads")
     # one row per distinct set, under its least key
     nodes_of = stage(
         rows.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "jaccard-nodes"
@@ -366,13 +371,17 @@ def near_copies(
     )
     least = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
     # only sets that differ from their own class id are joined to the rows
-    named = placed.join(least, "component").select("set_id", "component_id")
+    classed = [F.col("component").alias("class_id")] if mark else []
+    named = placed.join(least, "component").select("set_id", "component_id", *classed)
+    marks = [mark] if mark else []
     return (
-        rows.select("doc_id", "n", "set_id")
+        rows.select("doc_id", "n", "set_id", *marks)
         .join(named, "set_id", "left")
         .select(
             "doc_id",
             F.col("n").alias("n_shingles"),
             F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+            *marks,
+            *(["class_id"] if mark else []),
         )
     )
