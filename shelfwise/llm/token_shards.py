@@ -7,7 +7,8 @@ and ``decode`` restores all ids. Files are written as Parquet rows, one shard in
 executors and any store that Spark can write will do.
 
 The text of a document is cut at blanks and line feeds (and before closing signs), each distinct piece of a batch is encoded once by the tokenizer and ids are put together from
-pieces. The tokenizer's rules never look across white space, so the ids are those of the whole text (tested).
+pieces. The tokenizer's rules never look across white space, so the ids are those of the whole text (tested). ASCII texts are lower-cased first
+unless they hold an added token, in whatever case.
 
 Edge cases: null and empty texts have the end id only; repeated keys keep the order of their texts' hashes; a text longer than a
 shard makes a shard of its own length; an empty table writes no shard.
@@ -172,11 +173,16 @@ class Shard:
         return cls(keys, known, lengths, WaveletMatrix(size, [take("u1", -(-size // 8)) for _ in range(levels)], zeros))
 
 
-def _pieces(texts: pa.Array) -> pa.ListArray:
+def _pieces(texts: pa.Array, added: Sequence[str] = ()) -> pa.ListArray:
     """Texts cut where the tokenizer never looks across: at blanks and line feeds and, to meet fewer different pieces, between a letter
-    and closing signs that white space follows. ASCII texts are lower-cased, as the tokenizer would."""
+    and closing signs that white space follows. ASCII texts are lower-cased, as the tokenizer would; texts that hold one of the ``added``
+    tokens in any case are not, as only its own spelling is special."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    texts = pc.if_else(pc.string_is_ascii(texts), pc.ascii_lower(texts), texts)
+    lower = pc.ascii_lower(texts)
+    plain = pc.string_is_ascii(texts)
+    for token in added:
+        plain = pc.and_(plain, pc.invert(pc.match_substring(lower, token.lower())))
+    texts = pc.if_else(plain, lower, texts)
     texts = pc.replace_substring_regex(texts, CLOSING, r"\1 \2\3")
     return pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
 
@@ -187,6 +193,7 @@ class Encoder:
     def __init__(self, tokenizer) -> None:
         self.tokenizer = tokenizer
         self.mark = self._ids([DELIMITER])[0]
+        self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values() if t.content]
         suffix = getattr(tokenizer.model, "end_of_word_suffix", None)
         vocab = tokenizer.get_vocab(with_added_tokens=True)
         self.word_end = np.zeros(max(vocab.values(), default=0) + 1, bool)
@@ -223,7 +230,7 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and how many each text has."""
-        pieces = _pieces(texts)
+        pieces = _pieces(texts, self.added)
         coded = pieces.flatten().dictionary_encode()
         distinct = coded.dictionary.to_pylist()
         number = dict(zip(distinct, range(len(distinct)), strict=True))
