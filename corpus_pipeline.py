@@ -2,7 +2,8 @@
 
 Every stage works on all that its predecessor kept and returns the columns of ``documents``; the last one returns the documents with
 their sampled segmentations. Nothing is expressed in SQL as a whole (the classes of near copies and the sampled segmentations are iterative or
-random), so ``ORACLE_SQL`` is None and tests compare the stages with plain Python.
+random), so ``ORACLE_SQL`` is None; tests compare the operators and the stage of near copies with plain Python, not yet the other stages or
+``run`` as a whole.
 """
 
 from __future__ import annotations
