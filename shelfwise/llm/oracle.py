@@ -35,3 +35,57 @@ s AS (
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
 SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 10
 """
+
+ORACLE["op11_merkle_manifest"] = """
+WITH RECURSIVE
+crc_table AS (
+  SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS tab
+  FROM range(256) t(i)),
+marked AS (
+  SELECT d.*, CAST(n_chars AS HUGEINT) + CASE WHEN doc_id IS NOT NULL AND 0 = xor(4294967295, list_reduce(
+           list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+           lambda c, x: xor(tab[(xor(c, x) & 255) + 1], c >> 8), 4294967295)) % 7 THEN 1 ELSE 0 END AS claimed
+  FROM documents d, crc_table),
+fields AS (
+  SELECT lang, doc_id,
+         coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') ||
+         coalesce(strlen(lang) || ':' || lang, '-') AS head,
+         coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS own,
+         coalesce(strlen(CAST(claimed AS VARCHAR)) || ':' || claimed, '-') AS other,
+         coalesce(strlen(text) || ':' || text, '-') AS tail FROM marked),
+leaves AS (
+  SELECT lang, doc_id, sha256(head || own || tail) AS leaf, sha256(head || other || tail) AS claim FROM fields),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p, count(*) OVER (PARTITION BY lang) AS n
+  FROM leaves),
+tree AS (
+  SELECT lang, 0 AS l, p, n, leaf AS h FROM placed
+  UNION ALL
+  SELECT lang, l + 1, p // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY p)) FROM tree WHERE n > 1 GROUP BY lang, l, p // 2, n),
+subroots AS (
+  SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS g, count(*) OVER () AS gs FROM tree WHERE n = 1),
+top AS (
+  SELECT 0 AS l, g AS p, gs AS n, subroot AS h FROM subroots
+  UNION ALL
+  SELECT l + 1, p // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY p)) FROM top WHERE n > 1 GROUP BY l, p // 2, n),
+steps AS (
+  SELECT lang, CAST(l AS BIGINT) AS l, p, n, h FROM tree WHERE n > 1
+  UNION ALL
+  SELECT s.lang, m.height + t.l, t.p, t.n, t.h FROM top t, subroots s JOIN (SELECT lang, max(l) AS height FROM tree GROUP BY lang) m
+    ON m.lang IS NOT DISTINCT FROM s.lang WHERE t.n > 1),
+ways AS (
+  SELECT lang, doc_id, leaf, claim, p AS start, 0 AS l, p AS at, n, CAST('' AS VARCHAR) AS proof, claim AS cur, FALSE AS up FROM placed
+  UNION ALL
+  SELECT w.lang, w.doc_id, w.leaf, w.claim, w.start, CASE WHEN w.n > 1 THEN w.l + 1 ELSE w.l END,
+         CASE WHEN w.n > 1 THEN w.at // 2 ELSE s.g END, CASE WHEN w.n > 1 THEN (w.n + 1) // 2 ELSE s.gs END,
+         w.proof || coalesce(CASE WHEN w.n > 1 THEN x.h END, ''),
+         CASE WHEN w.n = 1 THEN w.cur WHEN x.h IS NULL THEN sha256(w.cur) WHEN w.at % 2 = 1 THEN sha256(x.h || w.cur)
+              ELSE sha256(w.cur || x.h) END,
+         w.up OR w.n = 1
+  FROM ways w JOIN subroots s ON s.lang IS NOT DISTINCT FROM w.lang
+  LEFT JOIN steps x ON x.lang IS NOT DISTINCT FROM w.lang AND x.l = w.l AND x.p = xor(w.at, 1) AND x.n = w.n
+  WHERE NOT (w.up AND w.n = 1)),
+roots AS (SELECT h AS root FROM top WHERE n = 1)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, cur AS folded_root, cur = root AS verified
+FROM ways w JOIN subroots s ON s.lang IS NOT DISTINCT FROM w.lang, roots WHERE w.up AND w.n = 1
+"""

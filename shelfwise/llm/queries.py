@@ -12,6 +12,7 @@ from shelfwise.llm import (
     importance,
     jaccard_join,
     language_id,
+    merkle_manifest,
     mixing,
     quality_rules,
     repeated_bytes,
@@ -114,3 +115,14 @@ def op2_sampled_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return importance.resample(docs, read_table(spark, sf_dir, "labels"))
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves that a seventh of the rows present with another length are found out."""
+    docs = read_table(spark, sf_dir, "documents").select(*merkle_manifest.COLUMNS)
+    # null ids and null lengths stay; the sum leaves the range of long at its end
+    touched = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, F.lit(False))
+    more = F.when(touched, F.col("n_chars").cast("decimal(38,0)") + 1).otherwise(F.col("n_chars"))
+    claim = [more if c == "n_chars" else F.col(c) for c in merkle_manifest.COLUMNS]
+    return merkle_manifest.verify(merkle_manifest.build(docs, claim=claim)).drop("proof")
