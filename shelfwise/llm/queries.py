@@ -17,6 +17,7 @@ from shelfwise.llm import (
     quality_rules,
     repeated_bytes,
     sampled_segmentation,
+    token_alignment,
     token_shards,
     url_filter,
 )
@@ -25,6 +26,7 @@ from shelfwise.staging import new_stage_path
 
 TOKENIZER = "word_bpe_49k.json"
 PIECES = "piece_bpe_32k.model"
+BYTES = "byte_bpe_50k.json"
 URL_RULES = (
     url_filter.UrlRule("block", "net", "/"),
     url_filter.UrlRule("allow", "example.net", "/en/"),
@@ -126,3 +128,11 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = F.when(touched, F.col("n_chars").cast("decimal(38,0)") + 1).otherwise(F.col("n_chars"))
     claim = [more if c == "n_chars" else F.col(c) for c in merkle_manifest.COLUMNS]
     return merkle_manifest.verify(merkle_manifest.build(docs, claim=claim)).drop("proof")
+
+
+@query
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_alignment.align(docs, public_tokenizers.path(BYTES), public_tokenizers.path(PIECES))
