@@ -89,3 +89,21 @@ roots AS (SELECT h AS root FROM top WHERE n = 1)
 SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, cur AS folded_root, cur = root AS verified
 FROM ways w JOIN subroots s ON s.lang IS NOT DISTINCT FROM w.lang, roots WHERE w.up AND w.n = 1
 """
+
+ORACLE["op12_substring_dedup"] = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+windows AS (
+  SELECT r, doc_id, i, sha256(array_to_string(words[i : i + 12], ' ')) AS w
+  FROM (SELECT r, doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM texts WHERE doc_id IS NOT NULL)),
+firsts AS (SELECT w, min(doc_id) AS least FROM windows GROUP BY w HAVING min(doc_id) < max(doc_id)),
+covered AS (
+  SELECT DISTINCT r, unnest(range(i, i + 13)) AS i FROM windows JOIN firsts USING (w) WHERE least < doc_id),
+words AS (SELECT r, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM texts),
+kept AS (
+  SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS left_over
+  FROM words ANTI JOIN covered USING (r, i) GROUP BY r)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(left_over, '')) AS kept_sha256
+FROM texts LEFT JOIN kept USING (r)
+"""

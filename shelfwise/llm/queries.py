@@ -17,6 +17,7 @@ from shelfwise.llm import (
     quality_rules,
     repeated_bytes,
     sampled_segmentation,
+    substring_dedup,
     token_alignment,
     token_shards,
     url_filter,
@@ -136,3 +137,9 @@ def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_alignment.align(docs, public_tokenizers.path(BYTES), public_tokenizers.path(PIECES))
+
+
+@query
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.remove_repeats(docs).drop("kept_text")
