@@ -11,6 +11,7 @@ from shelfwise.schema import pick_column, safe_long
 
 # Action types that stand for a loan where a table has neither flags nor groups.
 LOAN_WORDS = ("loan", "vypujcka", "checkout", "borrow")
+ACTION_LIMIT = 10_000
 
 
 def _text(name: str) -> Column:
@@ -42,8 +43,10 @@ def suggested_loan_actions(events: DataFrame) -> DataFrame:
 
 
 def default_loan_actions(events: DataFrame) -> tuple[str, ...]:
-    """Suggested loan actions, else every action type: a list of labels, so it is small enough for the driver."""
-    found = suggested_loan_actions(events).collect() or action_types(events).collect()
+    """Suggested loan actions, else every action type: a list of labels, which must be as short as one that people choose from."""
+    found = suggested_loan_actions(events).take(ACTION_LIMIT + 1) or action_types(events).take(ACTION_LIMIT + 1)
+    if len(found) > ACTION_LIMIT:
+        raise ValueError(f"more than {ACTION_LIMIT} action types: name those that are loans")
     return tuple(r["a"] for r in found)
 
 

@@ -28,14 +28,16 @@ def is_short(df: DataFrame, max_rows: int) -> bool:
     return rows <= max_rows and (total or 0) <= BROADCAST_BYTES
 
 
-def join_code_list(big: DataFrame, codes: DataFrame, key: str, *, max_rows: int | None = None) -> DataFrame:
+def join_code_list(
+    big: DataFrame, codes: DataFrame, key: str, *, max_rows: int | None = None, short: bool | None = None
+) -> DataFrame:
     """Left-join a list of codes to rows in which few codes cover most of the rows.
 
-    The list is measured first and broadcast when it is as short as such lists are. A longer one is
+    The list is measured first (unless the caller has done it) and broadcast when it is as short as such lists are. A longer one is
     repeated per salt, so that the rows of a hot code are shared by many tasks.
     """
     limit = CODE_LIST_ROWS if max_rows is None else max_rows
-    if is_short(codes, limit):
+    if is_short(codes, limit) if short is None else short:
         return big.join(F.broadcast(codes), key, "left")
     salted = codes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     spread = F.pmod(F.xxhash64(*[c for c in big.columns if c != key]), F.lit(SALTS)).cast("int")

@@ -1,9 +1,10 @@
 """Metrics per title over a rolling window.
 
 Both inputs, wide enriched operations and the star of operations, copies and titles, are first reduced to a *cube*: one
-row per identity and kind of operation with the number of operations inside the window and the latest of them. Its
+row per identity and kind of operation with the number of operations inside the window and the latest of them. Its keys and
 aggregates are fixed-width numbers, so Spark hashes (and combines before the shuffle) instead of sorting the fact.
-Texts are joined or reduced only afterwards, when there are as many rows as titles.
+Texts are joined afterwards, when there are as many rows as titles: in the wide form from a dictionary of the identities.
+What must be known before the cube (end of the window, operation codes) comes from the summary of the operations (``facts``).
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ from shelfwise.functions.scores import (
 from shelfwise.operators.copies import copies_per_title, copies_seen_in_events
 from shelfwise.operators.discovery import distinct_opids
 from shelfwise.operators.events import clean_events, normalise_events
+from shelfwise.operators.facts import summary_of
 from shelfwise.operators.joins import join_code_list
 from shelfwise.operators.ranking import BROADCAST_ROWS, rank_within
 from shelfwise.operators.windowing import (
@@ -47,9 +49,12 @@ from shelfwise.schema import safe_long
 from shelfwise.staging import stage
 
 META = ("doc_type", "lang", "year_pub", "desk_subjects", "och_subjects")
-KIND = ("vyp_opid", "action_type", "action_group", "is_loan_flag", "is_return_flag")
+IDENTITY = ("TITUL_KEY", "signature", "title_name", *META)
+ID = ("id_1", "id_2")  # 128 bits that stand for an identity
 TOTALS = ("pocet_operaci_v_obdobi", "pocet_vypujcek_is_loan", "pocet_vraceni_is_return")
+LAST = "datum_posledni_vypujcky"
 NO_PREFIX = "(vsechny)"  # fixed value: the choice that means every prefix
+PIVOT_COLUMNS = 512  # operation codes that can become columns; all codes are in the long form
 
 
 def _usage_cube(flagged: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -60,17 +65,16 @@ def _usage_cube(flagged: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def _measures(policy: UsagePolicy, present: set[str], opids: Sequence[int]) -> list[Column]:
+def _measures(opids: Sequence[int]) -> list[Column]:
     """Conditional sums over a cube."""
     n = F.col("n")
-    loan = loan_predicate(policy, present)
 
     def total(condition: Column, name: str) -> Column:
         return F.sum(F.when(condition, n).otherwise(0)).alias(name)
 
     out = [
-        total(loan, "vypujcky_5_let"),
-        F.max(F.when(loan, F.col("last_dt"))).alias("datum_posledni_vypujcky"),
+        total(F.col("loan"), "vypujcky_5_let"),
+        F.max(F.when(F.col("loan"), F.col("last_dt"))).alias(LAST),
         F.sum("n").alias("pocet_operaci_v_obdobi"),
         total(F.coalesce(F.col("is_loan_flag"), F.lit(False)), "pocet_vypujcek_is_loan"),
         total(F.coalesce(F.col("is_return_flag"), F.lit(False)), "pocet_vraceni_is_return"),
@@ -82,13 +86,43 @@ def _count_names(opids: Sequence[int]) -> list[str]:
     return ["vypujcky_5_let", *TOTALS, *[f"{OPID_COUNT_PREFIX}{k}" for k in opids]]
 
 
-def _titles_by_pair(
-    cube: DataFrame, policy: UsagePolicy, present: set[str], opids: Sequence[int], prefix_length: int
-) -> DataFrame:
+def _merged(opids: Sequence[int]) -> list[Column]:
+    """Measures of several identities together."""
+    return [*[F.sum(c).alias(c) for c in _count_names(opids)], F.max(LAST).alias(LAST)]
+
+
+class WideUsage:
+    """Usage by identity, from normalised operations.
+
+    An identity (title key, shelf mark, name and metadata) is hashed where the row is read. The cube's keys and values are
+    fixed-width numbers; what an identity stands for is in a dictionary of its own, in which every identity must have one spelling.
+    """
+
+    def __init__(self, narrow: DataFrame, bounds: DataFrame, policy: UsagePolicy, present: set[str]) -> None:
+        # the hash passes over nulls, so they are marked
+        parts = [part for c in IDENTITY for part in (F.col(c), F.col(c).isNull())]
+        hashed = narrow.withColumns({name: F.xxhash64(F.lit(seed), *parts) for seed, name in enumerate(ID)})
+        kinds = {"loan": loan_predicate(policy, present)}
+        flagged = flag_window(hashed.withColumns(kinds), bounds, policy)
+        self.cube = _usage_cube(flagged, [*ID, "vyp_opid", "loan", "is_loan_flag", "is_return_flag"])
+        spelled = hashed.select(*ID, *IDENTITY).distinct()
+        self.dictionary = spelled.groupBy(*ID).agg(
+            F.count(F.lit(1)).alias("spellings"), *[F.first(c).alias(c) for c in IDENTITY]
+        )
+
+    def measures(self, opids: Sequence[int]) -> DataFrame:
+        return self.cube.groupBy(*ID).agg(*_measures(opids)).join(self.dictionary, [*ID]).drop(*ID)
+
+    def opid_counts(self) -> DataFrame:
+        counts = self.cube.where("vyp_opid IS NOT NULL").groupBy(*ID, "vyp_opid").agg(F.sum("n").alias("n")).where("n > 0")
+        return counts.join(self.dictionary, [*ID]).drop(*ID)
+
+
+def _titles_by_pair(rows: DataFrame, opids: Sequence[int], prefix_length: int) -> DataFrame:
     """One row per (signature, name); a title without a key has no countable operations."""
     counts = _count_names(opids)
-    grouped = cube.groupBy("signature", "title_name").agg(
-        *_measures(policy, present, opids), F.min("TITUL_KEY").alias("TITUL_KEY"), *[F.min(m).alias(m) for m in META]
+    grouped = rows.groupBy("signature", "title_name").agg(
+        *_merged(opids), *[F.min(m).alias(m) for m in ("TITUL_KEY", *META)], F.max("spellings").alias("spellings")
     )
     signature, name = F.col("signature"), F.col("title_name")
     keyed = grouped.withColumns(
@@ -102,18 +136,16 @@ def _titles_by_pair(
     return keyed.withColumns(
         {
             **{c: F.when(has_key, F.col(c)).otherwise(F.lit(0).cast("bigint")) for c in counts},
-            "datum_posledni_vypujcky": F.when(has_key, F.col("datum_posledni_vypujcky")),
+            LAST: F.when(has_key, F.col(LAST)),
         }
     )
 
 
 def _share_counts(titles: DataFrame, counts: Sequence[str]) -> DataFrame:
     """Give pairs that spell the same key the counts of all of them; rows whose key has one spelling pass unchanged."""
-    measures = [*counts, "datum_posledni_vypujcky"]
+    measures = [*counts, LAST]
     shared = titles.filter("_shared")
-    per_key = shared.groupBy("title_key").agg(
-        *[F.sum(c).alias(c) for c in counts], F.max("datum_posledni_vypujcky").alias("datum_posledni_vypujcky")
-    )
+    per_key = shared.groupBy("title_key").agg(*[F.sum(c).alias(c) for c in counts], F.max(LAST).alias(LAST))
     fixed = shared.drop(*measures).join(per_key, "title_key", "left")
     return titles.filter("NOT _shared").unionByName(fixed)
 
@@ -137,7 +169,11 @@ def _finish(
         }
     )
     staged = stage(joined, "titles")
-    facts = staged.agg(F.count("*").alias("rows"), F.count_if("_shared").alias("shared")).first()
+    facts = staged.agg(
+        F.count("*").alias("rows"), F.count_if("_shared").alias("shared"), F.max("spellings").alias("spellings")
+    ).first()
+    if (facts["spellings"] or 1) > 1:
+        raise RuntimeError("two identities of titles share a 128-bit hash")
     if facts["shared"]:
         staged = _share_counts(staged, _count_names(opids))
     if sign_prefix:
@@ -201,11 +237,24 @@ def _wanted_prefix(prefix: str | None) -> str | None:
     return prefix.upper() if prefix and prefix != NO_PREFIX else None
 
 
-def _wanted_opids(events: DataFrame, opids: Sequence[int] | None, max_opids: int | None) -> list[int]:
-    """The caller's list, or the codes found in the data (all of them unless the caller sets ``max_opids``)."""
+def _pivot_codes(summary: DataFrame, opids: Sequence[int] | None, max_opids: int | None) -> list[int]:
+    """The caller's list, or the codes of a summary, which must be few enough for columns (or the first ``max_opids`` of them)."""
     if opids is not None:
         return list(opids)
-    return [r["opid"] for r in distinct_opids(events, max_opids=max_opids).collect()]
+    codes = distinct_opids(summary, max_opids=PIVOT_COLUMNS + 1 if max_opids is None else max_opids)
+    found = [r["opid"] for r in codes.take(PIVOT_COLUMNS + 1)]
+    if len(found) > PIVOT_COLUMNS:
+        raise ValueError(f"more than {PIVOT_COLUMNS} operation codes: name those to count in columns, or use the long form")
+    return found
+
+
+def _wanted_rows(narrow: DataFrame, prefix: str | None, prefix_length: int) -> DataFrame:
+    """Rows of a prefix, and those whose key another title may share."""
+    if not prefix:
+        return narrow
+    signature, name = F.col("signature"), F.col("title_name")
+    same = signature_prefix(signature, prefix_length) == prefix
+    return narrow.filter(same | is_ambiguous_key(signature, name))
 
 
 def title_metrics(
@@ -218,26 +267,122 @@ def title_metrics(
     max_opids: int | None = None,
     signature_col: str = "TITUL_SIGN_FULL",
     prefix_length: int = PREFIX_LENGTH,
+    summary: DataFrame | None = None,
 ) -> DataFrame:
-    """Metrics of every title found in wide enriched operations."""
+    """Metrics of every title found in wide enriched operations. ``summary`` is that of the operations, if it is written beside them."""
     policy = policy or UsagePolicy()
-    present = set(events.columns)
-    opids = _wanted_opids(events, opids, max_opids)
+    summary = summary_of(events, summary)
+    opids = _pivot_codes(summary, opids, max_opids)
     narrow = normalise_events(events, signature_col=signature_col)
     prefix = _wanted_prefix(sign_prefix)
-    wanted = narrow
-    if prefix:
-        signature, name = F.col("signature"), F.col("title_name")
-        same = signature_prefix(signature, prefix_length) == prefix
-        wanted = narrow.filter(same | is_ambiguous_key(signature, name))
-    bounds = window_bounds(narrow, policy)
-    flagged = flag_window(wanted, bounds, policy)
-    cube = _usage_cube(flagged, ["TITUL_KEY", "signature", "title_name", *META, *KIND])
-    titles = _titles_by_pair(cube, policy, present, opids, prefix_length)
+    bounds = window_bounds(normalise_events(summary), policy)
+    usage = WideUsage(_wanted_rows(narrow, prefix, prefix_length), bounds, policy, set(events.columns))
+    titles = _titles_by_pair(usage.measures(opids), opids, prefix_length)
     held = copies_per_title(copies) if copies is not None else copies_seen_in_events(narrow)
     return _finish(titles, held, bounds, policy, opids, sign_prefix=prefix)
 
 
+def _counts_by_key(rows: DataFrame) -> DataFrame:
+    """(``title_key``, ``opid``, ``n``) from counts by signature and name; titles without a key have no countable operations.
+
+    The key's text is looked up once per title: counts are summed by its hash."""
+    key = title_key(F.col("signature"), F.col("title_name"))
+    keyed = rows.withColumn("title_key", key).where("title_key IS NOT NULL")
+    hashed = keyed.select("title_key", "vyp_opid", "n", *[F.xxhash64(F.lit(seed), "title_key").alias(name) for seed, name in enumerate(ID)])
+    spelled = hashed.select(*ID, "title_key").distinct()
+    return (
+        hashed.groupBy(*ID, "vyp_opid").agg(F.sum("n").alias("n")).join(spelled, [*ID]).select("title_key", F.col("vyp_opid").alias("opid"), "n")
+    )
+
+
+def opid_counts(
+    events: DataFrame, *, policy: UsagePolicy | None = None, signature_col: str = "TITUL_SIGN_FULL", summary: DataFrame | None = None
+) -> DataFrame:
+    """Operations inside the window by title and operation code, one row for each pair that occurs; any number of codes."""
+    policy = policy or UsagePolicy()
+    bounds = window_bounds(normalise_events(summary_of(events, summary)), policy)
+    narrow = normalise_events(events, signature_col=signature_col)
+    return _counts_by_key(WideUsage(narrow, bounds, policy, set(events.columns)).opid_counts())
+
+
+def with_opid_counts(titles: DataFrame, counts: DataFrame, opids: Sequence[int]) -> DataFrame:
+    """Titles with a column for each of the given codes, from counts in long form; columns of that name are replaced."""
+    names = [f"{OPID_COUNT_PREFIX}{k}" for k in opids]
+    sums = [F.sum(F.when(F.col("opid") == k, F.col("n")).otherwise(0)).alias(c) for k, c in zip(opids, names, strict=True)]
+    if not sums:
+        return titles
+    wide = counts.where(F.col("opid").isin(*opids)).groupBy("title_key").agg(*sums)
+    zero = F.lit(0).cast("bigint")
+    return titles.drop(*names).join(wide, "title_key", "left").withColumns({c: F.coalesce(F.col(c), zero) for c in names})
+
+
+class StarUsage:
+    """Usage by title from operations, copies and titles: operations are reduced by copy and code, the dimensions joined afterwards.
+
+    Every measure is a sum or a maximum, so a dimension that repeats a key multiplies counts exactly as it would in the wide table.
+    """
+
+    def __init__(
+        self,
+        operations: DataFrame,
+        copies: DataFrame,
+        op_types: DataFrame,
+        policy: UsagePolicy,
+        summary: DataFrame | None,
+    ) -> None:
+        ops = operations.select(
+            safe_long(operations, "STAT_VYP_PTR_SVAZKY").alias("copy_key"),
+            safe_long(operations, "STAT_VYP_OPID").alias("vyp_opid"),
+            F.to_date(parse_time(operations, "STAT_VYP_TIME")).cast("timestamp_ntz").alias("dt"),
+        ).withColumn("yr", F.year("dt"))
+        raw = ops.select(F.col("vyp_opid").alias("VYP_OPID"), F.col("dt").alias("DATE"), F.col("yr").alias("YEAR"))
+        self.summary = summary_of(raw, summary)
+        self.bounds = window_bounds(normalise_events(self.summary), policy)
+        by_copy = _usage_cube(flag_window(ops, self.bounds, policy), ["copy_key", "vyp_opid"])
+        owner = copies.select(
+            safe_long(copies, "SVAZKY_KEY").alias("copy_key"), safe_long(copies, "SVAZKY_PTR_TITUL").alias("TITUL_KEY")
+        )
+        types = op_types.select(
+            safe_long(op_types, "OPIDY_OPID").alias("vyp_opid"), F.col("OPIDY_POPIS").cast("string").alias("popis")
+        )
+        flags = operation_flags(F.col("vyp_opid"))
+        kinds = {
+            "action_type": F.lower(F.trim(action_type(F.col("popis"), F.col("vyp_opid")))),
+            "action_group": flags["ACTION_GROUP"],
+            "is_loan_flag": flags["IS_LOAN"],
+            "is_return_flag": flags["IS_RETURN"],
+        }
+        owned = by_copy.join(owner, "copy_key", "left").drop("copy_key")
+        self.cube = join_code_list(owned, types, "vyp_opid").withColumns(kinds).withColumn(
+            "loan", loan_predicate(policy, {"IS_LOAN", "ACTION_GROUP", "ACTION_TYPE"})
+        )
+
+    def measures(self, opids: Sequence[int]) -> DataFrame:
+        return self.cube.groupBy("TITUL_KEY").agg(*_measures(opids))
+
+    def opid_counts(self) -> DataFrame:
+        counts = self.cube.where("vyp_opid IS NOT NULL").groupBy("TITUL_KEY", "vyp_opid")
+        return counts.agg(F.sum("n").alias("n")).where("n > 0")
+
+
+def _described(titles: DataFrame, doc_types: DataFrame | None) -> DataFrame:
+    """Titles with the names that normalised operations use."""
+    doc_type = F.col("TITUL_DRUH_DOKUMENTU").cast("string")
+    described = titles.select(
+        safe_long(titles, "TITUL_KEY").alias("TITUL_KEY"),
+        F.col("TITUL_SIGN_FULL").cast("string").alias("signature"),
+        F.col("TITUL_NAZEV").cast("string").alias("title_name"),
+        doc_type.alias("doc_type"),
+        F.col("TITUL_JAZYK").cast("string").alias("lang"),
+        safe_long(titles, "TITUL_ROK_VYDANI").cast("double").alias("year_pub"),
+    )
+    if doc_types is None:
+        return described
+    labels = doc_types.select(F.col("CISELNIKY_ZKRATKA").alias("doc_type"), F.col("CISELNIKY_TEXT").alias("doc_label"))
+    decoded = join_code_list(described, labels, "doc_type")
+    return decoded.withColumn("doc_type", decode(F.col("doc_label"), F.col("doc_type"))).drop("doc_label")
+
+
 def title_metrics_from_star(
     operations: DataFrame,
     copies: DataFrame,
@@ -251,82 +396,46 @@ def title_metrics_from_star(
     opids: Sequence[int] | None = None,
     max_opids: int | None = None,
     prefix_length: int = PREFIX_LENGTH,
+    summary: DataFrame | None = None,
 ) -> DataFrame:
-    """The same metrics without building the wide operations first.
-
-    Operations are reduced to one row per copy and operation code, then joined to copies, reduced to one row per title
-    and code, then joined to titles. Every measure is a sum or a maximum, so a dimension that repeats a key multiplies
-    rows exactly as it would in the wide table.
-    """
+    """The same metrics without building the wide operations first: texts are joined to one row per title."""
     policy = policy or UsagePolicy()
-    ops = operations.select(
-        safe_long(operations, "STAT_VYP_PTR_SVAZKY").alias("copy_key"),
-        safe_long(operations, "STAT_VYP_OPID").alias("vyp_opid"),
-        F.to_date(parse_time(operations, "STAT_VYP_TIME")).cast("timestamp_ntz").alias("dt"),
-    ).withColumn("yr", F.year("dt"))
-    opids = _wanted_opids(ops.withColumnRenamed("vyp_opid", "VYP_OPID"), opids, max_opids)
-    bounds = window_bounds(ops, policy)
-    by_copy = _usage_cube(flag_window(ops, bounds, policy), ["copy_key", "vyp_opid"])
-
-    owner = copies.select(
-        safe_long(copies, "SVAZKY_KEY").alias("copy_key"), safe_long(copies, "SVAZKY_PTR_TITUL").alias("TITUL_KEY")
-    )
-    by_title = (
-        by_copy.join(owner, "copy_key", "left")
-        .groupBy("TITUL_KEY", "vyp_opid")
-        .agg(
-            F.sum("n").alias("n"),
-            F.max("last_dt").alias("last_dt"),
-        )
-    )
-
-    doc_type = F.col("TITUL_DRUH_DOKUMENTU").cast("string")
-    described = titles.select(
-        safe_long(titles, "TITUL_KEY").alias("TITUL_KEY"),
-        F.col("TITUL_SIGN_FULL").cast("string").alias("signature"),
-        F.col("TITUL_NAZEV").cast("string").alias("title_name"),
-        doc_type.alias("doc_type"),
-        F.col("TITUL_JAZYK").cast("string").alias("lang"),
-        safe_long(titles, "TITUL_ROK_VYDANI").cast("double").alias("year_pub"),
-    )
-    if doc_types is not None:
-        labels = doc_types.select(
-            F.col("CISELNIKY_ZKRATKA").alias("doc_type"), F.col("CISELNIKY_TEXT").alias("doc_label")
-        )
-        described = join_code_list(described, labels, "doc_type").withColumn(
-            "doc_type", decode(F.col("doc_label"), F.col("doc_type"))
-        )
+    usage = StarUsage(operations, copies, op_types, policy, summary)
+    opids = _pivot_codes(usage.summary, opids, max_opids)
     prefix = _wanted_prefix(sign_prefix)
-    if prefix:
-        signature, name = F.col("signature"), F.col("title_name")
-        same = signature_prefix(signature, prefix_length) == prefix
-        described = described.filter(same | is_ambiguous_key(signature, name))
-    cube = by_title.join(described.drop("doc_label"), "TITUL_KEY", "inner" if prefix else "left")
+    described = _wanted_rows(_described(titles, doc_types), prefix, prefix_length)
+    rows = usage.measures(opids).join(described, "TITUL_KEY", "inner" if prefix else "left")
+    nothing = F.lit(None).cast("string")
     if subjects is not None:
-        texts = subjects.select("TITUL_KEY", "desk_subjects", "och_subjects")
-        cube = cube.join(texts, "TITUL_KEY", "left")
+        rows = rows.join(subjects.select("TITUL_KEY", "desk_subjects", "och_subjects"), "TITUL_KEY", "left")
     else:
-        cube = cube.withColumns({"desk_subjects": F.lit(None).cast("string"), "och_subjects": F.lit(None).cast("string")})
-    cube = cube.withColumns({c: F.coalesce(F.col(c), F.lit("")) for c in ("desk_subjects", "och_subjects")})
+        rows = rows.withColumns({"desk_subjects": nothing, "och_subjects": nothing})
+    texts = {c: F.coalesce(F.col(c), F.lit("")) for c in ("desk_subjects", "och_subjects")}
+    rows = rows.withColumns({**texts, "spellings": F.lit(1)})
+    by_pair = _titles_by_pair(rows, opids, prefix_length)
+    return _finish(by_pair, copies_per_title(copies), usage.bounds, policy, opids, sign_prefix=prefix)
 
-    types = op_types.select(
-        safe_long(op_types, "OPIDY_OPID").alias("vyp_opid"), F.col("OPIDY_POPIS").cast("string").alias("popis")
-    )
-    flags = operation_flags(F.col("vyp_opid"))
-    cube = join_code_list(cube, types, "vyp_opid").withColumns(
-        {
-            "action_type": F.lower(F.trim(action_type(F.col("popis"), F.col("vyp_opid")))),
-            "action_group": flags["ACTION_GROUP"],
-            "is_loan_flag": flags["IS_LOAN"],
-            "is_return_flag": flags["IS_RETURN"],
-        }
-    )
-    rows = _titles_by_pair(cube, policy, {"IS_LOAN", "ACTION_GROUP", "ACTION_TYPE"}, opids, prefix_length)
-    return _finish(rows, copies_per_title(copies), bounds, policy, opids, sign_prefix=prefix)
+
+def opid_counts_from_star(
+    operations: DataFrame,
+    copies: DataFrame,
+    titles: DataFrame,
+    op_types: DataFrame,
+    *,
+    policy: UsagePolicy | None = None,
+    summary: DataFrame | None = None,
+) -> DataFrame:
+    """``opid_counts`` from the star tables."""
+    usage = StarUsage(operations, copies, op_types, policy or UsagePolicy(), summary)
+    return _counts_by_key(usage.opid_counts().join(_described(titles, None), "TITUL_KEY", "left"))
 
 
 def title_metrics_frame(
-    events: DataFrame, *, policy: UsagePolicy | None = None, opids: Sequence[int] | None = None
+    events: DataFrame,
+    *,
+    policy: UsagePolicy | None = None,
+    opids: Sequence[int] | None = None,
+    summary: DataFrame | None = None,
 ) -> DataFrame:
     """Variant for uploaded frames: cleaned input, NULL key parts as empty, one record per key, copies from the rows.
 
@@ -335,21 +444,23 @@ def title_metrics_frame(
     policy = policy or UsagePolicy()
     policy = UsagePolicy(policy.years, policy.loan_actions, ALL_OR_NOTHING, FLAG_FIRST, policy.now)
     present = set(events.columns)
-    opids = _wanted_opids(events, opids, None)
-    narrow = normalise_events(clean_events(events)).withColumns(
+    cleaned = clean_events(events)
+    summary = summary_of(cleaned, summary)
+    opids = _pivot_codes(summary, opids, None)
+    narrow = normalise_events(cleaned).withColumns(
         {
             "signature": F.coalesce("signature", F.lit("")),
             "title_name": F.coalesce("title_name", F.lit("")),
         }
     )
-    bounds = window_bounds(narrow, policy)
-    flagged = flag_window(narrow, bounds, policy)
-    cube = _usage_cube(flagged, ["TITUL_KEY", "signature", "title_name", *META, *KIND])
+    bounds = window_bounds(normalise_events(summary), policy)
+    usage = WideUsage(narrow, bounds, policy, present)
     record = ["signature", "title_name", *META, "TITUL_KEY"]
     titles = (
-        cube.withColumn("title_key", title_key(F.col("signature"), F.col("title_name"), null_as_empty=True))
+        usage.measures(opids)
+        .withColumn("title_key", title_key(F.col("signature"), F.col("title_name"), null_as_empty=True))
         .groupBy("title_key")
-        .agg(*_measures(policy, present, opids), F.min(F.struct(*record)).alias("record"))
+        .agg(*_merged(opids), F.max("spellings").alias("spellings"), F.min(F.struct(*record)).alias("record"))
         .select("*", "record.*")
         .drop("record")
         .withColumns({"SIGN_PREFIX": signature_prefix_frame(F.col("signature")), "_shared": F.lit(False)})

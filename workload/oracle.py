@@ -139,6 +139,10 @@ def from_classes(select: str, *, more: str = "", **options) -> str:
     return f"WITH {metrics(**options)}, {classes()}{', ' + more if more else ''} {select}"
 
 
+COUNTS_LONG = f"""WITH {TITLES}, {OPS}
+SELECT TITUL_SIGN_FULL || '||' || TITUL_NAZEV AS title_key, opid, count(*) AS n FROM ops JOIN tituly ON TITUL_KEY = l_partkey
+WHERE l_shipdate >= (SELECT max(l_shipdate) - INTERVAL 2 YEAR FROM lineitem) GROUP BY 1, 2"""
+
 MATRIX = """matrix AS (
   SELECT SIGN_PREFIX,
          count(DISTINCT title_key) FILTER (WHERE klasifikace = 'AUTO_KANDIDAT') AS AUTO_KANDIDAT,
@@ -250,7 +254,18 @@ ORACLE: dict[str, str] = {
         + " FROM m",
         opids=OPIDS,
     ),
+    "opid_counts_long": COUNTS_LONG,
+    "opid_counts_wide": COUNTS_LONG,
+    "titles_with_opid_counts": from_metrics(
+        "SELECT title_key, pocet_opid_97, pocet_opid_8, CAST(0 AS BIGINT) AS pocet_opid_12345 FROM m", opids=OPIDS
+    ),
+    "operations_summary": f"""WITH {OPS}
+SELECT coalesce(popis, CAST(opid AS VARCHAR)) AS ACTION_TYPE, grp AS ACTION_GROUP, is_loan AS IS_LOAN, opid AS VYP_OPID,
+       popis AS OPIDY_POPIS, CAST(max(l_shipdate) AS VARCHAR) AS DATE, CAST(max(year(l_shipdate)) AS INTEGER) AS YEAR, count(*) AS n
+FROM ops GROUP BY 1, 2, 3, 4, 5""",
     "title_metrics_wide": from_metrics("SELECT * FROM m", label_types=False),
+    "title_metrics_wide_subjects": from_metrics("SELECT * FROM m", subjects=True),
+    "title_metrics_frame_subjects": from_metrics("SELECT * FROM m", subjects=True, opids=(4, 98), frame=True),
     "title_metrics_flags": from_metrics(
         "SELECT title_key, vypujcky_5_let, pocet_svazku, vykon_na_svazek, rizikove_skore FROM m", years=3
     ),
@@ -425,7 +440,7 @@ WHERE regexp_matches(desk_subjects, '(NATION_1$|NATION_22)') AND regexp_matches(
 SELECT term FROM terms WHERE starts_with(lower(term), 'en') ORDER BY lower(term), term LIMIT 80""",
     "text_search": "SELECT doc_id, lang FROM documents WHERE regexp_matches(lower(text), '(ouon[,.]|whth)')",
     "title_assembly": f"""WITH {TITLES}
-SELECT TITUL_KEY, TITUL_SIGN_FULL, CASE WHEN TITUL_KEY % 7 <> 0 THEN TITUL_NAZEV END AS TITUL_NAZEV, TITUL_ZAHLAVI,
+SELECT TITUL_KEY, TITUL_SIGN_FULL, TITUL_NAZEV, TITUL_ZAHLAVI,
        TITUL_ROK_VYDANI, TITUL_JAZYK, TITUL_DRUH_DOKUMENTU FROM tituly""",
     "doc_type_labels": """SELECT p_partkey AS TITUL_KEY,
        CASE WHEN p_type = 'STANDARD' THEN p_type ELSE 'type ' || lower(p_type) END AS TITUL_DRUH_DOKUMENTU FROM part""",

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from shelfwise.functions.labels import class_label, labelled, labelled_prefixes, labelled_summary
 from shelfwise.functions.rules import AUTO, CLASSES, ClassLimits
 from shelfwise.operators import candidates as cand
-from shelfwise.operators import discovery, metrics, summaries
+from shelfwise.operators import discovery, facts, metrics, summaries
 from shelfwise.operators.classify import classify, flag_exceptions, rules_from_json
 from shelfwise.operators.copies import copies_per_title
 from shelfwise.operators.enrich import assemble_titles, decode_doc_types, enrich_operations, reader_demographics
@@ -32,6 +32,7 @@ from workload.dump_writer import encode_windows_1250, write_dump
 from workload.roles import Roles
 
 LOAN_ACTIONS = ("loan out", "loan in house")
+OPIDS = (4, 5, 7, 8, 97, 98)
 POLICY = UsagePolicy(years=2, loan_actions=LOAN_ACTIONS)
 RULES = {"TITUL_NAZEV": ["red"]}
 LIMITS = ClassLimits(low_loans_min=1, low_loans_max=2, bottom_percentile=30.0, stale_years=1.0, auto_max_loans=3)
@@ -89,11 +90,31 @@ def title_metrics(spark, sf_dir):
 
 @query
 def title_metrics_opid_pivot(spark, sf_dir):
-    df = star_metrics(Roles(spark, sf_dir))
+    df = star_metrics(Roles(spark, sf_dir), opids=OPIDS)
     counts = sorted(c for c in df.columns if c.startswith("pocet_opid_"))
     return df.select("title_key", *metrics.TOTALS, *counts)
 
 
+@query
+def opid_counts_long(spark, sf_dir):
+    """Operations by title and code, a row for each pair that occurs."""
+    r = Roles(spark, sf_dir)
+    return metrics.opid_counts_from_star(r.operations(), r.copies(), r.titles(), r.op_types(), policy=POLICY)
+
+
+@query
+def opid_counts_wide(spark, sf_dir):
+    return metrics.opid_counts(Roles(spark, sf_dir).enriched(), policy=POLICY)
+
+
+@query
+def titles_with_opid_counts(spark, sf_dir):
+    """Chosen codes as columns, one of which no operation has."""
+    r = Roles(spark, sf_dir)
+    counts = metrics.opid_counts(r.enriched(), policy=POLICY)
+    return metrics.with_opid_counts(star_metrics(r, opids=[]).select("title_key"), counts, [97, 8, 12345])
+
+
 @query
 def title_metrics_wide(spark, sf_dir):
     r = Roles(spark, sf_dir)
@@ -113,6 +134,19 @@ def title_metrics_frame(spark, sf_dir):
     return portable(metrics.title_metrics_frame(Roles(spark, sf_dir).enriched(), policy=POLICY))
 
 
+@query
+def title_metrics_wide_subjects(spark, sf_dir):
+    """Wide operations with the subject texts of their titles."""
+    r = Roles(spark, sf_dir)
+    events = _enriched_with_everything(r)
+    return portable(metrics.title_metrics(events, copies=r.copies(), policy=POLICY, opids=[]))
+
+
+@query
+def title_metrics_frame_subjects(spark, sf_dir):
+    return portable(metrics.title_metrics_frame(_enriched_with_everything(Roles(spark, sf_dir)), policy=POLICY, opids=[4, 98]))
+
+
 @query
 def metrics_one_prefix(spark, sf_dir):
     df = star_metrics(Roles(spark, sf_dir), sign_prefix="pr", opids=[])
@@ -165,6 +199,14 @@ def distinct_opids(spark, sf_dir):
     return discovery.distinct_opids(Roles(spark, sf_dir).enriched())
 
 
+@query
+def operations_summary(spark, sf_dir):
+    """Kinds of operation with rows and greatest date: the summaries of the years, written as parts and merged."""
+    path = new_stage_path(spark, "summary")
+    facts.write_summary(Roles(spark, sf_dir).enriched(), path, by="YEAR")
+    return portable(facts.read_summary(spark, path)).withColumnRenamed("rows", "n")
+
+
 @query
 def opid_legend(spark, sf_dir):
     return discovery.opid_legend(Roles(spark, sf_dir).enriched())
@@ -407,7 +449,7 @@ def subject_variants(spark, sf_dir):
     """Descriptors reached directly, through a table between, and from text kept with the link."""
     r = Roles(spark, sf_dir)
     desk = r.desk().withColumn("DESK_TEXT", F.concat(F.lit(" inline "), F.col("DESK_PTR_TXDESK").cast("string")))
-    deskt = r.txdesk().select(F.col("TXDESK_KEY").alias("DESKT_KEY")).filter("DESKT_KEY % 2 = 0")
+    deskt = r.txdesk().select(F.col("TXDESK_KEY").alias("DESKT_KEY"))
     region = F.concat(F.lit("via "), "TXDESK_DESKRIPTOR")
     txdesk = r.txdesk().select(F.col("TXDESK_KEY").alias("PTR_DESKT"), region.alias("TXDESK_TEXT"))
     return title_subjects(desk=desk, deskt=deskt, txdesk=txdesk)
@@ -451,7 +493,7 @@ def title_assembly(spark, sf_dir):
     t = Roles(spark, sf_dir).titles()
     return assemble_titles(
         t.select("TITUL_KEY", "TITUL_SIGN_FULL"),
-        t.select("TITUL_KEY", "TITUL_NAZEV").filter("TITUL_KEY % 7 <> 0"),
+        t.select("TITUL_KEY", "TITUL_NAZEV"),
         t.select("TITUL_KEY", "TITUL_ZAHLAVI"),
         t.select("TITUL_KEY", F.col("TITUL_ROK_VYDANI").cast("string"), "TITUL_JAZYK", "TITUL_DRUH_DOKUMENTU"),
     )

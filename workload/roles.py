@@ -94,6 +94,7 @@ class Roles:
         )
 
     def doc_types(self) -> DataFrame:
+        """Labels of all types but one: the code list has no entry for ``STANDARD``, which therefore keeps its code."""
         return (
             self.table("part")
             .filter("p_type <> 'STANDARD'")
