@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.operators.copies import copies_per_title
+from shelfwise.operators.enrich import copy_dimension, decode_doc_types, reader_demographics
+from shelfwise.schema import safe_long
 
 TABLES = ("fact_vypujcky", "dim_tituly", "dim_svazky", "dim_knoddel", "dim_opidy")
 
@@ -38,6 +40,45 @@ def save_star(
         writer.saveAsTable(prefix + name)
 
 
+def save_dimensions(
+    spark: SparkSession,
+    copies: DataFrame,
+    titles: DataFrame,
+    *,
+    subjects: DataFrame | None = None,
+    doc_types: DataFrame | None = None,
+    readers: DataFrame | None = None,
+    buckets: int | None = None,
+    database: str | None = None,
+    path: str | None = None,
+    keep_exact_age: bool = True,
+    digits_only: bool = False,
+) -> dict[str, DataFrame]:
+    """Write and return the large dimensions in buckets of their keys: copies with all texts of their titles, titles, readers' groups.
+
+    Built once, they are joined to any number of operations without being shuffled again. ``buckets`` should grow with the dimensions; the default is
+    the session's number of shuffle partitions, below which Spark would deal the buckets out anew.
+    """
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    described = decode_doc_types(titles, doc_types) if doc_types is not None else titles
+    tables = {
+        "dim_svazky_popis": (copy_dimension(copies, described, subjects), "SVAZKY_KEY"),
+        "dim_tituly_popis": (described.withColumn("TITUL_KEY", safe_long(described, "TITUL_KEY")), "TITUL_KEY"),
+    }
+    if readers is not None:
+        demo = reader_demographics(readers, keep_exact_age=keep_exact_age, digits_only=digits_only)
+        tables["dim_ctenari"] = (demo, "LEG_KEY")
+    out = {}
+    for name, (df, key) in tables.items():
+        full = f"{database}.{name}" if database else name
+        writer = df.repartition(buckets, key).write.mode("overwrite").option("compression", "zstd").bucketBy(buckets, key).sortBy(key)
+        if path:
+            writer = writer.option("path", f"{path}/{name}")
+        writer.saveAsTable(full)
+        out[name] = spark.table(full)
+    return out
+
+
 def title_copies_view(copies: DataFrame) -> DataFrame:
     """``v_titul_svazky``: distinct copies per title."""
     return copies_per_title(copies)

@@ -447,6 +447,7 @@ SELECT TITUL_KEY, TITUL_SIGN_FULL, TITUL_NAZEV, TITUL_ZAHLAVI,
     "reader_demographics": f"WITH {READERS} SELECT * FROM reader_groups",
     "reader_groups_private": f"WITH {READERS} SELECT * EXCLUDE (VEK) FROM reader_groups",
     "enriched_operations": f"WITH {ENRICHED} SELECT * FROM enriched",
+    "enriched_from_buckets": f"WITH {ENRICHED} SELECT * FROM enriched",
     "enriched_by_reader_group": f"""WITH {ENRICHED}
 SELECT VEK_BUCKET, POHLAVI, ACTION_GROUP, YEAR_MONTH, count(*) AS n FROM enriched GROUP BY 1, 2, 3, 4""",
     "calendar_attributes": """SELECT event_id, strftime(ts, '%Y-%m-%d') AS DATE, CAST(year(ts) AS INTEGER) AS YEAR,

@@ -15,12 +15,12 @@ from shelfwise.operators import candidates as cand
 from shelfwise.operators import discovery, facts, metrics, summaries
 from shelfwise.operators.classify import classify, flag_exceptions, rules_from_json
 from shelfwise.operators.copies import copies_per_title
-from shelfwise.operators.enrich import assemble_titles, decode_doc_types, enrich_operations, reader_demographics
+from shelfwise.operators.enrich import assemble_titles, decode_doc_types, enrich_from_dimensions, enrich_operations, reader_demographics
 from shelfwise.operators.events import clean_events
 from shelfwise.operators.quality import validate_build
 from shelfwise.operators.subjects import title_subjects
 from shelfwise.operators.windowing import UsagePolicy, filter_window
-from shelfwise.plans.catalog import loans_by_title_view, register_views, save_star
+from shelfwise.plans.catalog import loans_by_title_view, register_views, save_dimensions, save_star
 from shelfwise.plans.ingest import table_path
 from shelfwise.plans.rebuild import rebuild_all
 from shelfwise.plans.review import load_titles, review
@@ -533,6 +533,20 @@ def enriched_operations(spark, sf_dir):
     return portable(_enriched_with_everything(Roles(spark, sf_dir)))
 
 
+@query
+def enriched_from_buckets(spark, sf_dir):
+    """The same from dimensions written in buckets of their keys; every copy and reader with a thousandth of the rows is treated as hot."""
+    r = Roles(spark, sf_dir)
+    dims = save_dimensions(
+        spark, r.copies(), r.titles(), subjects=title_subjects(**r.subject_tables()), doc_types=r.doc_types(), readers=r.readers(),
+        path=new_stage_path(spark, "dimensions"),
+    )
+    rows = enrich_from_dimensions(
+        r.operations(readers=True), dims["dim_svazky_popis"], r.op_types(), r.branches(), demographics=dims["dim_ctenari"], least_rows=2
+    )
+    return portable(rows)
+
+
 @query
 def enriched_by_reader_group(spark, sf_dir):
     df = _enriched_with_everything(Roles(spark, sf_dir))
