@@ -12,7 +12,7 @@ from shelfwise.functions.labels import COUNT_LABELS, OPID_COUNT_PREFIX, column_l
 from shelfwise.functions.rules import CLASSES
 from shelfwise.functions.scores import buy_score, write_off_score
 from shelfwise.functions.text import any_of, contains
-from shelfwise.operators.quantiles import exact_median, exact_quantiles
+from shelfwise.operators.quantiles import exact_quantiles_of
 
 # Lengths of the lists.
 TOP_CANDIDATES = 50
@@ -24,6 +24,7 @@ MAX_SUGGESTIONS = 80
 UNCLEAR_HIGH = "hodně svazků + vysoký výkon"
 UNCLEAR_LOW = "málo svazků + nízký výkon"
 
+# Columns of the candidate and result lists, in their order.
 CANDIDATE_COLUMNS = (
     "TITUL_NAZEV",
     "SIGN_PREFIX",
@@ -187,16 +188,16 @@ class RecommendedRanges:
 
 def recommended_ranges(titles: DataFrame) -> RecommendedRanges:
     numbers = titles.select(number("pocet_svazku").alias("copies"), number("vykon_na_svazek").alias("use"))
-    copies_10, copies_90 = (x or 0.0 for x in exact_quantiles(numbers, "copies", [0.10, 0.90]))
-    use_20, use_80 = (x or 0.0 for x in exact_quantiles(numbers, "use", [0.20, 0.80]))
-    top = numbers.agg(F.max("copies").alias("copies"), F.max("use").alias("use")).first()
+    found = exact_quantiles_of(numbers, {"copies": [0.10, 0.90, 1.0], "use": [0.20, 0.80, 1.0]})
+    copies_10, copies_90, copies_max = (x or 0.0 for x in found["copies"])
+    use_20, use_80, use_max = (x or 0.0 for x in found["use"])
     return RecommendedRanges(
         copies_high=int(max(3, copies_90)),
         use_low=use_20,
         copies_low=int(max(1, copies_10)),
         use_high=use_80,
-        max_copies=max(1, int(top["copies"] or 0)),
-        max_use=max(1.0, top["use"] or 0.0),
+        max_copies=max(1, int(copies_max)),
+        max_use=max(1.0, use_max),
     )
 
 
@@ -235,7 +236,8 @@ def buy_candidates(
 def medians(titles: DataFrame) -> tuple[int, float]:
     """Median number of copies (cut to a whole number) and median loans per copy."""
     rows = _numeric(titles)
-    return int(exact_median(rows, "pocet_svazku") or 0), exact_median(rows, "vykon_na_svazek") or 0.0
+    found = exact_quantiles_of(rows, {"pocet_svazku": [0.5], "vykon_na_svazek": [0.5]})
+    return int(found["pocet_svazku"][0] or 0), found["vykon_na_svazek"][0] or 0.0
 
 
 def unclear_cases(titles: DataFrame, *, k: int = TOP_UNCLEAR) -> DataFrame:

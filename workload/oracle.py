@@ -321,6 +321,12 @@ UNION ALL SELECT 'pocet_vraceni_is_return', 'Počet vrácení (IS_RETURN)', CAST
     ),
     "exception_flags": """SELECT p_partkey AS TITUL_KEY,
        p_name LIKE 'small%' OR p_name LIKE '%blue %' OR p_type LIKE '%PROMO%' AS vyjimka_flag FROM part""",
+    "exception_flags_from_table": """WITH marks AS (SELECT lower(p_type || ' ' || CAST(p_partkey AS VARCHAR)) AS k FROM part WHERE p_size <= 2),
+names AS (SELECT DISTINCT trim(lower(substr(p_name, 2, 9))) AS k FROM part WHERE p_size = 50)
+SELECT p_partkey AS TITUL_KEY,
+       lower(p_brand) IN ('brand#51', 'brand#52')
+       OR EXISTS (SELECT 1 FROM marks WHERE contains(lower(p_type || ' ' || CAST(p_partkey AS VARCHAR)), k))
+       OR EXISTS (SELECT 1 FROM names WHERE k <> '' AND contains(lower(p_name), k)) AS vyjimka_flag FROM part""",
     "exception_reasons": from_classes(
         """SELECT CASE TITUL_DRUH_DOKUMENTU WHEN 'type economy' THEN 'Beletrie' WHEN 'STANDARD' THEN 'poezie a drama'
               ELSE TITUL_DRUH_DOKUMENTU END AS TITUL_DRUH_DOKUMENTU,

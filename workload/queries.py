@@ -281,6 +281,22 @@ def exception_flags(spark, sf_dir):
     return flagged.select("TITUL_KEY", "vyjimka_flag")
 
 
+@query
+def exception_flags_from_table(spark, sf_dir):
+    """Rules kept as JSON texts, one for each brand: the shelf marks of its small parts (which begin other marks), names of its large ones, a pattern."""
+    r = Roles(spark, sf_dir)
+    part = r.table("part")
+    mark = F.concat_ws(" ", F.upper("p_type"), F.col("p_partkey").cast("string"))
+    lists = part.groupBy("p_brand").agg(
+        F.collect_set(F.when(F.col("p_size") <= 2, mark)).alias("TITUL_SIGN_FULL"),
+        F.collect_set(F.when(F.col("p_size") == 50, F.substring("p_name", 2, 9))).alias("TITUL_NAZEV"),
+        F.array(F.lit("^brand#5[12]$"), F.lit(" ")).alias("TITUL_JAZYK"),
+    )
+    rules = rules_from_json(lists.select(F.to_json(F.struct("TITUL_SIGN_FULL", "TITUL_NAZEV", "TITUL_JAZYK")).alias("rules")), "rules")
+    flagged = flag_exceptions(r.titles(), rules)
+    return flagged.select("TITUL_KEY", "vyjimka_flag")
+
+
 @query
 def exception_reasons(spark, sf_dir):
     """Reasons of protected titles; a document type of the fixed keyword list is put in for two of the types."""
