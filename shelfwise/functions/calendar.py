@@ -8,16 +8,13 @@ from pyspark.sql import types as T
 
 from shelfwise.schema import data_type
 
-# Text formats of dates in uploaded files, day first.
-DAY_FIRST_FORMATS = (
-    "yyyy-MM-dd",
-    "yyyy-MM-dd HH:mm:ss",
-    "d.M.yyyy",
-    "d.M.yyyy H:mm:ss",
-    "d.M.yyyy H:mm",
-    "d/M/yyyy",
-    "d/M/yyyy H:mm:ss",
-    "d-M-yyyy",
+# Text forms of dates in uploaded files, and how each is written year first.
+YEAR_FIRST = r"^\d{4}-\d{2}-\d{2}( \d{2}:\d{2}:\d{2})?$"
+DAY_FIRST_FORMS = (
+    (r"^(\d{1,2})\.(\d{1,2})\.(\d{4})( \d{1,2}:\d{2}:\d{2})?$", "$3-$2-$1$4"),
+    (r"^(\d{1,2})\.(\d{1,2})\.(\d{4})( \d{1,2}:\d{2})$", "$3-$2-$1$4:00"),
+    (r"^(\d{1,2})/(\d{1,2})/(\d{4})( \d{1,2}:\d{2}:\d{2})?$", "$3-$2-$1$4"),
+    (r"^(\d{1,2})-(\d{1,2})-(\d{4})$", "$3-$2-$1"),
 )
 
 
@@ -30,9 +27,12 @@ def parse_time(df: DataFrame, name: str) -> Column:
 
 
 def parse_day_first(c: Column) -> Column:
+    """Time of a text, day first, without passing through any zone; NULL when it cannot be read."""
     text = F.trim(c.cast("string"))
-    tries = [F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in DAY_FIRST_FORMATS]
-    return F.coalesce(*tries)
+    turned = F.when(text.rlike(YEAR_FIRST), text)
+    for form, year_first in DAY_FIRST_FORMS:
+        turned = turned.when(text.rlike(form), F.regexp_replace(text, form, year_first))
+    return turned.try_cast("timestamp_ntz")
 
 
 def calendar_columns(ts: Column) -> dict[str, Column]:

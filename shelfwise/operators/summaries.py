@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.functions.rules import AUTO, CLASSES, KEEP, MANUAL, PROTECTED
@@ -12,6 +12,7 @@ from shelfwise.operators.candidates import MAX_SUGGESTIONS, TOP_PREFIXES, number
 TERM_SEPARATORS = r"[|;,]"  # fixed value: what separates terms in a subject text
 MIN_TERM_LENGTH = 2
 HISTOGRAM_BINS = 30
+DICTIONARY_BLOCK = 16 << 20  # bytes of a row group
 
 
 def by_prefix(titles: DataFrame, *, prefix_col: str = "SIGN_PREFIX") -> DataFrame:
@@ -76,11 +77,31 @@ def fill_rate(titles: DataFrame) -> DataFrame:
     return titles.agg(*filled, F.count("*").alias("celkem"))
 
 
+def vocabulary_terms(texts: DataFrame, column: str) -> DataFrame:
+    """Distinct terms of a joined text."""
+    parts = texts.select(F.explode(F.split(F.col(column), TERM_SEPARATORS)).alias("part"))
+    return parts.select(strip(F.col("part")).alias("term")).filter(F.length("term") >= MIN_TERM_LENGTH).distinct()
+
+
 def vocabulary(texts: DataFrame, column: str) -> DataFrame:
     """Distinct terms of a joined text, ordered without regard to case."""
-    parts = texts.select(F.explode(F.split(F.col(column), TERM_SEPARATORS)).alias("part"))
-    terms = parts.select(strip(F.col("part")).alias("term")).filter(F.length("term") >= MIN_TERM_LENGTH).distinct()
-    return terms.orderBy(F.lower("term"), "term")
+    return vocabulary_terms(texts, column).orderBy(F.lower("term"), "term")
+
+
+def write_vocabulary(texts: DataFrame, column: str, path: str) -> None:
+    """The vocabulary as a dictionary: parts and row groups in the order of the lower-cased term, so that a prefix lies in few of them."""
+    terms = vocabulary_terms(texts, column).withColumn("lower", F.lower("term"))
+    ordered = terms.repartitionByRange("lower", "term").sortWithinPartitions("lower", "term")
+    ordered.write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", DICTIONARY_BLOCK).parquet(path)
+
+
+def suggestions_from(spark: SparkSession, path: str, typed: str, k: int = MAX_SUGGESTIONS) -> DataFrame:
+    """``suggestions`` from a written dictionary: the scan reads the range of the prefix only."""
+    prefix = typed.strip().lower()
+    terms = spark.read.parquet(path)
+    if prefix:
+        terms = terms.where((F.col("lower") >= prefix) & F.startswith("lower", F.lit(prefix)))
+    return terms.orderBy("lower", "term").limit(k).select("term")
 
 
 def suggestions(terms: DataFrame, typed: str, k: int = MAX_SUGGESTIONS) -> DataFrame:

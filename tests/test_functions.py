@@ -136,3 +136,17 @@ def test_schema_decisions(spark):
 def test_safe_long(spark, ddl, value, expected):
     df = spark.createDataFrame([(value,)], f"v {ddl}")
     assert df.select(safe_long(df, "v")).first()[0] == expected
+
+
+def test_day_first_times_know_no_zone(spark):
+    texts = ["31.3.2024 2:30:00", "31.3.2024 2:30", "31/3/2024 2:30:00", "2024-03-31 02:30:00", "27.10.2024 2:30", "31-3-2024", "31.2.2024", "1.1.24", "x"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    night, autumn = dt.datetime(2024, 3, 31, 2, 30), dt.datetime(2024, 10, 27, 2, 30)
+    want = [night] * 4 + [autumn, dt.datetime(2024, 3, 31), None, None, None]
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "Europe/Prague"):  # 2:30 of the first day does not exist there, that of the second occurs twice
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            assert [r[0] for r in df.select(calendar.parse_day_first(F.col("t"))).collect()] == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)

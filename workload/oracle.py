@@ -246,6 +246,32 @@ LABELLED = """SELECT TITUL_NAZEV AS "Název titulu", SIGN_PREFIX AS "Prefix sign
     ELSE 'Ponechat' END AS "Klasifikace"
 FROM c"""
 
+CANDIDATES_SHOWN = CANDIDATE_COLUMNS.removeprefix("title_key, ")
+SELECTED = "sel AS (SELECT * FROM c WHERE SIGN_PREFIX = 'PR' AND pocet_svazku >= 5)"
+KPI_ROW = """k AS (SELECT count(DISTINCT title_key) AS titulu_celkem,
+       count(*) FILTER (WHERE klasifikace = 'AUTO_KANDIDAT') AS AUTO_KANDIDAT,
+       count(*) FILTER (WHERE klasifikace = 'RUCNI_POSOUZENI') AS RUCNI_POSOUZENI,
+       count(*) FILTER (WHERE klasifikace = 'CHRANENO_VYJIMKOU') AS CHRANENO_VYJIMKOU,
+       count(*) FILTER (WHERE klasifikace = 'PONECHAT') AS PONECHAT,
+       CAST(sum(pocet_svazku) AS BIGINT) AS svazku_celkem, round(avg(vykon_na_svazek), 6) AS prum_vykon FROM c)"""
+KPI = """SELECT *, round(100.0 * AUTO_KANDIDAT / titulu_celkem, 6) AS podil_AUTO_KANDIDAT,
+       round(100.0 * RUCNI_POSOUZENI / titulu_celkem, 6) AS podil_RUCNI_POSOUZENI,
+       round(100.0 * CHRANENO_VYJIMKOU / titulu_celkem, 6) AS podil_CHRANENO_VYJIMKOU,
+       round(100.0 * PONECHAT / titulu_celkem, 6) AS podil_PONECHAT FROM k"""
+UNCLEAR = f"""SELECT * FROM (SELECT 'hodně svazků + vysoký výkon' AS typ, {CANDIDATES_SHOWN} FROM sel, mid
+  WHERE pocet_svazku >= mc AND vykon_na_svazek >= mu ORDER BY pocet_svazku DESC, vykon_na_svazek DESC, title_key LIMIT 25)
+UNION ALL
+SELECT * FROM (SELECT 'málo svazků + nízký výkon' AS typ, {CANDIDATES_SHOWN} FROM sel, mid
+  WHERE pocet_svazku <= mc AND vykon_na_svazek <= mu ORDER BY vykon_na_svazek, pocet_svazku, title_key LIMIT 25)"""
+
+
+def from_review(select: str) -> str:
+    """Over the classified titles that the review selects."""
+    mid = "mid AS (SELECT trunc(median(pocet_svazku)) AS mc, median(vykon_na_svazek) AS mu FROM sel)"
+    parts = [SELECTED, *[x.replace("FROM c", "FROM sel") for x in (MATRIX, KPI_ROW)], mid]
+    return from_classes(select, more=", ".join(parts))
+
+
 ORACLE: dict[str, str] = {
     "title_metrics": from_metrics("SELECT * FROM m"),
     "title_metrics_opid_pivot": from_metrics(
@@ -350,18 +376,7 @@ FROM matrix WHERE SIGN_PREFIX = 'ST'""",
     "top_auto_prefixes": from_classes(
         "SELECT SIGN_PREFIX, AUTO_KANDIDAT FROM matrix ORDER BY 2 DESC, 1 LIMIT 10", more=MATRIX
     ),
-    "kpi_summary": from_classes(
-        """SELECT *, round(100.0 * AUTO_KANDIDAT / titulu_celkem, 6) AS podil_AUTO_KANDIDAT,
-       round(100.0 * RUCNI_POSOUZENI / titulu_celkem, 6) AS podil_RUCNI_POSOUZENI,
-       round(100.0 * CHRANENO_VYJIMKOU / titulu_celkem, 6) AS podil_CHRANENO_VYJIMKOU,
-       round(100.0 * PONECHAT / titulu_celkem, 6) AS podil_PONECHAT FROM k""",
-        more="""k AS (SELECT count(DISTINCT title_key) AS titulu_celkem,
-       count(*) FILTER (WHERE klasifikace = 'AUTO_KANDIDAT') AS AUTO_KANDIDAT,
-       count(*) FILTER (WHERE klasifikace = 'RUCNI_POSOUZENI') AS RUCNI_POSOUZENI,
-       count(*) FILTER (WHERE klasifikace = 'CHRANENO_VYJIMKOU') AS CHRANENO_VYJIMKOU,
-       count(*) FILTER (WHERE klasifikace = 'PONECHAT') AS PONECHAT,
-       CAST(sum(pocet_svazku) AS BIGINT) AS svazku_celkem, round(avg(vykon_na_svazek), 6) AS prum_vykon FROM c)""",
-    ),
+    "kpi_summary": from_classes(KPI, more=KPI_ROW),
     "class_counts": from_classes(
         """SELECT CASE klasifikace WHEN 'AUTO_KANDIDAT' THEN 'Automatický kandidát (nízký výskyt)'
             WHEN 'RUCNI_POSOUZENI' THEN 'Ruční posouzení' WHEN 'CHRANENO_VYJIMKOU' THEN 'Chráněno výjimkou'
@@ -425,6 +440,20 @@ WHERE SIGN_PREFIX IN ('EC', 'PR', 'ST') AND CAST(substr(TITUL_JAZYK, 7) AS INTEG
         """SELECT TITUL_KEY, CAST(7 AS INTEGER) AS okno_let, vypujcky_okno, klasifikace, duvod_oznaceni FROM c
 WHERE SIGN_PREFIX = 'PR' AND pocet_svazku >= 5"""
     ),
+    "review_titles": from_review("SELECT title_key, klasifikace, duvod_oznaceni, vyjimka_flag FROM sel"),
+    "review_summary": from_review(
+        "SELECT *, AUTO_KANDIDAT + RUCNI_POSOUZENI + CHRANENO_VYJIMKOU + PONECHAT AS CELKEM_TITULU FROM matrix"
+    ),
+    "review_kpi": from_review(KPI),
+    "review_class_counts": from_review("SELECT klasifikace, count(*) AS pocet FROM sel GROUP BY 1"),
+    "review_top_auto": from_review("SELECT SIGN_PREFIX, AUTO_KANDIDAT FROM matrix"),
+    "review_write_off": from_review(
+        f"SELECT {CANDIDATES_SHOWN} FROM sel ORDER BY {WRITE_OFF} DESC, pocet_svazku DESC, title_key LIMIT 50"
+    ),
+    "review_buy": from_review(
+        f"SELECT {CANDIDATES_SHOWN} FROM sel ORDER BY {BUY} DESC, vykon_na_svazek DESC, title_key LIMIT 50"
+    ),
+    "review_unclear": from_review(UNCLEAR),
     "labelled_results": from_classes(LABELLED, subjects=True, opids=OPIDS),
     "title_subjects": f"WITH {SUBJECTS} SELECT * FROM subjects",
     "subject_variants": f"""WITH {DESK}, texts AS (
@@ -443,6 +472,8 @@ WHERE regexp_matches(desk_subjects, '(NATION_1$|NATION_22)') AND regexp_matches(
     ),
     "subject_vocabulary": f"WITH {ALL_TERMS} SELECT term FROM terms",
     "subject_suggestions": f"""WITH {ALL_TERMS}
+SELECT term FROM terms WHERE starts_with(lower(term), 'en') ORDER BY lower(term), term LIMIT 80""",
+    "dictionary_suggestions": f"""WITH {ALL_TERMS}
 SELECT term FROM terms WHERE starts_with(lower(term), 'en') ORDER BY lower(term), term LIMIT 80""",
     "text_search": "SELECT doc_id, lang FROM documents WHERE regexp_matches(lower(text), '(ouon[,.]|whth)')",
     "title_assembly": f"""WITH {TITLES}
@@ -470,7 +501,12 @@ SELECT CAST(l_shipdate AS VARCHAR) AS STAT_VYP_TIME, opid AS STAT_VYP_OPID, coun
   SELECT unnest(regexp_split_to_array(text, '[\\r\\n]+')) AS line FROM documents)
 SELECT md5(regexp_replace(line, '{CP1250_CLASS}', '?', 'g')) AS digest, count(*) AS n
 FROM lines WHERE line <> '' GROUP BY 1""",
-    "export_roundtrip": from_classes("SELECT title_key, klasifikace, vypujcky_okno, pocet_svazku FROM c"),
+    "export_roundtrip": from_classes(
+        """SELECT c.*, m.AUTO_KANDIDAT, m.RUCNI_POSOUZENI, m.CHRANENO_VYJIMKOU, m.PONECHAT,
+       m.AUTO_KANDIDAT + m.RUCNI_POSOUZENI + m.CHRANENO_VYJIMKOU + m.PONECHAT AS CELKEM_TITULU
+FROM c JOIN matrix m ON m.SIGN_PREFIX = c.SIGN_PREFIX""",
+        more=MATRIX,
+    ),
     "export_csv": from_classes("SELECT title_key, TITUL_NAZEV, klasifikace, duvod_oznaceni FROM c"),
     "rebuild_report": f"""WITH {REPORT}, {OPS}
 SELECT *, (SELECT count(DISTINCT l_partkey) FROM lineitem) AS metrics_titles,

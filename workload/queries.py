@@ -28,7 +28,7 @@ from shelfwise.sinks.tables import export_by_class, write_csv, write_parquet
 from shelfwise.sources.charset import decode_bytes
 from shelfwise.sources.dumps import convert_to_utf8, raw_lines, read_dump
 from shelfwise.staging import new_stage_path
-from workload.dump_writer import encode_windows_1250, write_dump
+from workload.dump_writer import encode_windows_1250, file_count, write_dump
 from workload.roles import Roles
 
 LOAN_ACTIONS = ("loan out", "loan in house")
@@ -447,6 +447,53 @@ def review_of_written_titles(spark, sf_dir):
     return parts.results.select("TITUL_KEY", "okno_let", "vypujcky_okno", "klasifikace", "duvod_oznaceni")
 
 
+def _review(spark, sf_dir):
+    path = new_stage_path(spark, "written-titles")
+    write_parquet(star_metrics(Roles(spark, sf_dir), opids=[]), path)
+    titles = load_titles(spark, path, sign_prefix="PR")
+    return review(titles, rules=RULES, limits=LIMITS, filters=cand.Filters(copies_range=(5, None)))
+
+
+@query
+def review_titles(spark, sf_dir):
+    return _review(spark, sf_dir).titles.select("title_key", "klasifikace", "duvod_oznaceni", "vyjimka_flag")
+
+
+@query
+def review_summary(spark, sf_dir):
+    return _review(spark, sf_dir).summary
+
+
+@query
+def review_kpi(spark, sf_dir):
+    return rounded(_review(spark, sf_dir).kpi, "prum_vykon", *[f"podil_{c}" for c in CLASSES])
+
+
+@query
+def review_class_counts(spark, sf_dir):
+    return _review(spark, sf_dir).class_counts
+
+
+@query
+def review_top_auto(spark, sf_dir):
+    return _review(spark, sf_dir).top_auto
+
+
+@query
+def review_write_off(spark, sf_dir):
+    return _review(spark, sf_dir).write_off
+
+
+@query
+def review_buy(spark, sf_dir):
+    return _review(spark, sf_dir).buy
+
+
+@query
+def review_unclear(spark, sf_dir):
+    return _review(spark, sf_dir).unclear
+
+
 @query
 def labelled_results(spark, sf_dir):
     return labelled(portable(cand.result_table(classified(Roles(spark, sf_dir), subjects=True))))
@@ -494,6 +541,14 @@ def subject_suggestions(spark, sf_dir):
     return summaries.suggestions(terms, " EN")
 
 
+@query
+def dictionary_suggestions(spark, sf_dir):
+    """The same suggestions from a written dictionary of terms."""
+    path = new_stage_path(spark, "dictionary")
+    summaries.write_vocabulary(Roles(spark, sf_dir).table("documents"), "text", path)
+    return summaries.suggestions_from(spark, path, " EN")
+
+
 @query
 def text_search(spark, sf_dir):
     docs = Roles(spark, sf_dir).table("documents")
@@ -590,7 +645,7 @@ def validate_build_(spark, sf_dir):
 def ingest_fixed_width(spark, sf_dir):
     titles = Roles(spark, sf_dir).titles()
     path = new_stage_path(spark, "dump-titles")
-    write_dump(titles, path, files=4)
+    write_dump(titles, path)
     return read_dump(spark, path)
 
 
@@ -598,7 +653,7 @@ def ingest_fixed_width(spark, sf_dir):
 def ingest_operations(spark, sf_dir):
     """Dumped operations parsed, with times kept as text as in the staging tables, and counted by day."""
     path = new_stage_path(spark, "dump-operations")
-    write_dump(Roles(spark, sf_dir).operations(), path, files=8)
+    write_dump(Roles(spark, sf_dir).operations(), path)
     rows = read_dump(spark, path)
     return rows.groupBy("STAT_VYP_TIME", "STAT_VYP_OPID").agg(
         F.count("*").alias("n"), F.sum("STAT_VYP_PTR_SVAZKY").cast("decimal(38,0)").cast("string").alias("keys")
@@ -623,7 +678,8 @@ def charset_conversion(spark, sf_dir):
     source, target = new_stage_path(spark, "cp1250"), new_stage_path(spark, "utf8")
     options = {"encoding": "ISO-8859-1", "quote": "", "sep": "\x01", "emptyValue": ""}
     options |= {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
-    content.repartition(8).write.options(**options).csv(source)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    content.repartition(file_count(size)).write.options(**options).csv(source)
     report = convert_to_utf8(spark, source, target, pattern="*.csv")
     unchanged = raw_lines(spark, source, pathGlobFilter="*.csv").join(report.filter("NOT changed"), "path")
     kept = unchanged.select(F.col("content").cast("string").alias("value"))
@@ -634,12 +690,12 @@ def charset_conversion(spark, sf_dir):
 
 @query
 def export_roundtrip(spark, sf_dir):
-    """Export per class, read back."""
-    df = classified(Roles(spark, sf_dir), opids=[]).drop("datum_posledni_vypujcky")
+    """Export per class with the summary per prefix, both read back with all columns."""
+    df = classified(Roles(spark, sf_dir), opids=[])
     path = new_stage_path(spark, "export")
     export_by_class(df, summaries.by_prefix(df), path)
-    back = spark.read.parquet(f"{path}/tituly")
-    return back.select("title_key", "klasifikace", "vypujcky_okno", "pocet_svazku")
+    titles, summary = spark.read.parquet(f"{path}/tituly"), spark.read.parquet(f"{path}/souhrn_po_signaturach")
+    return portable(titles.join(summary, "SIGN_PREFIX", "left"))
 
 
 @query
