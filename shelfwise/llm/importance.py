@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 from shelfwise.staging import stage
 
 BUCKETS = 1 << 14
+MAX_TARGET = 200_000  # labelled documents that the target model is fitted on
 WORD = re.compile(r"[^\W_]+|[^\w\s]")
 BINS = 1024
 PRIOR = 1000.0
@@ -104,13 +105,17 @@ def cutoff(keys: DataFrame, k: int) -> float:
 
 
 def resample(
-    docs: DataFrame, labels: DataFrame, share: float = 0.9, key: str = "doc_id", text: str = "text"
+    docs: DataFrame, labels: DataFrame, share: float = 0.9, key: str = "doc_id", text: str = "text", max_target: int = MAX_TARGET
 ) -> DataFrame:
-    """Each document with ``log_weight``, ``sample_key`` and ``kept``: the sample holds ``share`` of all rows."""
+    """Each document with ``log_weight``, ``sample_key`` and ``kept``: the sample holds ``share`` of all rows.
+
+    The target model is fitted on ``max_target`` good labelled documents at most (those with the least hash of their id), so that their ids can be
+    broadcast and no text is shuffled; the raw model counts all documents."""
     good = labels.groupBy(key).agg(
         ((F.min(F.coalesce("quality", F.lit(0))) == 1) & (F.max(F.coalesce("toxic", F.lit(0))) == 0)).alias("_good")
     )
-    marked = docs.select(key, text).join(good.where("_good"), key, "left")
+    fitted = good.where("_good").orderBy(F.xxhash64(key), key).limit(max_target)
+    marked = docs.select(key, text).join(F.broadcast(fitted), key, "left")
     keys = stage(scored(docs, log_ratios(marked, "_good", text), key=key, text=text), "importance-keys")
     limit = cutoff(keys, max(1, round(share * keys.count())))
     return keys.withColumn("kept", F.col("sample_key") >= limit)
