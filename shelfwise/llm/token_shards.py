@@ -29,8 +29,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from shelfwise.staging import stage
+
 SHARD_TOKENS = 1 << 20
-MAGIC = b"WMX1"
+MAGIC = b"WMX2"
 STEP = 512  # bits between two stored counts
 DELIMITER = "\x01"
 JOINED = 100  # distinct pieces in one string for the tokenizer
@@ -45,10 +47,10 @@ def narrowest(bits: int) -> type:
 class WaveletMatrix:
     """Ids as bit-planes; plane 0 is the highest bit."""
 
-    def __init__(self, size: int, planes: list[np.ndarray], zeros: list[int]) -> None:
+    def __init__(self, size: int, planes: list[np.ndarray], zeros: list[int], ones: list[np.ndarray] | None = None) -> None:
         self.size, self.planes, self.zeros = size, planes, zeros
-        self.ones: list[np.ndarray] = []
-        for plane in planes:
+        self.ones: list[np.ndarray] = list(ones or ())
+        for plane in planes[len(self.ones) :]:
             per_step = np.bitwise_count(np.pad(plane, (0, -len(plane) % (STEP // 8)))).reshape(-1, STEP // 8).sum(axis=1)
             self.ones.append(np.concatenate([[0], np.cumsum(per_step, dtype=np.int64)]))
 
@@ -153,6 +155,7 @@ class Shard:
             [head, self.keys.astype("<i8").tobytes(), self.known.astype("u1").tobytes(), self.lengths.astype("<i8").tobytes()]
             + [np.array(m.zeros, "<i8").tobytes()]
             + [p.tobytes() for p in m.planes]
+            + [x.astype("<i8").tobytes() for x in m.ones]
         )
 
     @classmethod
@@ -170,7 +173,9 @@ class Shard:
 
         keys, known, lengths = take("<i8", n), take("u1", n), take("<i8", n)
         zeros = [int(z) for z in take("<i8", levels)]
-        return cls(keys, known, lengths, WaveletMatrix(size, [take("u1", -(-size // 8)) for _ in range(levels)], zeros))
+        planes = [take("u1", -(-size // 8)) for _ in range(levels)]
+        ones = [take("<i8", 1 + -(-size // STEP)) for _ in range(levels)]
+        return cls(keys, known, lengths, WaveletMatrix(size, planes, zeros, ones))
 
 
 def _pieces(texts: pa.Array, added: Sequence[str] = ()) -> pa.ListArray:
@@ -265,14 +270,29 @@ def write_shards(
     key: str = "doc_id",
     text: str = "text",
 ) -> None:
-    """Encode and write the shard files, numbered by (part, seq) in the order of keys."""
+    """Encode and write the shard files, numbered by (part, seq) in the order of keys.
+
+    Texts are encoded where they are read, once; their ids are written and then sorted, which moves and samples ids only."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from pyspark import TaskContext
         from tokenizers import Tokenizer
 
         encoder = Encoder(Tokenizer.from_file(tokenizer_file))
+        dtype = np.dtype(narrowest((len(encoder.word_end) - 1).bit_length())).newbyteorder("<")
+        for batch in batches:
+            ids, sizes = encoder.encode(batch.column("t"))
+            offsets = np.concatenate([[0], np.cumsum(sizes * dtype.itemsize)])
+            values = pa.LargeBinaryArray.from_buffers(
+                pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(ids.astype(dtype))]
+            )
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("k"), batch.column("h"), pa.array(sizes, pa.int64()), values.cast(pa.binary())], names=["k", "h", "n", "ids"]
+            )
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         part, seq = TaskContext.get().partitionId(), 0
         keys: list = []
         lengths: list[int] = []
@@ -293,21 +313,23 @@ def write_shards(
             )
 
         for batch in batches:
-            ids, sizes = encoder.encode(batch.column("t"))
-            at = 0
-            for k, n in zip(batch.column("k").to_pylist(), sizes.tolist(), strict=True):
+            values = batch.column("ids")
+            for i, (k, n) in enumerate(zip(batch.column("k").to_pylist(), batch.column("n").to_pylist(), strict=True)):
+                data = values[i].as_buffer()
                 keys.append(k)
                 lengths.append(n + 1)
-                pending += [ids[at : at + n], np.array([end_id], np.uint32)]
-                at, held = at + n, held + n + 1
+                pending += [np.frombuffer(data, f"<u{data.size // n}").astype(np.uint32)] if n else []
+                pending.append(np.array([end_id], np.uint32))
+                held += n + 1
                 if held >= shard_tokens:
                     yield shard()
                     keys, lengths, pending, held, seq = [], [], [], 0, seq + 1
         if keys:
             yield shard()
 
-    ordered = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t")).orderBy("k", F.xxhash64("t"))
-    shards = ordered.mapInArrow(encode, "part int, seq int, n_tokens long, shard binary")
+    texts = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t")).withColumn("h", F.xxhash64("t"))
+    encoded = stage(texts.mapInArrow(encode, "k long, h long, n long, ids binary"), "token-ids")
+    shards = encoded.orderBy("k", "h").mapInArrow(pack, "part int, seq int, n_tokens long, shard binary")
     shards.write.option("maxRecordsPerFile", 1).option("compression", "zstd").parquet(path)
 
 

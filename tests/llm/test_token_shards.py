@@ -26,3 +26,29 @@ def test_added_tokens_in_other_cases():
 
 def test_lower_casing_is_kept_for_other_texts():
     assert token_shards._pieces(pa.array(["The END", "<|End|> X"]), ["<|end|>"]).to_pylist() == [["the", "end"], ["<|End|>", "X"]]
+
+
+def test_null_and_repeated_keys(spark, tmp_path):
+    """Null keys come first, rows of one key in the order of their texts' hashes; nothing is written for an empty table."""
+    rows = [(5, "one two"), (None, "no key"), (5, "three"), (None, None), (5, "one two"), (-3, ""), (2, "x " * 50_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    file = public_tokenizers.path("word_bpe_49k.json")
+    token_shards.write_shards(docs, str(tmp_path / "s"), file, shard_tokens=7)
+    found = token_shards.read_documents(spark, str(tmp_path / "s")).orderBy("start").collect()
+    sizes = [len(Tokenizer.from_file(file).encode(t or "", add_special_tokens=False).ids) + 1 for _, t in rows]
+    assert [r.doc_id for r in found] == [None, None, -3, 2, 5, 5, 5] and sorted(r.n_tokens for r in found) == sorted(sizes)
+    assert [r.start for r in found] == [sum(r.n_tokens for r in found[:i]) for i in range(len(found))]
+    token_shards.write_shards(docs.limit(0), str(tmp_path / "e"), file)
+    assert spark.read.schema("part int, seq int, n_tokens long, shard binary").parquet(str(tmp_path / "e")).count() == 0
+
+
+def test_counts_are_in_the_file():
+    import numpy as np
+
+    ids = np.random.default_rng(3).integers(0, 49_000, 3000).astype(np.uint32)
+    matrix = token_shards.WaveletMatrix.build(ids)
+    shard = token_shards.Shard(np.array([1]), np.array([True]), np.array([3000]), matrix)
+    back = token_shards.Shard.from_bytes(shard.to_bytes()).matrix
+    assert all(np.array_equal(a, b) for a, b in zip(matrix.ones, back.ones, strict=True)) and len(back.ones) == len(back.planes)
+    assert np.array_equal(back.decode(), ids) and [back.access(i) for i in (0, 511, 512, 2999)] == ids[[0, 511, 512, 2999]].tolist()
+    assert back.count(int(ids[7])) == int((ids == ids[7]).sum())
