@@ -34,10 +34,10 @@ from pyspark.sql import types as T
 from shelfwise.llm.shingles import RollingHash, _mix
 
 BLANK = "▁"
-BATCH_BYTES = 1 << 19  # text handled together, unless one text is longer
-CHUNK_BYTES = 1 << 17  # distinct words whose lattices are worked out at once, unless one word is longer
+BATCH_BYTES = 1 << 18  # text handled together, unless one text is longer
+CHUNK_BYTES = 1 << 16  # distinct words whose lattices are worked out at once, unless one word is longer
 KEPT_BYTES = 3 << 18  # distinct words whose lattices go on to the next texts, about 100 bytes for each of theirs
-ROOM = 1 << 22
+ROOM = 1 << 21
 SLOTS = 1 << 20
 STEP = 0x9E3779B97F4A7C15
 
@@ -66,6 +66,7 @@ class Pieces:
             score = model.get_score(i)
             ranks[i] = -score if score > -n else n
             ids.append(i)
+        self.spelled = pa.array(self.bytes, pa.large_binary())
         weight = 1.0 / (ranks + 2.0)
         self.log_prob = np.log(weight / weight.sum())
         self.hashing = RollingHash()
@@ -98,8 +99,16 @@ class Pieces:
             maybe, at, wanted = maybe[going], at[going] + 1, wanted[going]
         return np.concatenate(where), np.concatenate(ids)
 
-    def decode(self, ids) -> str:
-        return b"".join(map(self.bytes.__getitem__, ids))[1:].decode("utf-8", "surrogatepass")
+    def decode(self, ids: np.ndarray) -> str:
+        return b"".join(map(self.bytes.__getitem__, ids.tolist()))[1:].decode("utf-8", "surrogatepass")
+
+    def spell(self, ids: np.ndarray, bounds: np.ndarray) -> Iterator[bytes]:
+        """The bytes of the sequences that lie end to end in ``ids``, with their leading blanks."""
+        joined = self.spelled.take(pa.array(ids))
+        _, offsets, data = joined.buffers()
+        ends = np.frombuffer(offsets, np.int64, len(ids) + 1)[bounds].tolist()
+        whole = data.to_pybytes() if data else b""
+        return (whole[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True))
 
 
 class _Numbering(dict):
@@ -282,13 +291,14 @@ def _uniform(keys: np.ndarray) -> np.ndarray:
 
 def _truncated(mass: np.ndarray, value: float, rng: np.random.Generator) -> np.ndarray:
     """Greatest Gumbel value of sets with these log-masses, given that it is below ``value``."""
-    with np.errstate(divide="ignore"):
-        return np.where(np.isneginf(mass), -np.inf, mass - np.log(np.exp(mass - value) + rng.exponential(size=len(mass))))
+    return mass - np.log(np.exp(mass - value) + rng.exponential(size=len(mass)))
 
 
 def _log_rest(p: np.ndarray) -> np.ndarray:
     with np.errstate(divide="ignore"):
-        return np.where(p >= 1 - 1e-12, -np.inf, np.log1p(-np.minimum(p, 1.0)))
+        rest = np.log1p(-np.minimum(p, 1.0))
+    rest[p >= 1 - 1e-12] = -np.inf
+    return rest
 
 
 class Search:
@@ -434,7 +444,9 @@ def segmentations(
         take = pa.array(np.repeat(np.arange(len(texts)), [len(s) for s in found]))
         ids = np.concatenate([s[0] for s in flat]).astype(np.int32)
         offsets = np.concatenate([[0], np.cumsum([len(s[0]) for s in flat])]).astype(np.int32)
-        ok = [lattices.pieces.decode(s[0].tolist()) == (t or "") for t, samples in zip(texts, found, strict=True) for s in samples]
+        spelled = lattices.pieces.spell(ids, offsets)
+        wanted = ((" " + t).encode("utf-8", "surrogatepass") if t else b"" for t in texts)
+        ok = [next(spelled) == w for w, samples in zip(wanted, found, strict=True) for _ in samples]
         return pa.RecordBatch.from_arrays(
             [part.column(c).take(take) for c in names]
             + [
