@@ -57,6 +57,14 @@ def preselected_actions(events: DataFrame) -> DataFrame:
     return words if words.take(1) else types
 
 
+def loan_words(events: DataFrame) -> tuple[str, ...]:
+    """The words for loan among the action types."""
+    if "ACTION_TYPE" not in events.columns:
+        return ()
+    words = events.select(F.lower(_text("ACTION_TYPE")).alias("a")).filter(F.col("a").isin(*LOAN_WORDS))
+    return tuple(sorted(r["a"] for r in words.distinct().collect()))  # no more than there are words
+
+
 def distinct_opids(events: DataFrame, *, max_opids: int | None = None) -> DataFrame:
     """Distinct operation codes, ascending; with ``max_opids`` the first of them."""
     if "VYP_OPID" not in events.columns:

@@ -39,6 +39,7 @@ from shelfwise.operators.joins import join_code_list
 from shelfwise.operators.ranking import BROADCAST_ROWS, rank_within
 from shelfwise.operators.windowing import (
     ALL_OR_NOTHING,
+    ANY_ACTION,
     FLAG_FIRST,
     UsagePolicy,
     flag_window,
@@ -442,7 +443,8 @@ def title_metrics_frame(
     Dates are all-or-nothing, a loan flag wins over the chosen actions, and every operation code gets a column.
     """
     policy = policy or UsagePolicy()
-    policy = UsagePolicy(policy.years, policy.loan_actions, ALL_OR_NOTHING, FLAG_FIRST, policy.now)
+    loans = ANY_ACTION if policy.loan_policy == ANY_ACTION else FLAG_FIRST
+    policy = UsagePolicy(policy.years, policy.loan_actions, ALL_OR_NOTHING, loans, policy.now)
     present = set(events.columns)
     cleaned = clean_events(events)
     summary = summary_of(cleaned, summary)

@@ -48,6 +48,10 @@ def kpi(titles: DataFrame) -> DataFrame:
         F.coalesce(F.sum("copies"), F.lit(0.0)).cast("bigint").alias("svazku_celkem"),
         F.coalesce(F.sum("use") / F.nullif(F.sum("rows"), F.lit(0)), F.lit(0.0)).alias("prum_vykon"),
     )
+    return with_class_shares(totals)
+
+
+def with_class_shares(totals: DataFrame) -> DataFrame:
     share = {
         f"podil_{c}": 100.0 * F.col(c) / F.nullif(F.col("titulu_celkem"), F.lit(0))
         for c in (AUTO, MANUAL, PROTECTED, KEEP)

@@ -17,6 +17,7 @@ ALL_OR_NOTHING = "all_or_nothing"
 # What makes a row a loan: the chosen action types (flags when none are chosen), or the flag column when it exists.
 ACTIONS_FIRST = "actions_first"
 FLAG_FIRST = "flag_first"
+ANY_ACTION = "any_action"  # every row with an action type
 
 
 @dataclass(frozen=True)
@@ -74,6 +75,8 @@ def loan_predicate(policy: UsagePolicy, present: set[str]) -> Column:
     """Which rows count as loans; ``present`` names the flag columns the source really had."""
     wanted = policy.wanted_actions
     by_action = F.col("action_type").isin(*wanted) if wanted else None
+    if policy.loan_policy == ANY_ACTION:
+        return F.coalesce(F.col("action_type") != "", F.lit(False))
     flag, group = F.col("is_loan_flag"), F.col("action_group") == "loan"
     if policy.loan_policy == ACTIONS_FIRST:
         rule = by_action if by_action is not None else F.coalesce(flag, F.lit(False)) | F.coalesce(group, F.lit(False))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,8 +11,9 @@ from shelfwise.functions.rules import DEFAULT_RULES, ClassLimits, Rules
 from shelfwise.operators import candidates as cand
 from shelfwise.operators import summaries
 from shelfwise.operators.classify import classify
+from shelfwise.operators.discovery import loan_words
 from shelfwise.operators.metrics import NO_PREFIX, title_metrics, title_metrics_frame
-from shelfwise.operators.windowing import UsagePolicy
+from shelfwise.operators.windowing import ANY_ACTION, UsagePolicy
 from shelfwise.schema import is_title_level
 from shelfwise.sources.tables import read_dataset
 from shelfwise.staging import stage
@@ -26,6 +27,14 @@ def with_window_columns(titles: DataFrame, years: int) -> DataFrame:
     return titles.withColumns(columns)
 
 
+def with_preselected_loans(events: DataFrame, policy: UsagePolicy) -> UsagePolicy:
+    """Where neither chosen actions nor flags tell the loans of an uploaded table: action types that are words for loan, else all types."""
+    if policy.wanted_actions or "ACTION_TYPE" not in events.columns or {"IS_LOAN", "ACTION_GROUP"} & set(events.columns):
+        return policy
+    words = loan_words(events)
+    return replace(policy, loan_actions=words) if words else replace(policy, loan_policy=ANY_ACTION)
+
+
 def load_titles(
     spark: SparkSession,
     path: str,
@@ -36,7 +45,7 @@ def load_titles(
 ) -> DataFrame:
     """Titles of a dataset: read as they are if it holds titles, else computed from its operations.
 
-    ``as_frame`` applies the rules for uploaded frames.
+    ``as_frame`` applies the rules for uploaded frames; without chosen actions, loans are preselected there.
     """
     policy = policy or UsagePolicy()
     data, _ = read_dataset(spark, path)
@@ -44,7 +53,7 @@ def load_titles(
         wanted = (sign_prefix or NO_PREFIX).strip()
         titles = data if wanted == NO_PREFIX else data.filter(F.col("SIGN_PREFIX").cast("string") == wanted)
     elif as_frame:
-        titles = title_metrics_frame(data, policy=policy)
+        titles = title_metrics_frame(data, policy=with_preselected_loans(data, policy))
     else:
         titles = title_metrics(data, policy=policy, sign_prefix=sign_prefix)
     return with_window_columns(titles, policy.years)

@@ -296,6 +296,10 @@ FROM ops GROUP BY 1, 2, 3, 4, 5""",
         "SELECT title_key, vypujcky_5_let, pocet_svazku, vykon_na_svazek, rizikove_skore FROM m", years=3
     ),
     "title_metrics_frame": from_metrics("SELECT * FROM m", label_types=False, opids=OPIDS, frame=True),
+    "title_metrics_upload": from_metrics(
+        "SELECT title_key, vypujcky_5_let, vypujcky_5_let AS vypujcky_okno, pocet_svazku, 2 AS okno_let FROM m",
+        label_types=False, opids=OPIDS, frame=True,
+    ),
     "metrics_one_prefix": from_metrics(
         "SELECT title_key, SIGN_PREFIX, vypujcky_5_let, rank_v_signature, pocet_v_signature FROM m "
         "WHERE SIGN_PREFIX = 'PR'"
@@ -366,6 +370,14 @@ UNION ALL SELECT DISTINCT 'TITUL_JAZYK', p_brand FROM part""",
         "SELECT *, AUTO_KANDIDAT + RUCNI_POSOUZENI + CHRANENO_VYJIMKOU + PONECHAT AS CELKEM_TITULU FROM matrix",
         more=MATRIX,
     ),
+    "summary_by_prefix_rolled": from_classes(
+        "SELECT *, AUTO_KANDIDAT + RUCNI_POSOUZENI + CHRANENO_VYJIMKOU + PONECHAT AS CELKEM_TITULU FROM matrix",
+        more=MATRIX,
+    ),
+    "kpi_rolled": from_classes(KPI, more=KPI_ROW),
+    "titles_by_class_rolled": from_classes(
+        'SELECT klasifikace, count(DISTINCT title_key) AS titles, count(*) AS "rows" FROM c GROUP BY 1'
+    ),
     "summary_labelled": from_classes(
         """SELECT SIGN_PREFIX AS "Prefix signatury", AUTO_KANDIDAT AS "Automatický kandidát (nízký výskyt)",
        RUCNI_POSOUZENI AS "Ruční posouzení", CHRANENO_VYJIMKOU AS "Chráněno výjimkou", PONECHAT AS "Ponechat",

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from shelfwise.functions.labels import class_label, labelled, labelled_prefixes, labelled_summary
 from shelfwise.functions.rules import AUTO, CLASSES, ClassLimits
 from shelfwise.operators import candidates as cand
-from shelfwise.operators import discovery, facts, metrics, summaries
+from shelfwise.operators import discovery, facts, metrics, rollup, summaries
 from shelfwise.operators.classify import classify, flag_exceptions, rules_from_json
 from shelfwise.operators.copies import copies_per_title
 from shelfwise.operators.enrich import assemble_titles, decode_doc_types, enrich_from_dimensions, enrich_operations, reader_demographics
@@ -147,6 +147,16 @@ def title_metrics_frame_subjects(spark, sf_dir):
     return portable(metrics.title_metrics_frame(_enriched_with_everything(Roles(spark, sf_dir)), policy=POLICY, opids=[4, 98]))
 
 
+@query
+def title_metrics_upload(spark, sf_dir):
+    """An uploaded table without flags, whose loans are known by a word for them."""
+    events, path = Roles(spark, sf_dir).enriched(), new_stage_path(spark, "upload")
+    kind = F.when(F.col("IS_LOAN"), F.lit(" Checkout")).otherwise(F.col("ACTION_TYPE"))
+    write_parquet(events.withColumn("ACTION_TYPE", kind).drop("IS_LOAN", "ACTION_GROUP"), path)
+    titles = load_titles(spark, path, policy=UsagePolicy(years=2), as_frame=True)
+    return titles.select("title_key", "vypujcky_5_let", "vypujcky_okno", "pocet_svazku", "okno_let")
+
+
 @query
 def metrics_one_prefix(spark, sf_dir):
     df = star_metrics(Roles(spark, sf_dir), sign_prefix="pr", opids=[])
@@ -333,6 +343,25 @@ def summary_by_prefix(spark, sf_dir):
     return summaries.by_prefix(classified(Roles(spark, sf_dir), opids=[]))
 
 
+@query
+def summary_by_prefix_rolled(spark, sf_dir):
+    """The summary from the cube of titles."""
+    return rollup.by_prefix(rollup.title_cube(classified(Roles(spark, sf_dir), opids=[])))
+
+
+@query
+def kpi_rolled(spark, sf_dir):
+    df = rollup.kpi(rollup.title_cube(classified(Roles(spark, sf_dir), opids=[])))
+    return rounded(df, "prum_vykon", *[f"podil_{c}" for c in CLASSES])
+
+
+@query
+def titles_by_class_rolled(spark, sf_dir):
+    """Distinct titles of each class, rolled up over prefixes."""
+    cube = rollup.title_cube(classified(Roles(spark, sf_dir), opids=[]))
+    return rollup.roll_up(cube, "klasifikace").select("klasifikace", "titles", "rows")
+
+
 @query
 def summary_labelled(spark, sf_dir):
     df = summaries.focus_prefix(classified(Roles(spark, sf_dir), opids=[]), "ST")
