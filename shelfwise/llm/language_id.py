@@ -31,10 +31,11 @@ NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 @dataclass(frozen=True)
 class TrainPolicy:
-    """``max_train``: bound of the labelled sample, in texts. ``precision``: wanted among the predictions that are not rejected."""
+    """``max_train``: bound of the labelled sample, in texts. ``max_languages``: bound of the model's size, beyond which training stops with
+    an error. ``precision``: wanted among the predictions that are not rejected."""
 
     max_train: int = 6000
-    max_languages: int = 500
+    max_languages: int = 4096
     dim: int = 16
     epochs: int = 4
     rate: float = 2.0
@@ -126,15 +127,18 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, str]], policy: TrainPolicy) ->
 def train(labelled: DataFrame, policy: TrainPolicy, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """Fit on a bounded, balanced sample of ``labelled``; texts become counts in the tasks, only these reach the driver."""
     known = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    sizes = known.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(policy.max_languages).collect()
+    sizes = known.groupBy(lang).count().limit(policy.max_languages + 1).collect()
     if not sizes:
         return fit([], policy)
+    if len(sizes) > policy.max_languages:
+        raise ValueError(f"more than {policy.max_languages} languages: none is left out, so raise max_languages")
     each = policy.max_train / len(sizes)
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r[0], min(1.0, each / r[1]))])
-    drawn = F.pmod(F.xxhash64(F.lit(policy.seed), F.col(key)), F.lit(1 << 30)) < F.get(
-        F.array(F.try_element_at(share, F.col(lang))), F.lit(0)
-    ) * (1 << 30)
-    sample = known.where(drawn).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).limit(2 * policy.max_train)
+    shares = known.sparkSession.createDataFrame([(r[0], min(1.0, each / r[1])) for r in sizes], "l string, _share double")
+    narrow = known.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l"))
+    drawn = F.pmod(F.xxhash64(F.lit(policy.seed), "k"), F.lit(1 << 30)) < F.col("_share") * (1 << 30)
+    # rows of one key are drawn together, so the bound is kept by an order that only depends on the rows
+    order = F.xxhash64(F.lit(policy.seed + 1), "k", "t", "l")
+    sample = narrow.join(F.broadcast(shares), "l").where(drawn).orderBy(order).limit(2 * policy.max_train).select("k", "t", "l")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -233,6 +233,24 @@ def test_language_id(spark):
     assert {r.lang_pred for r in language_id.predict(df.limit(5), untrained).collect()} == {"und"}
 
 
+def test_every_language_is_learned(spark):
+    rng = random.Random(6)
+    words = {f"l{k:03}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(3)] for k in range(520)}
+    rows = [(12 * i + j, " ".join(rng.choices(w, k=12)), k) for i, (k, w) in enumerate(words.items()) for j in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(df, language_id.TrainPolicy(max_train=10_000, epochs=8))
+    assert model.languages == sorted(words)
+    last = [r for r in language_id.predict(df, model).collect() if r.lang >= "l500"]
+    assert np.mean([r.lang_pred == r.lang for r in last]) > 0.5
+    with pytest.raises(ValueError, match="languages"):
+        language_id.train(df, language_id.TrainPolicy(max_languages=519))
+    # the sample does not depend on how rows are dealt, also where one key holds more rows than the bound
+    same = df.union(spark.createDataFrame([(3, f"word{i} other", "l000") for i in range(3000)], df.schema))
+    small = language_id.TrainPolicy(max_train=600, epochs=1)
+    tables = [language_id.train(same.repartition(n), small).table for n in (2, 5)]
+    assert np.array_equal(*tables)
+
+
 def test_wavelet_matrix():
     rng = np.random.default_rng(6)
     for n, top in ((0, 1), (1, 1), (700, 5), (5000, 49_408)):
