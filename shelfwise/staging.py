@@ -8,6 +8,7 @@ survives the loss of executors, because it lives in the shared folder that the c
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 ROOT_SETTING = "spark.checkpoint.dir"
 
 _local_root: str | None = None
+_bucketed: list[str] = []
 
 
 def stage_root(spark: SparkSession) -> str:
@@ -51,9 +53,39 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_buckets(df: DataFrame, key: str, label: str) -> DataFrame:
+    """Write ``df`` once in buckets of ``key`` and return a scan of it; joins on ``key`` read the rows in place and deal out the other side only.
+
+    There are as many buckets as shuffle partitions, below which Spark would deal them out anew. Buckets cannot be split, so ``key`` should be
+    nearly unique."""
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"stage_{uuid.uuid4().hex}"
+    writer = df.repartition(buckets, key).write.format("parquet").mode("errorifexists").option("compression", "zstd")
+    writer.option("path", new_stage_path(spark, label)).bucketBy(buckets, key).saveAsTable(name)
+    _bucketed.append(name)
+    return spark.table(name)
+
+
+def discard(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more, and the shuffle files of finished work: Spark drops these when the driver's garbage
+    is collected, which a driver with a large heap seldom does."""
+    own = _own_folder(spark)
+    for table in tables:
+        for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+            if own.split(":", 1)[-1].lstrip("/") in folder:
+                _delete(spark, folder)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop_stages(spark: SparkSession) -> None:
     """Delete the staged tables of this application; call it when no result that reads them is needed any more."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(path, True)
+    while _bucketed:
+        spark.sql(f"drop table if exists {_bucketed.pop()}")
+    _delete(spark, _own_folder(spark))
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
