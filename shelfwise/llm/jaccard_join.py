@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from shelfwise.llm.components import connected_components
-from shelfwise.llm.shingles import RollingHash, shingle_set
+from shelfwise.llm.shingles import PrimeHash, shingle_set
 from shelfwise.llm.tables import restrict
 from shelfwise.staging import stage
 
@@ -66,7 +66,7 @@ def _sets(docs: DataFrame, key: str, text: str, head: bool, mark: str | None = N
     """``doc_id``, ``n``, ``set_id`` and the tokens by hash: the first of them (``head``) or all; also the column ``mark``, if named."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashing = RollingHash()
+        hashing = PrimeHash()
         for batch in batches:
             sets = [shingle_set(t, hashing) for t in batch.column("t").to_pylist()]
             sizes = np.array([len(s) for s in sets], np.int64)
