@@ -5,19 +5,24 @@ follows suffix sorting by samples: a consistent sample of positions is named fir
 and equal names are compared over growing lengths. Samples are locally consistent (the position of the least hash of a 64-byte string in a window; string
 synchronizing sets) instead of residues of a difference cover, which takes about 20 times as many: see README.
 
-1. Every start has one sample: the position ``a`` with the least hash among the 64-byte strings of its window, the leftmost of equals. Equal
-   windows have their sample at the same distance ``d`` from the start, so starts are compared through samples at equal distance.
-2. Samples whose 64 bytes occur once are dropped; for the others the bytes around are kept as context.
-3. By blocks of distances (all, then 64, 8 and 1 wide): the union of a block's windows is named; if it occurs twice, all its bytes go. The intersection is
+1. Texts get a number each and are written once in buckets of it; every later step reads them there, and only narrow lists are shuffled.
+2. Every start has one sample: the position ``a`` with the least hash among the 64-byte strings of its window, the leftmost of equals. Equal
+   windows have their sample at the same distance ``d`` from the start, so starts are compared through samples at equal distance. Strings with a
+   period of up to 32 bytes come last in that order, so stretches of few letters bring no samples of their own.
+3. A stretch of period ``q`` that holds more than ``2 q`` windows repeats itself: all its bytes go. Of its windows the first ``2 q`` stay as its
+   representatives for other texts; samples that only the others need are dropped.
+4. Samples whose 64 bytes occur once are dropped.
+5. By blocks of distances (all, then 64, 8 and 1 wide): the union of a block's windows is named; if it occurs twice, all its bytes go. The intersection is
    named, too; if it occurs once, no window of the block is repeated. Blocks between go to the next level, together with one representative of
    each repeated union that shares an intersection with one of them.
 
-Names are 64-bit hashes together with the distance; equality of names stands for equality of strings. Counts are aggregated before any shuffle, and
-nothing is gathered by name, so a string that a third of all texts holds is no hot group.
+Names of unions, which decide removals, are cryptographic digests of 128 bits; equality of names stands for equality of strings. Intersections and samples are
+compared by 64-bit hashes, where a collision costs work but changes no result. Counts are aggregated before any shuffle, and nothing is
+gathered by name, so a string that a third of all texts holds is no hot group. Long texts are sampled in parts of bounded size.
 
 Edge cases: null is the empty text; texts shorter than ``LENGTH`` lose nothing; rows repeated in full are copies of each other and lose
 everything if they are long enough; overlapping occurrences count; matches never cross texts; an empty table gives an empty result.
-Rows are told apart by a hash of key and text. Added columns replace input columns of the same name.
+Rows need no key: they are told apart by their number. Added columns replace input columns of the same name.
 """
 
 from __future__ import annotations
@@ -32,14 +37,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfwise.llm.shingles import RollingHash
-from shelfwise.staging import stage
+from shelfwise.staging import discard, stage, stage_buckets
 
 LENGTH = 400
 GRAM = 64
+PERIOD = 32  # at most half of GRAM, so that neighbouring periodic grams have one period
 LEVELS = (64, 8, 1)
-# spans and samples to cut or to look up, up to this many, are broadcast (about 30 MB); more are joined by shuffle
-BROADCAST_SPANS = 1_000_000
+PART_BYTES = 1 << 20  # bytes sampled or named together, unless (when naming) one text is longer
 ROW = "_row"
+EIGHT = np.uint64(0x0101010101010101)  # eight true values
 
 
 def leftmost_minima(h: np.ndarray, width: int) -> np.ndarray:
@@ -65,200 +71,229 @@ def leftmost_minima(h: np.ndarray, width: int) -> np.ndarray:
     return np.where(left <= right, back_at.ravel()[i], low_at.ravel()[j])
 
 
-def samples(data: np.ndarray, hashing: RollingHash, length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """Sampled positions of a text with the distances of their starts (least, greatest) and the hash of their gram."""
-    if len(data) < length:
-        none = np.zeros(0, np.int64)
-        return none, none, none, none
+def periodic_runs(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and period of every maximal string of ``GRAM`` bytes or more that has a period of up to ``PERIOD``, once for each period."""
+    n = len(data)
+    found = [(np.zeros(0, np.int64),) * 3]
+    same = np.zeros((n + 8) // 8 * 8, bool)  # one false value at the end, at least
+    for q in range(1, min(PERIOD, n - 1) + 1):
+        np.equal(data[q:], data[: n - q], out=same[: n - q])
+        same[n - q : n] = False
+        # a run of GRAM - q true values holds three aligned eights
+        at = np.flatnonzero(same.view(np.uint64) == EIGHT)
+        if len(at) < 3:
+            continue
+        apart = np.flatnonzero(np.diff(at) > 1)
+        first, last = at[np.concatenate([[0], apart + 1])], at[np.append(apart, len(at) - 1)]
+        long = last - first >= 2
+        start, end = first[long] * 8, (last[long] + 1) * 8
+        for _ in range(7):
+            start = start - ((start > 0) & same[start - 1])
+            end = end + same[end]
+        keep = end - start >= GRAM - q
+        found.append((start[keep], end[keep] + q, np.full(int(keep.sum()), q)))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _groups(data: np.ndarray, ends: np.ndarray, hashing: RollingHash, length: int) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """Samples of a stretch of bytes (position, first and last start, hash of the gram) and its periodic runs. ``ends`` tells for each byte where its
+    text ends."""
     sums = hashing.sums(data)
     at = np.arange(len(data) - GRAM + 1)
     grams = hashing.spans(sums, at, at + GRAM)
-    anchor = leftmost_minima(grams, length - GRAM + 1)
-    first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
-    last = np.concatenate([first[1:], [len(anchor)]]) - 1
-    a = anchor[first]
-    return a, a - last, a - first, grams[a].view(np.int64)
+    runs = periodic_runs(data)
+    edge = np.zeros(len(grams) + 1, np.int32)
+    np.add.at(edge, runs[0], 1)
+    np.add.at(edge, runs[1] - GRAM + 1, -1)
+    order = grams >> np.uint64(1) | (np.cumsum(edge[:-1]) > 0).astype(np.uint64) << np.uint64(63)
+    anchor = leftmost_minima(order, length - GRAM + 1)
+    start = np.flatnonzero(np.arange(length, length + len(anchor)) <= ends[: len(anchor)])
+    a = anchor[start]
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(a)), bool), a[1:] != a[:-1]]))
+    last = np.append(first[1:], len(a))[: len(first)] - 1
+    return (a[first], start[first], start[last], grams[a[first]].view(np.int64)), runs
+
+
+def samples(
+    data: np.ndarray, bounds: np.ndarray, hashing: RollingHash, length: int = LENGTH
+) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, np.ndarray]]:
+    """Sampled positions of the texts that lie end to end in ``data`` (text ``i`` from ``bounds[i]`` to ``bounds[i + 1]``), with the distances
+    of their starts (least, greatest) and the hash of their gram; and the strings that repeat themselves by their period."""
+    found, spans = [(np.zeros(0, np.int64),) * 4], []
+    tops = bounds[1:]
+    ends = np.repeat(tops, np.diff(bounds)) if len(tops) > 1 else np.broadcast_to(tops, len(data))
+    for lo in range(0, len(data) - length + 1, PART_BYTES):
+        hi = min(len(data), lo + PART_BYTES + length - 1)
+        (a, first, last, gram), runs = _groups(data[lo:hi], ends[lo:hi] - lo, hashing, length)
+        found.append((a + lo, first + lo, last + lo, gram))
+        far = runs[1] - runs[0] >= length + 2 * runs[2]
+        for s, e, q in zip(*((x[far] + y).tolist() for x, y in zip(runs, (lo, lo, 0), strict=True)), strict=True):
+            text = int(np.searchsorted(tops, s, side="right"))
+            while s < e:  # a run may go on in the next text
+                end = min(e, int(tops[text]))
+                if end - s >= length + 2 * q:
+                    spans.append((s, end, q))
+                s, text = end, text + 1
+    a, first, last, gram = (np.concatenate(x) for x in zip(*found, strict=True))
+    # a sample whose starts lie in two parts
+    fresh = np.flatnonzero(np.concatenate([np.ones(min(1, len(a)), bool), a[1:] != a[:-1]]))
+    final = np.append(fresh[1:], len(a))[: len(fresh)] - 1
+    a, first, last, gram = a[fresh], first[fresh], last[final], gram[fresh]
+    if spans:
+        s, e, q = (np.array(x) for x in zip(*spans, strict=True))
+        turn = np.argsort(s + 2 * q, kind="stable")
+        low, high = (s + 2 * q)[turn], np.maximum.accumulate((e - length)[turn])
+        before = np.searchsorted(low, first, side="right") - 1
+        needed = (before < 0) | (high[before] < last)
+        a, first, last, gram = a[needed], first[needed], last[needed], gram[needed]
+    runs = np.array([x[:2] for x in spans], np.int64).reshape(-1, 2)
+    return (a, a - last, a - first, gram), (runs[:, 0], runs[:, 1])
+
+
+def _layout(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column of texts and their bounds; null is empty."""
+    column = column.fill_null("")
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    _, offsets, data = column.buffers()
+    bounds = np.frombuffer(offsets, kind)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
+    return np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8), bounds
+
+
+def _parts(bounds: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of texts of ``PART_BYTES`` together, one text at least."""
+    at = 0
+    while at < len(bounds) - 1:
+        stop = max(at + 1, int(np.searchsorted(bounds, bounds[at] + PART_BYTES, side="right")) - 1)
+        yield at, stop
+        at = stop
+
+
+def _sampled(texts: DataFrame, length: int) -> DataFrame:
+    """Samples, and as rows without a gram the strings that repeat themselves (from ``low`` to ``high``)."""
 
-
-def _bytes(text: str | None) -> bytes:
-    return (text or "").encode("utf-8", "surrogatepass")
-
-
-def _sampled(docs: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashing = RollingHash()
         for batch in batches:
             rows = batch.column(ROW).to_numpy()
-            found = [samples(np.frombuffer(_bytes(t), np.uint8), hashing, length) for t in batch.column("_text").to_pylist()]
-            if found:
-                a, low, high, gram = (np.concatenate(x) for x in zip(*found, strict=True))
+            data, bounds = _layout(batch.column("_text"))
+            for i, j in _parts(bounds):
+                own = bounds[i : j + 1] - bounds[i]
+                (a, low, high, gram), (start, end) = samples(data[bounds[i] : bounds[j]], own, hashing, length)
+                text, of_run = (np.searchsorted(own, x, side="right") - 1 for x in (a, start))
+                none = np.zeros(len(start), np.int64)
                 yield pa.RecordBatch.from_pydict(
                     {
-                        ROW: pa.array(np.repeat(rows, [len(x[0]) for x in found])),
-                        "a": pa.array(a.astype(np.int32)),
-                        "low": pa.array(low.astype(np.int32)),
-                        "high": pa.array(high.astype(np.int32)),
-                        "gram": pa.array(gram),
+                        ROW: pa.array(rows[i + np.concatenate([text, of_run])]),
+                        "a": pa.array(np.concatenate([a - own[text], none]).astype(np.int32)),
+                        "low": pa.array(np.concatenate([low, start - own[of_run]]).astype(np.int32)),
+                        "high": pa.array(np.concatenate([high, end - own[of_run]]).astype(np.int32)),
+                        "gram": pa.array(np.concatenate([gram, none]), mask=np.arange(len(a) + len(start)) >= len(a)),
                     }
                 )
 
-    return docs.select(ROW, "_text").mapInArrow(run, f"{ROW} long, a int, low int, high int, gram long")
+    return texts.select(ROW, "_text").mapInArrow(run, f"{ROW} long, a int, low int, high int, gram long")
 
 
-def _attach(docs: DataFrame, lists: DataFrame, count: int, how: str) -> DataFrame:
-    return docs.join(F.broadcast(lists) if count <= BROADCAST_SPANS else lists, ROW, how)
+def _attach(texts: DataFrame, lists: DataFrame, how: str) -> DataFrame:
+    """Texts with the list of each; the lists of a bucket, a part of its texts' size, are hashed."""
+    return texts.join(lists.hint("shuffle_hash"), ROW, how)
 
 
-def _contexts(docs: DataFrame, sampled: DataFrame, length: int) -> DataFrame:
-    """The bytes around every sample whose gram occurs twice or more."""
-    grams = stage(sampled.groupBy("gram").count().where("count > 1").select("gram"), "repeats-grams")
-    kept = stage(sampled.join(grams, "gram", "left_semi").drop("gram"), "repeats-samples")
-    # the samples of one text: as many as the text has bytes, at most
-    lists = kept.groupBy(ROW).agg(F.collect_set(F.struct("a", "low", "high")).alias("found"))
-    far = length - GRAM
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashing = RollingHash()
-        for batch in batches:
-            for row, text, found in zip(*(batch.column(c).to_pylist() for c in (ROW, "_text", "found")), strict=True):
-                data = _bytes(text)
-                sums = hashing.sums(np.frombuffer(data, np.uint8))
-                for s in range(0, len(found), 4096):
-                    part = found[s : s + 4096]
-                    a, low, high = (np.array([f[c] for f in part], np.int64) for c in ("a", "low", "high"))
-                    start, end = np.maximum(a - far, 0), np.minimum(a + length, len(data))
-                    whole = (a >= far) & (a + length <= len(data))
-                    names = hashing.spans(sums, start, end).view(np.int64)
-                    yield pa.RecordBatch.from_pydict(
-                        {
-                            ROW: pa.array(np.full(len(a), row)),
-                            "a": pa.array(a.astype(np.int32)),
-                            "low": pa.array(low.astype(np.int32)),
-                            "high": pa.array(high.astype(np.int32)),
-                            "before": pa.array((a - start).astype(np.int32)),
-                            "whole": pa.array(names, mask=~whole),
-                            "bytes": pa.array([data[x:y] for x, y in zip(start, end, strict=True)], pa.binary()),
-                        }
-                    )
-
-    joined = _attach(docs.select(ROW, "_text"), lists, kept.count(), "inner")
-    return joined.mapInArrow(run, f"{ROW} long, a int, low int, high int, before int, whole long, bytes binary")
-
-
-def _named(contexts: DataFrame, width: int, length: int) -> DataFrame:
-    """For every wanted block of distances the names of its union (null where it leaves the text) and its intersection."""
+def _named(texts: DataFrame, wanted: DataFrame, width: int, length: int) -> DataFrame:
+    """For every block of distances that is wanted the names of its union (null where it leaves the text) and its intersection."""
     far = length - GRAM
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashing = RollingHash()
         for batch in batches:
-            whole_blobs, whole_wanted = batch.column("bytes").to_pylist(), batch.column("wanted").to_pylist()
-            plain = {c: batch.column(c).to_numpy() for c in ("x", ROW, "a", "low", "high", "before")}
-            for s in range(0, batch.num_rows, 2048):
-                blobs, wanted = whole_blobs[s : s + 2048], whole_wanted[s : s + 2048]
-                col = {c: v[s : s + 2048] for c, v in plain.items()}
-                sizes = np.fromiter(map(len, blobs), np.int64, len(blobs))
-                sums = hashing.sums(np.frombuffer(b"".join(blobs), np.uint8))
-                place, d0, weight = [], [], []
-                for i, (low, high, blocks) in enumerate(zip(col["low"], col["high"], wanted, strict=True)):
-                    for block in blocks:
-                        first = max(block["start"], int(low) // width * width)
-                        these = np.arange(first, min(block["start"] + block["size"] - 1, int(high)) + 1, width)
-                        place.append(np.full(len(these), i))
-                        d0.append(these)
-                        weight.append(np.full(len(these), block["weight"], np.int32))
-                place, d0, weight = np.concatenate(place), np.concatenate(d0), np.concatenate(weight)
-                d1 = np.minimum(d0 + width - 1, far)
-                origin = (np.cumsum(sizes) - sizes)[place]
-                a = origin + col["before"][place]
-                salt = (d0 + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                inside = (a - d1 >= origin) & (a - d0 + length <= origin + sizes[place])
-                left, right = np.where(inside, a - d1, a), np.where(inside, a - d0 + length, a + GRAM)
-                union = hashing.spans(sums, left, right) ^ salt
-                core = hashing.spans(sums, a - d0, a - d1 + length) ^ salt
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "x": pa.array(col["x"][place]),
-                        ROW: pa.array(col[ROW][place]),
-                        "d0": pa.array(d0.astype(np.int32)),
-                        "start": pa.array((col["a"][place] - d1).astype(np.int32)),
-                        "end": pa.array((col["a"][place] - d0 + length).astype(np.int32)),
-                        "all": pa.array(union.view(np.int64), mask=~inside),
-                        "core": pa.array(core.view(np.int64)),
-                        "weight": pa.array(weight),
-                    }
-                )
-
-    source = contexts.select("x", ROW, "a", "low", "high", "before", "bytes", "wanted")
-    schema = f"x long, {ROW} long, d0 int, start int, end int, all long, core long, weight int"
-    return source.mapInArrow(run, schema)
-
-
-def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Rows (``_row``, ``start``, ``end``) that together cover the repeated bytes. ``docs`` has ``_row`` and ``_text``."""
-    far = length - GRAM
-    sampled = stage(_sampled(docs, length), "repeats-sampled")
-    found = stage(
-        _contexts(docs, sampled, length).withColumn("x", F.monotonically_increasing_id()), "repeats-contexts"
-    )
-    # whole contexts: one representative stays for those that occur twice or more
-    twice = stage(
-        found.where("whole is not null").groupBy("whole").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("rep")).where("n > 1"),
-        "repeats-whole",
-    )
-    met = found.join(twice.select("whole", "rep"), "whole", "left")
-    spans = [
-        stage(
-            found.select(ROW, "a", "whole")
-            .join(twice.select("whole"), "whole", "left_semi")
-            .select(ROW, (F.col("a") - far).alias("start"), (F.col("a") + length).alias("end")),
-            "repeats-spans",
-        )
-    ]
-    open_ = (
-        met.where("rep is null or rep = x")
-        .withColumn(
-            "wanted",
-            F.array(F.struct(F.lit(0).alias("start"), F.lit(far + 1).alias("size"), F.when(F.col("rep").isNull(), 1).otherwise(2).alias("weight"))),
+            rows = batch.column(ROW).to_numpy()
+            data, bounds = _layout(batch.column("_text"))
+            lists = batch.column("wanted")
+            held = lists.offsets.to_numpy().astype(np.int64)
+            blocks = lists.flatten()
+            held = held - held[0]
+            for i, j in _parts(bounds):
+                yield named(rows[i:j], data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], held[i : j + 1], blocks, hashing)
+
+    def named(
+        rows: np.ndarray, data: np.ndarray, bounds: np.ndarray, held: np.ndarray, blocks: pa.StructArray, hashing: RollingHash
+    ) -> pa.RecordBatch:
+        part = blocks.slice(held[0], held[-1] - held[0])
+        a, low, high, start, size, weight = (part.field(c).to_numpy().astype(np.int64) for c in ("a", "low", "high", "start", "size", "weight"))
+        text = np.repeat(np.arange(len(rows)), np.diff(held))
+        first = np.maximum(start, low // width * width)
+        last = np.minimum(start + size - 1, high)
+        n = np.maximum(0, (last - first) // width + 1)
+        place = np.repeat(np.arange(len(a)), n)
+        d0 = first[place] + (np.arange(len(place)) - np.repeat(np.cumsum(n) - n, n)) * width
+        d1 = np.minimum(d0 + width - 1, far)
+        origin, end = bounds[text[place]], bounds[text[place] + 1]
+        at = origin + a[place]
+        left, right = at - d1, at - d0 + length
+        inside = (left >= origin) & (right <= end)
+        view = memoryview(data)
+        names = [
+            hashlib.blake2b(view[x:y], digest_size=16).digest() if fits else None
+            for x, y, fits in zip(left.tolist(), right.tolist(), inside.tolist(), strict=True)
+        ]
+        core = hashing.spans(hashing.sums(data), at - d0, at - d1 + length)
+        small = {"a": a[place], "low": low[place], "high": high[place], "d0": d0, "start": left - origin, "end": right - origin, "weight": weight[place]}
+        return pa.RecordBatch.from_pydict(
+            {
+                ROW: pa.array(rows[text[place]]),
+                **{c: pa.array(v.astype(np.int32)) for c, v in small.items()},
+                "all": pa.array(names, pa.binary()),
+                "core": pa.array(core.view(np.int64)),
+            }
         )
-        .drop("rep", "whole")
-    )
-    contexts = stage(open_, "repeats-contexts")
-    for width in LEVELS:
-        named = stage(_named(contexts, width, length), "repeats-named")
+
+    lists = wanted.groupBy(ROW).agg(F.collect_list(F.struct("a", "low", "high", "start", "size", "weight")).alias("wanted"))
+    schema = f"{ROW} long, a int, low int, high int, d0 int, start int, end int, weight int, all binary, core long"
+    return _attach(texts.select(ROW, "_text"), lists, "inner").mapInArrow(run, schema)
+
+
+def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
+    """Rows (``_row``, ``start``, ``end``) that together cover the repeated bytes. ``texts`` has ``_row`` and ``_text`` and lies in
+    buckets of ``_row``."""
+    spark = texts.sparkSession
+    sampled = stage(_sampled(texts, length), "repeats-sampled")
+    spans = [stage(sampled.where("gram is null").select(ROW, F.col("low").alias("start"), F.col("high").alias("end")), "repeats-spans")]
+    grams = stage(sampled.where("gram is not null").groupBy("gram").count().where("count > 1").select("gram"), "repeats-grams")
+    whole = length - GRAM + 1
+    block = [F.lit(x).alias(c) for c, x in (("start", 0), ("size", whole), ("weight", 1))]
+    wanted = stage(sampled.join(grams, "gram", "left_semi").select(ROW, "a", "low", "high", *block), "repeats-wanted")
+    discard(spark, sampled, grams)
+    for width in (whole, *LEVELS):
+        named = stage(_named(texts, wanted, width, length), "repeats-named")
+        known = named.where("all is not null")
         repeated = stage(
-            named.where("all is not null")
-            .groupBy("all")
-            .agg(F.sum("weight").alias("n"), F.min(F.struct("x", "d0")).alias("rep"))
+            known.groupBy("all", "d0")
+            .agg(F.sum("weight").alias("n"), F.min(F.struct(ROW, "a")).alias("rep"))
             .where("n > 1")
-            .select("all", "rep"),
+            .select("all", "d0", "rep"),
             "repeats-unions",
         )
-        flagged = stage(named.join(repeated, "all", "left"), "repeats-flagged")
-        spans.append(flagged.where("rep is not null and weight = 1").select(ROW, "start", "end"))
-        if width == 1:
-            break
-        is_open = F.col("rep").isNull() & (F.col("weight") == 1)
-        cores = stage(
-            flagged.groupBy("core")
-            .agg(F.sum("weight").alias("n"), F.sum(is_open.cast("int")).alias("open"))
-            .where("n > 1 and open > 0")
-            .select("core"),
-            "repeats-cores",
-        )
-        going = flagged.where(is_open | (F.col("rep.x") == F.col("x")) & (F.col("rep.d0") == F.col("d0"))).join(
-            cores, "core", "left_semi"
-        )
-        # a sample has some ten blocks at a level
-        blocks = stage(
-            going.groupBy("x").agg(
-                F.collect_list(
-                    F.struct(F.col("d0").alias("start"), F.lit(width).alias("size"), F.when(is_open, 1).otherwise(2).alias("weight"))
-                ).alias("wanted")
-            ),
-            "repeats-going",
-        )
-        contexts = stage(contexts.drop("wanted").join(blocks, "x"), "repeats-contexts")
+        met = known.join(repeated, ["all", "d0"], "left").drop("all")
+        unknown = named.where("all is null").drop("all").withColumn("rep", F.lit(None).cast(repeated.schema["rep"].dataType))
+        flagged = stage(met.unionByName(unknown), "repeats-flagged")
+        spans.append(stage(flagged.where("rep is not null and weight = 1").select(ROW, "start", "end"), "repeats-spans"))
+        discard(spark, wanted, named, repeated)
+        if width > 1:
+            is_open = F.col("rep").isNull() & (F.col("weight") == 1)
+            cores = stage(
+                flagged.groupBy("core", "d0")
+                .agg(F.sum("weight").alias("n"), F.sum(is_open.cast("int")).alias("open"))
+                .where("n > 1 and open > 0")
+                .select("core", "d0"),
+                "repeats-cores",
+            )
+            is_rep = (F.col(f"rep.{ROW}") == F.col(ROW)) & (F.col("rep.a") == F.col("a"))
+            going = flagged.where(is_open | is_rep).join(cores, ["core", "d0"], "left_semi")
+            weight = F.when(is_open, 1).otherwise(2).alias("weight")
+            going = going.select(ROW, "a", "low", "high", F.col("d0").alias("start"), F.lit(width).alias("size"), weight)
+            wanted = stage(going, "repeats-wanted")
+            discard(spark, cores)
+        discard(spark, flagged)
     out = spans[0]
     for more in spans[1:]:
         out = out.union(more)
@@ -281,24 +316,25 @@ def cut(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
     return b"".join(kept), removed, runs
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text") -> DataFrame:
     """``docs`` with ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` and ``kept_text`` (the bytes left, bad sequences at cuts
     within a character dropped)."""
     added = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")
-    own = docs.drop(*added, ROW, "_text")
-    marked = own.withColumn(ROW, F.xxhash64(F.col(key), F.lit("|"), F.col(text))).withColumn("_text", F.col(text).cast("string"))
-    spans = repeated_spans(marked, length)
-    lists = stage(spans.groupBy(ROW).agg(F.collect_set(F.struct("start", "end")).alias("_spans")), "repeats-lists")
-    count = lists.agg(F.sum(F.size("_spans"))).first()[0] or 0
-    joined = _attach(marked, lists, count, "left").drop(ROW)
+    own = docs.drop(*[c for c in added if c != text], ROW, "_text")
+    laid_out = stage_buckets(own.withColumn(ROW, F.monotonically_increasing_id()), ROW, "repeats-texts")
+    discard(docs.sparkSession)
+    texts = laid_out.withColumn("_text", F.col(text).cast("string"))
+    lists = repeated_spans(texts, length).groupBy(ROW).agg(F.collect_set(F.struct("start", "end")).alias("_spans"))
+    joined = _attach(texts, lists, "left").drop(ROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for t, found in zip(batch.column("_text").to_pylist(), batch.column("_spans").to_pylist(), strict=True):
-                data = _bytes(t)
-                left, removed, runs = cut(data, [(f["start"], f["end"]) for f in found or []])
-                out.append((len(data), removed, runs, hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore")))
+            data, bounds = _layout(batch.column("_text"))
+            for i, found in enumerate(batch.column("_spans").to_pylist()):
+                whole = data[bounds[i] : bounds[i + 1]].tobytes()
+                left, removed, runs = cut(whole, [(f["start"], f["end"]) for f in found or []])
+                out.append((len(whole), removed, runs, hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore")))
             names = [c for c in batch.schema.names if c not in ("_text", "_spans")]
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays(
