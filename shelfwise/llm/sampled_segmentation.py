@@ -83,6 +83,23 @@ class Pieces:
         self.slots = np.full(SLOTS, -1, np.int32)
         self.slots[lead[fresh]] = fresh
         self.depth = int(np.diff(np.append(fresh, len(lead))).max())
+        # length of the longest piece with the same first four bytes, or of one whose bytes fall into the same slot
+        self.longest = np.zeros(SLOTS, np.uint8)
+        long = np.flatnonzero(sizes >= 4)
+        np.maximum.at(self.longest, self._slot(flat, (ends - sizes)[long]), np.minimum(sizes[long], 255).astype(np.uint8))
+
+    @staticmethod
+    def _slot(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Slots of the four bytes at each position; behind the end lie zeros."""
+        padded = np.append(data, np.zeros(3, np.uint8)).astype(np.uint32)
+        four = padded[at] | padded[at + 1] << np.uint32(8) | padded[at + 2] << np.uint32(16) | padded[at + 3] << np.uint32(24)
+        return (four * np.uint32(2654435761) >> np.uint32(12)).astype(np.int64)
+
+    def reach(self, data: np.ndarray, left: np.ndarray, lead: np.ndarray) -> np.ndarray:
+        """How long a piece can be at the positions ``lead``, of which ``left`` bytes are left at each position."""
+        longest = self.longest[self._slot(data, lead)].astype(np.int64)
+        # a length above the table's range is not ruled out
+        return np.minimum(left[lead], np.where(longest == 255, left[lead], np.maximum(longest, 3)))
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which spans are pieces, and their ids."""
@@ -182,8 +199,11 @@ class Lattices:
             char_end = char_end + more
         # the longest piece of a position comes first: it is the likeliest as a rule
         fits = [np.flatnonzero(lead)]
+        reach = pieces.reach(data, left, fits[0])
         for size in pieces.lengths:
-            fits.append(fits[-1][left[fits[-1]] >= size])
+            more = reach >= size
+            reach = reach[more]
+            fits.append(fits[-1][more])
         for size, at in reversed(list(zip(pieces.lengths, fits[1:], strict=True))):
             if not len(at):
                 continue
