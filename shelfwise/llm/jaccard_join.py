@@ -34,7 +34,7 @@ from pyspark.sql.window import Window
 
 from shelfwise.llm.components import connected_components
 from shelfwise.llm.shingles import PrimeHash, shingle_set
-from shelfwise.llm.tables import restrict
+from shelfwise.llm.tables import give_back, restrict, tidy
 from shelfwise.staging import stage
 
 PERCENT = 75
@@ -82,7 +82,7 @@ def _sets(docs: DataFrame, key: str, text: str, head: bool, mark: str | None = N
 
     marks = [mark] if mark else []
     source = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"), *marks)
-    return source.mapInArrow(run, ", ".join(["doc_id long, n long, set_id long, tokens array<long>"] + [f"{c} long" for c in marks]))
+    return source.mapInArrow(tidy(run), ", ".join(["doc_id long, n long, set_id long, tokens array<long>"] + [f"{c} long" for c in marks]))
 
 
 def _texts_of(docs: DataFrame, keys: DataFrame, key: str) -> DataFrame:
@@ -164,7 +164,7 @@ def _postings(nodes: DataFrame, heavy: np.ndarray, boundary: int) -> DataFrame:
                     }
                 )
 
-    return nodes.select("set_id", "n", "tokens").mapInArrow(run, "kind int, list long, id long, n long")
+    return nodes.select("set_id", "n", "tokens").mapInArrow(tidy(run), "kind int, list long, id long, n long")
 
 
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -290,12 +290,16 @@ def _heavy_links(long_lists: DataFrame, sets: DataFrame, policy: JoinPolicy) ->
     full = met.join(sets.select(F.col("set_id").alias("id"), "tokens"), "id")
 
     def compare(table: pa.Table) -> pa.Table:
-        sets_ = [np.array(x, np.int64) for x in table.column("tokens").to_pylist()]
+        tokens = table.column("tokens").combine_chunks()
+        bounds = tokens.offsets.to_numpy() - tokens.offsets[0].as_py()
+        sets_ = np.split(tokens.flatten().to_numpy(), bounds[1:-1])
         ids = table.column("id").to_numpy()
         sides = table.column("side").to_numpy()
         same = table.column("i")[0].as_py() == table.column("j")[0].as_py()
         # a pair of different blocks in which one is empty holds no pair to compare
         edges = [] if not same and len(set(sides.tolist())) < 2 else forest_of_block(ids, sides, sets_)
+        if len(tokens.values) > policy.block_tokens // 4:
+            give_back()
         return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
 
     return full.groupBy("kind", "list", "i", "j").applyInArrow(compare, "a long, b long")

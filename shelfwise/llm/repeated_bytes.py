@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfwise.llm.shingles import RollingHash
+from shelfwise.llm.tables import tidy
 from shelfwise.staging import discard, stage, stage_buckets
 
 LENGTH = 400
@@ -191,7 +192,7 @@ def _sampled(texts: DataFrame, length: int) -> DataFrame:
                     }
                 )
 
-    return texts.select(ROW, "_text").mapInArrow(run, f"{ROW} long, a int, low int, high int, gram long")
+    return texts.select(ROW, "_text").mapInArrow(tidy(run), f"{ROW} long, a int, low int, high int, gram long")
 
 
 def _attach(texts: DataFrame, lists: DataFrame, how: str) -> DataFrame:
@@ -249,7 +250,7 @@ def _named(texts: DataFrame, wanted: DataFrame, width: int, length: int) -> Data
 
     lists = wanted.groupBy(ROW).agg(F.collect_list(F.struct("a", "low", "high", "start", "size", "weight")).alias("wanted"))
     schema = f"{ROW} long, a int, low int, high int, d0 int, start int, end int, weight int, all binary, core long"
-    return _attach(texts.select(ROW, "_text"), lists, "inner").mapInArrow(run, schema)
+    return _attach(texts.select(ROW, "_text"), lists, "inner").mapInArrow(tidy(run), schema)
 
 
 def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -325,24 +326,30 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text") ->
     discard(docs.sparkSession)
     texts = laid_out.withColumn("_text", F.col(text).cast("string"))
     lists = repeated_spans(texts, length).groupBy(ROW).agg(F.collect_set(F.struct("start", "end")).alias("_spans"))
-    joined = _attach(texts, lists, "left").drop(ROW)
+    # a text that is a string already is not sent twice
+    plain = isinstance(own.schema[text].dataType, T.StringType)
+    source = text if plain else "_text"
+    joined = _attach(texts.drop("_text") if plain else texts, lists, "left").drop(ROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            data, bounds = _layout(batch.column("_text"))
-            for i, found in enumerate(batch.column("_spans").to_pylist()):
-                whole = data[bounds[i] : bounds[i + 1]].tobytes()
-                left, removed, runs = cut(whole, [(f["start"], f["end"]) for f in found or []])
-                out.append((len(whole), removed, runs, hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore")))
-            names = [c for c in batch.schema.names if c not in ("_text", "_spans")]
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in names] + [pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)],
-                names=[*names, *added],
-            )
+            data, bounds = _layout(batch.column(source))
+            for i, j in _parts(bounds):
+                yield without(batch.slice(i, j - i), data, bounds[i : j + 1])
+
+    def without(part: pa.RecordBatch, data: np.ndarray, bounds: np.ndarray) -> pa.RecordBatch:
+        out = []
+        for x, y, found in zip(bounds[:-1], bounds[1:], part.column("_spans").to_pylist(), strict=True):
+            left, removed, runs = cut(data[x:y].tobytes(), [(f["start"], f["end"]) for f in found or []])
+            out.append((y - x, removed, runs, hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore")))
+        names = [c for c in part.schema.names if c not in ("_text", "_spans")]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+        return pa.RecordBatch.from_arrays(
+            [part.column(c) for c in names] + [pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)],
+            names=[*names, *added],
+        )
 
     fields = [f for f in joined.schema.fields if f.name not in ("_text", "_spans")]
     numbers = [T.StructField(c, T.LongType()) for c in added[:3]]
     schema = T.StructType([*fields, *numbers, *(T.StructField(c, T.StringType()) for c in added[3:])])
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(tidy(run), schema)

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfwise.llm.shingles import RollingHash, _mix
+from shelfwise.llm.tables import tidy
 
 BLANK = "▁"
 BATCH_BYTES = 1 << 18  # text handled together, unless one text is longer
@@ -488,4 +489,4 @@ def segmentations(
             T.StructField("decoded_ok", T.BooleanType()),
         ]
     )
-    return marked.mapInArrow(run, schema)
+    return marked.mapInArrow(tidy(run), schema)

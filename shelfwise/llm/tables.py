@@ -1,9 +1,12 @@
-"""Helpers that several operators share: reading tables, size-checked semi-joins and bindings inside an expression."""
+"""Helpers that several operators share: reading tables, size-checked semi-joins, bindings inside an expression, memory of workers."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,3 +27,20 @@ def restrict(df: DataFrame, ids: DataFrame, key: str | list[str], how: str) -> D
     """``left_semi`` or ``left_anti`` join with a narrow list of ids, broadcast only when a count shows that it is short."""
     short = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     return df.join(F.broadcast(ids) if short else ids, key, how)
+
+
+def give_back() -> None:
+    """Return memory that is free within this process to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which a worker keeps no free memory: Spark keeps workers for later tasks, beside which other steps need the executor's memory."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return tidied
