@@ -1,9 +1,10 @@
 import pytest
+from pyspark.sql import functions as F
 
 from shelfwise.operators.windowing import UsagePolicy
 from shelfwise.plans import catalog, ingest, rebuild
 from shelfwise.plans.review import load_titles, review
-from shelfwise.staging import drop_stages, new_stage_path, stage, stage_root
+from shelfwise.staging import discard, drop_stages, new_stage_path, stage, stage_buckets, stage_root
 
 
 def test_dump_files_of_a_table():
@@ -118,3 +119,16 @@ def test_stages_can_be_dropped(spark, tmp_path, monkeypatch):
     assert list(tmp_path.glob("shelfwise-stages/*/x-*"))
     drop_stages(spark)
     assert list(tmp_path.glob("shelfwise-stages/*")) == [others]
+
+
+def test_buckets_and_discard(spark):
+    rows = spark.range(100).withColumn("text", F.col("id").cast("string"))
+    laid_out = stage_buckets(rows, "id", "texts")
+    narrow = stage(spark.range(0, 200, 2).withColumnRenamed("id", "key"), "narrow")
+    joined = laid_out.join(narrow.hint("shuffle_hash"), F.col("id") == F.col("key"))
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and joined.count() == 50
+    discard(spark, narrow)
+    assert laid_out.count() == 100
+    with pytest.raises(Exception, match="(?i)exist|not found"):
+        spark.read.parquet(narrow.inputFiles()[0].rsplit("/", 1)[0]).count()
