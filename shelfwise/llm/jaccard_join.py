@@ -34,10 +34,12 @@ from pyspark.sql.window import Window
 
 from shelfwise.llm.components import connected_components
 from shelfwise.llm.shingles import PrimeHash, shingle_set
-from shelfwise.llm.tables import give_back, restrict, tidy
+from shelfwise.llm.tables import give_back, parts_by_bytes, restrict, tidy
 from shelfwise.staging import stage
 
 PERCENT = 75
+PART_BYTES = 4 << 20  # texts made into sets at a time
+PART_NODES = 1024  # nodes made into rows of lists at a time
 
 
 @dataclass(frozen=True)
@@ -65,25 +67,33 @@ def links(overlap: Column, a: Column, b: Column) -> Column:
 def _sets(docs: DataFrame, key: str, text: str, head: bool, mark: str | None = None) -> DataFrame:
     """``doc_id``, ``n``, ``set_id`` and the tokens by hash: the first of them (``head``) or all; also the column ``mark``, if named."""
 
+    marks = [mark] if mark else []
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashing = PrimeHash()
-        for batch in batches:
-            sets = [shingle_set(t, hashing) for t in batch.column("t").to_pylist()]
-            sizes = np.array([len(s) for s in sets], np.int64)
-            kept = [s[: 2 * (len(s) - need(len(s)) + 2)] if head else s for s in sets]
+        return set_batches(batches, head, marks)
+
+    source = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"), *marks)
+    return source.mapInArrow(tidy(run), ", ".join(["doc_id long, n long, set_id long, tokens array<long>"] + [f"{c} long" for c in marks]))
+
+
+def set_batches(batches: Iterator[pa.RecordBatch], head: bool, marks: list[str]) -> Iterator[pa.RecordBatch]:
+    """Sets of the texts of each batch, some texts at a time."""
+    hashing = PrimeHash()
+    for batch in batches:
+        for part in parts_by_bytes(batch, "t", PART_BYTES):
+            sizes, ids, kept = [], [], []
+            for t in part.column("t").to_pylist():
+                s = shingle_set(t, hashing)
+                sizes.append(len(s))
+                ids.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63))
+                kept.append(s[: 2 * (len(s) - need(len(s)) + 2)].copy() if head else s)
             offsets = np.concatenate([[0], np.cumsum([len(s) for s in kept])]).astype(np.int32)
-            flat = np.concatenate(kept).view(np.int64) if kept else np.zeros(0, np.int64)
-            ids = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in sets]
+            tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(kept).view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("k"), pa.array(sizes), pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
-                + [batch.column(c) for c in marks],
+                [part.column("k"), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), tokens, *[part.column(c) for c in marks]],
                 names=["doc_id", "n", "set_id", "tokens", *marks],
             )
 
-    marks = [mark] if mark else []
-    source = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"), *marks)
-    return source.mapInArrow(tidy(run), ", ".join(["doc_id long, n long, set_id long, tokens array<long>"] + [f"{c} long" for c in marks]))
-
 
 def _texts_of(docs: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """The rows with one of ``keys``, and those without a key."""
@@ -125,7 +135,7 @@ def _postings(nodes: DataFrame, heavy: np.ndarray, boundary: int) -> DataFrame:
     lists_from = need(boundary + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(s, PART_NODES) for b in batches for s in range(0, b.num_rows, PART_NODES)):
             ids, sizes = batch.column("set_id").to_pylist(), batch.column("n").to_pylist()
             flat = batch.column("tokens")
             values, offsets = flat.flatten().to_numpy().view(np.uint64), flat.offsets.to_numpy() - flat.offsets[0].as_py()

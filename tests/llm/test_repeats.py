@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tests.llm import brute
@@ -119,3 +120,13 @@ def test_prime_hash():
     small, shingles.STRETCH = shingles.STRETCH, 700
     assert (hashing.spans(hashing.sums(data), start, end) == got).all()
     shingles.STRETCH = small
+
+
+def test_sets_of_large_texts_are_made_some_at_a_time():
+    texts = [" ".join(f"w{i}x{j}" for j in range(3000)) for i in range(600)] + [None, "", "one"]
+    batch = pa.RecordBatch.from_pydict({"k": pa.array(range(len(texts)), pa.int64()), "t": pa.array(texts)})
+    out = list(jaccard_join.set_batches(iter([batch]), False, []))
+    assert max(b.num_rows for b in out) < 250 and sum(b.num_rows for b in out) == len(texts)
+    rows = [r for b in out for r in b.to_pylist()]
+    assert [r["doc_id"] for r in rows] == list(range(len(texts)))
+    assert [r["n"] for r in rows] == [2996] * 600 + [0, 0, 1] == [len(r["tokens"]) for r in rows]
