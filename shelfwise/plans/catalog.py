@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.operators.copies import copies_per_title
-from shelfwise.operators.enrich import copy_dimension, decode_doc_types, reader_demographics
+from shelfwise.operators.enrich import copy_dimension, copy_links, decode_doc_types, reader_demographics, title_dimension
 from shelfwise.schema import safe_long
 
 TABLES = ("fact_vypujcky", "dim_tituly", "dim_svazky", "dim_knoddel", "dim_opidy")
@@ -53,18 +53,26 @@ def save_dimensions(
     path: str | None = None,
     keep_exact_age: bool = True,
     digits_only: bool = False,
+    copy_texts: bool = True,
 ) -> dict[str, DataFrame]:
     """Write and return the large dimensions in buckets of their keys: copies with all texts of their titles, titles, readers' groups.
 
     Built once, they are joined to any number of operations without being shuffled again. ``buckets`` should grow with the dimensions; the default is
-    the session's number of shuffle partitions, below which Spark would deal the buckets out anew.
+    the session's number of shuffle partitions, below which Spark would deal the buckets out anew. Without ``copy_texts`` no text is repeated for the copies of
+    a title: ``dim_svazky_klice`` holds copies as numbers and ``dim_tituly_predmety`` titles with their subjects, for ``described_titles``.
     """
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     described = decode_doc_types(titles, doc_types) if doc_types is not None else titles
-    tables = {
-        "dim_svazky_popis": (copy_dimension(copies, described, subjects), "SVAZKY_KEY"),
-        "dim_tituly_popis": (described.withColumn("TITUL_KEY", safe_long(described, "TITUL_KEY")), "TITUL_KEY"),
-    }
+    if copy_texts:
+        tables = {
+            "dim_svazky_popis": (copy_dimension(copies, described, subjects), "SVAZKY_KEY"),
+            "dim_tituly_popis": (described.withColumn("TITUL_KEY", safe_long(described, "TITUL_KEY")), "TITUL_KEY"),
+        }
+    else:
+        tables = {
+            "dim_svazky_klice": (copy_links(copies), "SVAZKY_KEY"),
+            "dim_tituly_predmety": (title_dimension(described, subjects), "SVAZKY_PTR_TITUL"),
+        }
     if readers is not None:
         demo = reader_demographics(readers, keep_exact_age=keep_exact_age, digits_only=digits_only)
         tables["dim_ctenari"] = (demo, "LEG_KEY")

@@ -70,3 +70,23 @@ def test_dimensions_are_not_shuffled(spark, tables, dims):
     assert "SortMergeJoin" in text and "Bucketed: true" in text
     assert len(re.findall(r"Exchange hashpartitioning", text)) == 1  # the operations
     assert len(re.findall(r"Exchange hashpartitioning", plain)) == 2
+
+
+def test_titles_in_buckets_of_their_own(spark, tables, tmp_path):
+    t = tables
+    subjects = spark.createDataFrame(
+        [(0, "d0", "o0"), (0, "d1", "o1"), (6, "only", "subjects"), (None, "x", "y")], "TITUL_KEY long, desk_subjects string, och_subjects string"
+    )
+    titles = t["titles"].unionByName(t["titles"].where("TITUL_KEY = 2"))  # title 2 twice, title 6 has subjects only
+    whole = save_dimensions(spark, t["copies"], titles, subjects=subjects, readers=t["readers"], path=str(tmp_path / "a"))
+    apart = save_dimensions(spark, t["copies"], titles, subjects=subjects, readers=t["readers"], path=str(tmp_path / "b"), copy_texts=False)
+    rest = (t["op_types"], t["branches"])
+    want = rows(enrich_from_dimensions(t["operations"], whole["dim_svazky_popis"], *rest, demographics=whole["dim_ctenari"], least_rows=40, most=20))
+    got = enrich_from_dimensions(
+        t["operations"], apart["dim_svazky_klice"], *rest, demographics=apart["dim_ctenari"], described_titles=apart["dim_tituly_predmety"],
+        least_rows=40, most=20,
+    )
+    assert apart["dim_svazky_klice"].columns == ["SVAZKY_KEY", "SVAZKY_PTR_TITUL"]
+    assert rows(got) == want
+    plain = enrich_operations(t["operations"], t["copies"], titles, *rest, subjects=subjects, readers=t["readers"])
+    assert rows(plain) == want
