@@ -236,3 +236,16 @@ def test_classes_and_reasons(spark):
 def test_zero_limit_never_gives_automatic_candidates(spark):
     df = spark.createDataFrame([title(0, 0.0, None), title(5, 90.0, 0.1)], TITLE_SCHEMA)
     assert {r["klasifikace"] for r in classify(df).collect()} == {"RUCNI_POSOUZENI", "PONECHAT"}
+
+
+def test_joined_operations_are_made_once(spark):
+    from shelfwise.operators import metrics
+
+    ops = spark.range(50).selectExpr("id % 7 AS TITUL_KEY", "id AS SVAZKY_KEY", "id AS other", "date'2024-01-01' AS DATE", "2024 AS YEAR")
+    names = spark.range(7).selectExpr("id AS TITUL_KEY", "concat('JD ', id) AS TITUL_SIGN_FULL", "'n' AS TITUL_NAZEV")
+    joined = ops.join(names, "TITUL_KEY", "left")
+    settled = metrics._settled(joined)
+    assert "Join" not in settled._jdf.queryExecution().optimizedPlan().toString() and "other" not in settled.columns
+    assert sorted(settled.collect()) == sorted(joined.drop("other").select(*settled.columns).collect())
+    again = metrics._settled(settled.withColumn("IS_LOAN", F.lit(True)))
+    assert again.inputFiles() == settled.inputFiles()  # a plain scan is left as it is
