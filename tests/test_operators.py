@@ -290,3 +290,20 @@ def test_hot_copy_is_split_over_tasks(spark):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     assert len(rows) == n and {r["TITUL_KEY"] for r in rows} == {10}
     assert "skew=true" in plan
+
+
+def test_validation_groups_copies_once(spark, monkeypatch):
+    """The join coverage of repeated, unknown and missing copies, dealt to several tasks, without joining them."""
+    from shelfwise.operators import quality
+
+    monkeypatch.setattr(quality, "COPIES_AT_ONCE", 7)
+    fact = spark.range(300).selectExpr("CASE WHEN id % 11 = 0 THEN NULL ELSE id % 40 END AS SVAZKY_KEY", "id % 5 AS TITUL_KEY", "date'2024-01-01' AS DATE")
+    copies = spark.range(60).selectExpr("CASE WHEN id = 50 THEN NULL ELSE id % 25 END AS SVAZKY_KEY", "nullif(id % 3, 0) AS SVAZKY_PTR_TITUL")
+    titles = spark.range(5).selectExpr("id AS TITUL_KEY")
+    build = validate_build(fact, copies, titles)
+    row = build.first()
+    joined = fact.join(copies, "SVAZKY_KEY", "left")
+    met, linked = joined.count(), joined.where("SVAZKY_PTR_TITUL IS NOT NULL").count()
+    assert row["rows_with_svazky_ptr_titul"] == linked
+    assert row["pct_rows_with_titul_via_svazky"] == pytest.approx(100.0 * linked / met)
+    assert "SortMergeJoin" not in build._jdf.queryExecution().executedPlan().toString()
