@@ -130,3 +130,33 @@ def test_sets_of_large_texts_are_made_some_at_a_time():
     rows = [r for b in out for r in b.to_pylist()]
     assert [r["doc_id"] for r in rows] == list(range(len(texts)))
     assert [r["n"] for r in rows] == [2996] * 600 + [0, 0, 1] == [len(r["tokens"]) for r in rows]
+
+
+def test_few_rows_take_few_tasks(spark, monkeypatch):
+    """Many shuffle partitions do not make many tasks that write a few rows each."""
+    from shelfwise.staging import stage
+
+    rng = random.Random(6)
+    shared = ["".join(rng.choices("abcdefgh ", k=500)) for _ in range(40)]
+    rows = [(i, "".join(rng.choices("abcdefgh ", k=300)) + shared[i % 40] + "".join(rng.choices("abcdefgh ", k=rng.randrange(300)))) for i in range(200)]
+    written = []
+
+    def counted(df, label):
+        table = stage(df, label)
+        written.append((label, len(table.inputFiles())))
+        return table
+
+    monkeypatch.setattr(repeated_bytes, "stage", counted)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    coalesce = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "150")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = repeated_bytes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+    assert len(got) == 200 and all(r.n_removed >= 500 for r in got)
+    most = 2 * spark.sparkContext.defaultParallelism
+    # tables of the samples' scan and of its spans follow the scan
+    assert len(written) > 10 and max(n for label, n in written if label not in ("repeats-sampled", "repeats-spans", "repeats-flagged")) <= most
