@@ -52,3 +52,30 @@ def test_counts_are_in_the_file():
     assert all(np.array_equal(a, b) for a, b in zip(matrix.ones, back.ones, strict=True)) and len(back.ones) == len(back.planes)
     assert np.array_equal(back.decode(), ids) and [back.access(i) for i in (0, 511, 512, 2999)] == ids[[0, 511, 512, 2999]].tolist()
     assert back.count(int(ids[7])) == int((ids == ids[7]).sum())
+
+
+def test_known_pieces_are_not_encoded_again(monkeypatch):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = [["one two thrree", None, "two foour, FIVE"], ["two three one", "", "five!! two"], ["six", "two one two"], ["two \x01 x", "six one"]]
+    asked = []
+    for most in (1, 4, token_shards.KEPT_PIECES):
+        monkeypatch.setattr(token_shards, "KEPT_PIECES", most)
+        encoder = token_shards.Encoder(tokenizer)
+        joined = encoder._joined
+        monkeypatch.setattr(encoder, "_joined", lambda pieces, joined=joined: asked.append(list(pieces)) or joined(pieces))
+        for batch in texts * 2:
+            asked.clear()
+            ids, sizes = encoder.encode(pa.array(batch))
+            want = [tokenizer.encode(t or "", add_special_tokens=False).ids for t in batch]
+            assert ids.tolist() == [i for w in want for i in w] and sizes.tolist() == [len(w) for w in want]
+            assert len(encoder.known) == len(encoder.sizes) == len(encoder.starts) and len(encoder.flat) == encoder.sizes.sum()
+    assert asked == [[]]  # the second time nothing was new
+
+
+def test_workers_read_models_once():
+    from shelfwise.llm import sampled_segmentation
+
+    file = public_tokenizers.path("piece_bpe_32k.model")
+    assert sampled_segmentation.worker_pieces(file) is sampled_segmentation.worker_pieces(file)
+    file = public_tokenizers.path("word_bpe_49k.json")
+    assert token_shards.worker_encoder(file) is token_shards.worker_encoder(file)
