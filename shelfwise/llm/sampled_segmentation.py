@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import islice
 
 import numpy as np
@@ -129,6 +130,12 @@ class Pieces:
         return (whole[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True))
 
 
+@lru_cache(maxsize=1)
+def worker_pieces(model_file: str) -> Pieces:
+    """The pieces of a model, read once for all tasks of a worker."""
+    return Pieces(model_file)
+
+
 class _Numbering(dict):
     def __missing__(self, word: bytes) -> int:
         number = self[word] = len(self)
@@ -222,7 +229,8 @@ class Lattices:
         tos.append(lone + 1)
         ids.append(pieces.byte_ids[data[lone]])
         begin, end, ids = (np.concatenate(x) for x in (froms, tos, ids))
-        order = np.argsort(begin, kind="stable")
+        # numpy sorts short numbers by radix
+        order = np.argsort(begin.astype(np.uint16) if n <= 1 << 16 else begin, kind="stable")
         begin, end, ids = begin[order], end[order], ids[order]
         score = pieces.log_prob[ids]
         # backward sums, by distance from the word's end; index n stands for any word's end
@@ -230,7 +238,6 @@ class Lattices:
         target = np.where(end == ends[begin] if n else np.zeros(0, bool), n, end)
         back[n] = 0.0
         distance = left[begin] if n else np.zeros(0, np.int64)
-        # numpy sorts short numbers by radix
         turn = np.argsort(distance.astype(np.uint16) if n and distance.max() < 1 << 16 else distance, kind="stable")
         bounds = np.searchsorted(distance[turn], np.arange(1, (distance.max() if n else 0) + 2))
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
@@ -332,8 +339,8 @@ class Search:
         self.paths: list[Path] = []
         self.threshold = -np.inf
 
-    def wanted(self) -> tuple[np.ndarray, int, np.ndarray] | None:
-        """Words, the position to start from in the first (-1: its start), and a key for each; None at the end."""
+    def wanted(self) -> tuple[np.ndarray, int, int] | None:
+        """Words, the position to start from in the first (-1: its start), and the key from which each word's follows; None at the end."""
         none = np.zeros(0, np.int64)
         if not self.paths:
             self.value, self.word, self.fixed, self.barred = float(self.rng.gumbel()), 0, 0, []
@@ -352,9 +359,7 @@ class Search:
             self.word, at = int(source.owner[step]), int(self.lattices.end[edge])
             self.edges = np.concatenate([source.edges[:step], [edge]])
             self.owner = np.concatenate([source.owner[:step], [self.word]])
-        rest = self.words[self.word :]
-        key = _mix(np.array([self.seed], np.uint64) + _times(len(self.paths) + 1))
-        return rest, at, _mix(key + np.arange(1, len(rest) + 1, dtype=np.uint64))
+        return self.words[self.word :], at, self.seed + (len(self.paths) + 1) * STEP & (1 << 64) - 1
 
     def _other_edge(self, position: int) -> int:
         """An edge of a position besides those that are barred, by its probability."""
@@ -362,13 +367,17 @@ class Search:
         chance = np.cumsum(self.lattices.p[options])
         return options[min(int(np.searchsorted(chance, self.rng.random() * chance[-1], side="right")), len(options) - 1)]
 
-    def take(self, tail: np.ndarray, tail_owner: np.ndarray) -> None:
-        edges, owner = np.concatenate([self.edges, tail]), np.concatenate([self.owner, tail_owner + self.word])
-        log_p, p, fixed = self.lattices.log_p[edges], self.lattices.p, self.fixed
+    def take(self, tail: np.ndarray, tail_owner: np.ndarray, tail_log_p: np.ndarray, tail_rest: np.ndarray) -> None:
+        """The tail's edges, their words, log-probabilities and the logarithms of what their steps leave to other edges."""
+        fixed, edges, owner, log_p, rest = self.fixed, tail, tail_owner, tail_log_p, tail_rest
+        if len(self.edges):
+            edges, owner = np.concatenate([self.edges, tail]), np.concatenate([self.owner, tail_owner + self.word])
+            log_p = np.concatenate([self.lattices.log_p[self.edges], tail_log_p])
+            rest = np.concatenate([_log_rest(self.lattices.p[self.edges[fixed:]]), tail_rest])
         before = np.cumsum(log_p) - log_p
-        own = before[fixed:] + _log_rest(p[edges[fixed:]])
+        own = before[fixed:] + rest
         if self.barred:
-            taken = float(p[self.barred].sum() + p[edges[fixed]])
+            taken = float(self.lattices.p[self.barred].sum() + self.lattices.p[edges[fixed]])
             own[0] = before[fixed] + _log_rest(np.array([taken]))[0]
         open_ = np.full(len(edges), -np.inf)
         open_[fixed:] = _truncated(own, self.value, self.rng)
@@ -387,10 +396,13 @@ def sample_paths(lattices: Lattices, searches: list[Search]) -> None:
         starts = np.cumsum(sizes) - sizes
         at = np.full(int(sizes.sum()), -1)
         at[starts] = [w[1] for _, w in asked]
-        edges, owner = lattices.paths(np.concatenate([w[0] for _, w in asked]), at, np.concatenate([w[2] for _, w in asked]))
+        nth = np.arange(1, len(at) + 1) - np.repeat(starts, sizes)
+        keys = _mix(np.repeat(_mix(np.array([w[2] for _, w in asked], np.uint64)), sizes) + nth.astype(np.uint64))
+        edges, owner = lattices.paths(np.concatenate([w[0] for _, w in asked]), at, keys)
         bounds = np.searchsorted(owner, np.append(starts, len(at)))
+        log_p, rest = lattices.log_p[edges], _log_rest(lattices.p[edges])
         for search, start, a, b in zip(searches, starts, bounds[:-1], bounds[1:], strict=True):
-            search.take(edges[a:b], owner[a:b] - start)
+            search.take(edges[a:b], owner[a:b] - start, log_p[a:b], rest[a:b])
 
 
 def log_inclusion(log_prob: float, threshold: float) -> float:
@@ -443,7 +455,7 @@ def segmentations(
     marked = marked.drop(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(model_file)
+        pieces = worker_pieces(model_file)
         lattices = Lattices(pieces)
         for batch in batches:
             names = [c for c in batch.schema.names if c not in ("_text", "_seed")]
