@@ -17,7 +17,7 @@ from shelfwise.llm.tables import read_table
 from shelfwise.staging import stage, stage_result
 
 PIECES = "piece_bpe_32k.model"
-PASSAGE = 200  # bytes; of the runs of 51 words in 6,000 texts of sf0.1 over 99 % are as long, against 7 % of 400 bytes
+PASSAGE = 200  # bytes; of the runs of 51 words in 6,000 texts of sf0.1 99.4 % are as long, but 5.7 % have 400 bytes
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
