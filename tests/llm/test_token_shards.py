@@ -79,3 +79,33 @@ def test_workers_read_models_once():
     assert sampled_segmentation.worker_pieces(file) is sampled_segmentation.worker_pieces(file)
     file = public_tokenizers.path("word_bpe_49k.json")
     assert token_shards.worker_encoder(file) is token_shards.worker_encoder(file)
+
+
+def test_words_of_latin_letters_skip_the_normalizer():
+    """Every Latin letter in both cases, and letters that are lower-cased or composed to others, have the ids of the whole tokenizer."""
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    encoder = token_shards.Encoder(tokenizer)
+    assert encoder.bare is not None
+    asked = []
+    whole = encoder._ids
+    encoder._ids = lambda texts, bare=False: (None if bare else asked.extend(texts)) or whole(texts, bare)
+    words = [x for c in map(chr, range(0x41, 0x250)) if token_shards.LATIN.fullmatch(c) for x in (c, f"Wor{c}d", f"{c}{c}x")]
+    encoder.encode(pa.array([" ".join(words)]))
+    assert asked == []
+    odd = ["İstanbul", "été", "ΣΑΣ", "ﬁn", "ªºµ", "x×y", "Ångström", "a­b", "don't", "IT'S"]
+    for text in [" ".join(words), *words, *odd]:
+        assert encoder.encode(pa.array([text]))[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_planes_follow_the_ids_that_occur():
+    import numpy as np
+
+    ids = np.array([49_000, 3, 49_000, 49_000, 40_000, 3, 49_000] * 300, np.uint32)
+    matrix = token_shards.WaveletMatrix.build(ids)
+    assert len(matrix.planes) == 2 and matrix.symbols.tolist() == [49_000, 3, 40_000]  # not one for each of the 16 bits of 49,000
+    assert matrix.decode().tolist() == ids.tolist() and [matrix.access(i) for i in range(7)] == ids[:7].tolist()
+    assert matrix.occurrences(40_000) == np.flatnonzero(ids == 40_000).tolist() and matrix.count(0) == matrix.count(49_001) == 0
+    far = np.array([1 << 31, 7, 1 << 31], np.uint32)
+    assert token_shards.WaveletMatrix.build(far).decode().tolist() == far.tolist()
+    one = token_shards.WaveletMatrix.build(np.array([5, 5], np.uint32))
+    assert one.planes == [] and one.decode().tolist() == [5, 5] and one.select(5, 1) == 1 and one.count(4) == 0
