@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -104,8 +105,15 @@ class Runs:
         per_text = np.bincount(self.text, minlength=len(self.count))
         return np.arange(len(self.text)) - (np.cumsum(per_text) - per_text)[self.text]
 
-    def piece(self, word: int, windows: int) -> bytes:
-        return self.data[self.starts[word] : self.ends[word + windows + WINDOW - 2]]
+    def bounds(self, word: np.ndarray, windows: np.ndarray) -> tuple[list[int], list[int]]:
+        """First byte and end of the windows from each word on."""
+        return self.starts[word].tolist(), self.ends[word + windows + WINDOW - 2].tolist()
+
+
+def spread(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For runs of these sizes, laid end to end: the run of each item and its place there."""
+    run = np.repeat(np.arange(len(sizes)), sizes)
+    return run, np.arange(len(run)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
 def parts(texts: list[bytes]) -> Iterator[tuple[int, int]]:
@@ -263,8 +271,8 @@ def _source(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(value).alias("h"), value.cast("binary").alias("t"))
 
 
-def _anchors(docs: DataFrame) -> DataFrame:
-    """``anchor`` of each piece with its document and its number there."""
+def _anchors(docs: DataFrame, numbered: bool) -> DataFrame:
+    """``anchor`` of each piece with its document and, where wanted, the hash of its text and its number there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -272,10 +280,12 @@ def _anchors(docs: DataFrame) -> DataFrame:
             ids, marks = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("h").to_numpy()
             for start, end in parts(texts):
                 runs = Runs(texts[start:end])
-                columns = [runs.anchor, ids[start:end][runs.text].astype(np.int64), marks[start:end][runs.text], runs.number().astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "doc_id", "h", "number"])
+                columns = {"anchor": runs.anchor, "doc_id": ids[start:end][runs.text].astype(np.int64)}
+                if numbered:
+                    columns |= {"h": marks[start:end][runs.text], "number": runs.number().astype(np.int32)}
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], names=list(columns))
 
-    return docs.where("doc_id is not null").mapInArrow(run, "anchor long, doc_id long, h long, number int")
+    return docs.where("doc_id is not null").mapInArrow(run, "anchor long, doc_id long" + ", h long, number int" * numbered)
 
 
 def _pieces(docs: DataFrame) -> DataFrame:
@@ -305,33 +315,33 @@ def _pieces(docs: DataFrame) -> DataFrame:
                 runs = Runs(texts[start:end])
                 chosen = np.full(len(runs.text), -1)
                 per_text = np.bincount(runs.text, minlength=end - start)
-                first = np.cumsum(per_text) - per_text
-                for k in range(start, end):
-                    numbers = lists[k].values.to_numpy(zero_copy_only=False)
-                    chosen[first[k - start] + (numbers >> 1)] = numbers & 1
-                names, owners, words = [], [], []
+                some = lists.slice(start, end - start)
+                numbers = some.flatten().to_numpy()
+                text, _ = spread(pc.list_value_length(some).to_numpy())
+                chosen[(np.cumsum(per_text) - per_text)[text] + (numbers >> 1)] = numbers & 1
                 at = np.flatnonzero(chosen >= 0)
-                columns = [x[at].tolist() for x in (runs.text, runs.word, runs.windows, runs.anchor, chosen)]
-                for text, word, windows, anchor, heavy in zip(*columns, strict=True):
-                    own = int(ids[start + text])
-                    for w, size in [(word + i, 1) for i in range(windows)] if heavy else [(word, windows)]:
-                        value = runs.piece(w, size)
-                        name = hashlib.blake2b(value, digest_size=16).digest()
-                        known = pending.get(name)
-                        if known is None:
-                            key = int.from_bytes(name[:8], "little", signed=True) if heavy else anchor
-                            pending[name] = [key, value, own, own]
-                        elif own < known[2]:
-                            known[2] = own
-                        elif own > known[3]:
-                            known[3] = own
-                        names.append(name)
-                        owners.append(start + text)
-                        words.append(w - int(runs.first[text]))
+                # the windows of a heavy anchor are pieces of their own
+                piece, more = spread(np.where(chosen[at] == 1, runs.windows[at], 1))
+                at = at[piece]
+                word, text, heavy = runs.word[at] + more, runs.text[at], chosen[at] == 1
+                columns = [*runs.bounds(word, np.where(heavy, 1, runs.windows[at])), runs.anchor[at].tolist(), heavy.tolist(), ids[start + text].tolist()]
+                names, data = [], runs.data
+                for low, high, anchor, alone, own in zip(*columns, strict=True):
+                    value = data[low:high]
+                    name = hashlib.blake2b(value, digest_size=16).digest()
+                    known = pending.get(name)
+                    if known is None:
+                        key = int.from_bytes(name[:8], "little", signed=True) if alone else anchor
+                        pending[name] = [key, value, own, own]
+                    elif own < known[2]:
+                        known[2] = own
+                    elif own > known[3]:
+                        known[3] = own
+                    names.append(name)
                 n = len(names)
-                own = np.array(owners, np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(names, pa.binary()), pa.array(ids[own]), pa.array(marks[own]), pa.array(words, pa.int32())]
+                    [pa.array(names, pa.binary()), pa.array(ids[start + text]), pa.array(marks[start + text])]
+                    + [pa.array((word - runs.first[text]).astype(np.int32))]
                     + [pa.nulls(n, f.type) for f in list(fields)[4:]],
                     schema=fields,
                 )
@@ -342,30 +352,38 @@ def _pieces(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "piece binary, doc_id long, h long, word int, key long, text binary, low long, high long")
 
 
+def _marked(spans: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The first words of the windows that the spans of some texts mark, text by text, and where those of each text start (and, last, the end)."""
+    flat = spans.flatten()
+    word, windows, bits = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("word", "n", "bits"))
+    text, _ = spread(pc.fill_null(pc.list_value_length(spans), 0).to_numpy())
+    span, place = spread(windows)
+    marked = np.flatnonzero(bits[span] >> (windows[span] - 1 - place) & 1)
+    span = span[marked]
+    return word[span] + place[marked], np.searchsorted(text[span], np.arange(len(spans) + 1))
+
+
 def _cut(rows: DataFrame) -> DataFrame:
     """Texts without the words of the windows that ``spans`` (first word, windows, bits) mark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, removed, digests, kept = [], [], [], []
-            spans = batch.column("spans")
-            for i, t in enumerate(batch.column("t").to_numpy(zero_copy_only=False)):
-                words = (t or b"").split()
-                n = len(words)
-                marks = spans[i].as_py()
-                if marks:
-                    edge = np.zeros(n + 1, np.int64)
-                    for s in marks:
-                        for k in range(s["n"]):
-                            if s["bits"] >> (s["n"] - 1 - k) & 1:
-                                edge[s["word"] + k] += 1
-                                edge[s["word"] + k + WINDOW] -= 1
-                    words = [words[j] for j in np.flatnonzero(np.cumsum(edge[:n]) == 0)]
-                left = b" ".join(words)
-                counts.append(n)
-                removed.append(n - len(words))
-                digests.append(hashlib.sha256(left).hexdigest())
-                kept.append(left)
+            texts = [t or b"" for t in batch.column("t").to_numpy(zero_copy_only=False)]
+            for start, end in parts(texts):
+                first, edges = _marked(batch.column("spans").slice(start, end - start))
+                for i, t in enumerate(texts[start:end]):
+                    words = t.split()
+                    n, at = len(words), first[edges[i] : edges[i + 1]]
+                    if len(at):
+                        # windows that begin less those that end
+                        change = np.bincount(at, minlength=n + 1) - np.bincount(at + WINDOW, minlength=n + 1)
+                        words = list(compress(words, (np.cumsum(change[:n]) == 0).tolist()))
+                    left = b" ".join(words)
+                    counts.append(n)
+                    removed.append(n - len(words))
+                    digests.append(hashlib.sha256(left).hexdigest())
+                    kept.append(left)
             columns = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string())]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.binary())], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
@@ -377,10 +395,10 @@ def remove_repeats(
 ) -> DataFrame:
     """Per row ``doc_id``, ``n_words``, ``n_removed``, ``kept_sha256`` and ``kept_text`` (the kept words, joined by one space)."""
     source = _source(docs, key, text)
-    anchors = _anchors(source)
-    held = anchors.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n"))
+    held = _anchors(source, numbered=False).groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n"))
     shared = stage(held.where("low < high").select("anchor", (F.col("n") > heavy).cast("int").alias("heavy")), "substring-anchors")
-    numbers = anchors.join(shared, "anchor").groupBy("doc_id", "h").agg(F.collect_list(F.col("number").cast("long") * 2 + F.col("heavy")).alias("numbers"))
+    # the shared anchors, each once, are hashed, so that nobody sorts all anchors
+    numbers = _anchors(source, numbered=True).join(shared.hint("shuffle_hash"), "anchor").groupBy("doc_id", "h").agg(F.collect_list(F.col("number").cast("long") * 2 + F.col("heavy")).alias("numbers"))
     pieces = stage(_pieces(source.join(stage(numbers, "substring-numbers"), ["doc_id", "h"])), "substring-pieces")
 
     distinct = pieces.where("text is not null").select("piece", "key", "text", "low", "high")

@@ -119,3 +119,29 @@ def test_matching_statistics(symbols):
             if held:
                 want[end - len(s) + i] = min(held)
     assert dict(zip(at.tolist(), least.tolist(), strict=True)) == want and len(at) == len(want)
+
+
+def test_marked_windows_of_many_texts_at_once():
+    """Spans of several texts, with null and empty lists, against their bits one by one; also in a slice."""
+    rng = random.Random(4)
+    spans = [None, [], [{"word": 3, "n": 62, "bits": (1 << 62) - 1}]]
+    for _ in range(30):
+        sizes = [rng.randrange(1, 63) for _ in range(rng.randrange(0, 5))]
+        spans.append([{"word": rng.randrange(1000), "n": n, "bits": rng.getrandbits(n)} for n in sizes])
+    kind = pa.list_(pa.struct([("word", pa.int32()), ("n", pa.int32()), ("bits", pa.int64())]))
+    for start, end in ((0, len(spans)), (2, 9), (0, 2)):
+        first, edges = substring_dedup._marked(pa.array(spans, kind).slice(start, end - start))
+        got = [first[a:b].tolist() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        assert got == [
+            [s["word"] + k for s in x or [] for k in range(s["n"]) if s["bits"] >> (s["n"] - 1 - k) & 1] for x in spans[start:end]
+        ]
+
+
+def test_all_anchors_are_neither_sorted_nor_numbered_twice(spark, rows, monkeypatch):
+    staged = []
+    stage = substring_dedup.stage
+    monkeypatch.setattr(substring_dedup, "stage", lambda df, label: staged.append((label, df._jdf.queryExecution().toString())) or stage(df, label))
+    substring_dedup.remove_repeats(table(spark, rows))
+    plans = dict(staged)
+    assert "number#" not in plans["substring-anchors"]
+    assert "ShuffledHashJoin" in plans["substring-numbers"] and "SortMergeJoin" not in plans["substring-numbers"]
