@@ -193,6 +193,36 @@ def test_top_k(spark):
     assert exact_topk.top_k(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_top_k_sends_a_query_to_homes_not_to_runs_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(exact_topk, "RUN_BYTES", 2048)  # 32 vectors
+    monkeypatch.setattr(exact_topk, "LEAST_HOMES", 3)
+    monkeypatch.setattr(exact_topk, "BLOCK", 8)
+    rng = np.random.default_rng(3)
+    values = np.concatenate([rng.integers(-90, 90, (900, 8)), rng.integers(-90, 90, (300, 8)) * 40_000])  # numbers of 2 and of 4 bytes
+    df = spark.createDataFrame([(i, [x / 1024 for x in row]) for i, row in enumerate(values.tolist())], "vec_id long, embedding array<double>")
+    sent = []
+    real = exact_topk._met
+    monkeypatch.setattr(exact_topk, "_met", lambda *a: sent.append(real(*a)) or sent[-1])
+    result = exact_topk.top_k(df, F.col("vec_id") % 20 == 0, k=7)
+    assert "Join" not in result._jdf.queryExecution().optimizedPlan().toString()
+    counts = {r.is_query: (r.n, r.homes, r.width) for r in sent[0].groupBy("is_query").agg(
+        F.count("*").alias("n"), F.count_distinct("home").alias("homes"), F.array_sort(F.collect_set("width")).alias("width")).collect()}
+    runs = counts[False][0]
+    assert runs >= 37 and counts[False][1:] == (3, [2, 4])
+    assert counts[True][0] < runs and counts[True][1] == 3  # three times each, where each was sent to every run
+    got = {}
+    for r in result.collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    scores = values[::20] @ values.T
+    for i, own in zip(range(0, 1200, 20), scores.tolist(), strict=True):
+        best = sorted((j for j in range(1200) if j != i), key=lambda j: (-own[j], j))[:7]
+        assert sorted(got[i]) == [(n + 1, j, own[j]) for n, j in enumerate(best)]
+    # sums of products beyond 2**24 and 2**53 are exact, and the least score there is comes last
+    q, v = np.array([[1 << 40, -(1 << 40)], [3, 5]]), np.array([[1 << 40, 1 - (1 << 40)], [1 << 40, 0], [-(1 << 40), 1 << 40], [7, 1]])
+    found = exact_topk.search_run(q, np.array([-1, 3]), v, np.arange(4), np.arange(4), 4)
+    assert [(f[0].tolist(), f[1].tolist()) for f in found] == [([0, 1, 3, 2], [(1 << 63) - 1, (1 << 63) - 1, 6 << 40, -(1 << 63)]), ([1, 2, 0], [3 << 40, 2 << 40, 5 - (2 << 40)])]
+
+
 def test_mixing(spark):
     rng = random.Random(4)
     rows = [(i, " ".join(words(rng, 50)), "en", "big" if i % 10 else f"small{i % 3}", 0) for i in range(3000)]
