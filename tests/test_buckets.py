@@ -5,6 +5,7 @@ import re
 
 import pytest
 
+from shelfwise.operators import enrich
 from shelfwise.operators.enrich import enrich_from_dimensions, enrich_operations
 from shelfwise.operators.joins import hot_keys, join_laid_out
 from shelfwise.plans.catalog import save_dimensions
@@ -90,3 +91,37 @@ def test_titles_in_buckets_of_their_own(spark, tables, tmp_path):
     assert rows(got) == want
     plain = enrich_operations(t["operations"], t["copies"], titles, *rest, subjects=subjects, readers=t["readers"])
     assert rows(plain) == want
+
+
+def joins(df):
+    return re.findall(r"Join [^\n]*?(_reader|VYP_PTR_SVAZKY|SVAZKY_PTR_TITUL)#", df._jdf.queryExecution().optimizedPlan().toString())
+
+
+@pytest.mark.parametrize("laid_out", [False, True])
+def test_large_operations_need_the_disks_for_one_join_at_a_time(spark, tables, tmp_path, monkeypatch, laid_out):
+    t = dict(tables)
+    for name in ("operations", "copies"):
+        t[name].write.parquet(str(tmp_path / name))
+        t[name] = spark.read.parquet(str(tmp_path / name))
+    t["copies"] = t["copies"].unionByName(t["copies"].where("SVAZKY_KEY = 0")).repartition(2)  # rows that a shuffle makes, the hot copy twice
+    monkeypatch.setattr("shelfwise.staging.stage_root", lambda _: str(tmp_path / "stages"))
+    rest = (t["op_types"], t["branches"])
+
+    def enriched():
+        if not laid_out:
+            return enrich_operations(t["operations"], t["copies"], t["titles"], *rest, readers=t["readers"])
+        dims = save_dimensions(spark, t["copies"], t["titles"], readers=t["readers"], path=str(tmp_path / f"dims{enrich.STAGED_BYTES}"), copy_texts=False)
+        return enrich_from_dimensions(
+            t["operations"], dims["dim_svazky_klice"], *rest, demographics=dims["dim_ctenari"], described_titles=dims["dim_tituly_predmety"],
+            least_rows=40, most=20,
+        )
+
+    want = enriched()
+    assert {"_reader", "VYP_PTR_SVAZKY", "SVAZKY_PTR_TITUL"} <= set(joins(want))
+    expected = rows(want)
+    monkeypatch.setattr(enrich, "STAGED_BYTES", 1)
+    got = enriched()
+    assert got.columns == want.columns and set(joins(got)) == {"SVAZKY_PTR_TITUL"}  # the others are done
+    left = {p.name.rsplit("-", 1)[0] for p in tmp_path.glob("stages/shelfwise-stages/*/*")}
+    assert len(list(tmp_path.glob("stages/shelfwise-stages/*/operations-*"))) == 1 and "copies" not in left
+    assert rows(got) == expected
