@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shelfwise.operators.copies import copies_per_title
 from shelfwise.operators.enrich import copy_dimension, copy_links, decode_doc_types, reader_demographics, title_dimension
 from shelfwise.schema import safe_long
+from shelfwise.staging import discard
 
 TABLES = ("fact_vypujcky", "dim_tituly", "dim_svazky", "dim_knoddel", "dim_opidy")
 
@@ -84,6 +85,7 @@ def save_dimensions(
             writer = writer.option("path", f"{path}/{name}")
         writer.saveAsTable(full)
         out[name] = spark.table(full)
+        discard(spark, wait=True)  # the shuffle files of one table are not needed for the next
     return out
 
 
