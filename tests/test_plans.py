@@ -1,10 +1,14 @@
+import re
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from shelfwise.operators.windowing import UsagePolicy
 from shelfwise.plans import catalog, ingest, rebuild
 from shelfwise.plans.review import load_titles, review
-from shelfwise.staging import discard, drop_stages, new_stage_path, stage, stage_buckets, stage_root
+from shelfwise.staging import discard, drop_stages, new_stage_path, settle, stage, stage_buckets, stage_root
+from workload.dump_writer import write_dump
 
 
 def test_dump_files_of_a_table():
@@ -132,3 +136,30 @@ def test_buckets_and_discard(spark):
     assert laid_out.count() == 100
     with pytest.raises(Exception, match="(?i)exist|not found"):
         spark.read.parquet(narrow.inputFiles()[0].rsplit("/", 1)[0]).count()
+
+
+def test_a_settled_table_leaves_no_shuffle_files(spark):
+    kept = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    names = lambda: {x for x in re.findall(r"shuffle_\d+", str(kept.getAllFiles()))}
+    discard(spark, wait=True)
+    for _ in range(3):  # the last query's files go, too
+        before = names()
+        rows = spark.range(1000).repartition(3, "id").selectExpr("id % 7 AS k").repartition(5, "k")
+        table = settle(rows.where(F.col("k") >= 0), "settled")
+        until = time.monotonic() + 5
+        while names() - before and time.monotonic() < until:
+            time.sleep(0.1)
+        assert not names() - before and table.count() == 1000
+
+
+def test_a_rebuild_leaves_no_lines_of_dumps(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("shelfwise.staging.stage_root", lambda _: str(tmp_path / "stages"))
+    raw, derived = str(tmp_path / "raw"), str(tmp_path / "derived")
+    links = spark.range(40).selectExpr("id AS OCH_PTR_TITUL", "id % 3 AS OCH_PTR_TXOCH").distinct()
+    write_dump(links, f"{raw}/och.txt")
+    write_dump(spark.range(3).selectExpr("id AS TXOCH_KEY", "concat('t', id) AS TXOCH_TEXT"), f"{raw}/txoch.txt")
+    assert ingest.ingest_dumps(spark, raw, derived) == ["txoch", "och"]
+    left = {p.name.rsplit("-", 1)[0] for p in tmp_path.glob("stages/shelfwise-stages/*/*")}
+    assert not left  # neither the rows that were dumped nor the lines, files and layouts that were read
+    assert spark.read.parquet(ingest.table_path(derived, "och")).exceptAll(links).count() == 0
+    assert rebuild.build_subjects(spark, derived).where("och_subjects LIKE 't%'").count() == 40
